@@ -2,6 +2,7 @@
 
 from assayloom.plans import (  # noqa: F401
     flagship,
+    stat_queries,
     table_queries,
 )
 from assayloom.plans.registry import ORACLES, QUERIES  # noqa: F401
