@@ -518,12 +518,12 @@ def simple_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def simple_regression_rows(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+def simple_regression_rows(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), *, digits: int = 6) -> DataFrame:
     """Fitted value and residual of every complete row."""
     pairs = df.select(*keys, number_of(df, x).alias("x"), number_of(df, y).alias("y")).dropna(subset=["x", "y"])
     model = pairs.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a")).select(F.struct("a", "b")).scalar()
     fitted = model["a"] + model["b"] * F.col("x")
-    return pairs.select(*keys, "x", "y", F.round(fitted, 6).alias("fitted"), F.round(F.col("y") - fitted, 6).alias("residual"))
+    return pairs.select(*keys, "x", "y", F.round(fitted, digits).alias("fitted"), F.round(F.col("y") - fitted, digits).alias("residual"))
 
 
 def _centred(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:

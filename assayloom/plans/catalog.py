@@ -2,6 +2,8 @@
 
 from assayloom.plans import (  # noqa: F401
     flagship,
+    hts_queries,
+    interval_queries,
     stat_queries,
     table_queries,
 )

@@ -227,10 +227,10 @@ def _x13(t: Tables) -> DataFrame:
 @query(
     "X13_regression_rows",
     """WITH m AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders)
-    SELECT o_orderkey, cast(o_custkey as double) AS x, o_totalprice AS y, round(a + b * o_custkey, 6) AS fitted, round(o_totalprice - (a + b * o_custkey), 6) AS residual FROM orders, m""",
+    SELECT o_orderkey, cast(o_custkey as double) AS x, o_totalprice AS y, round(a + b * o_custkey, 3) AS fitted, round(o_totalprice - (a + b * o_custkey), 3) AS residual FROM orders, m""",
 )
 def _x13b(t: Tables) -> DataFrame:
-    return st.simple_regression_rows(t.orders, "o_custkey", "o_totalprice", ["o_orderkey"])
+    return st.simple_regression_rows(t.orders, "o_custkey", "o_totalprice", ["o_orderkey"], digits=3)
 
 
 OLS = """m AS (SELECT cast(count(*) as double) AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_tax) AS m2, covar_samp(l_quantity, l_quantity) AS s11, covar_samp(l_tax, l_tax) AS s22,
