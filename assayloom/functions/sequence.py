@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # IUPAC nucleotide codes, their base sets and complements.
 IUPAC_BASES = {
     "A": "A", "C": "C", "G": "G", "T": "T", "U": "U", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
-    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
+    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT", "X": "ACGT",
 }
-COMPLEMENT_FROM = "ACGTURYSWKMBDHVNacgturyswkmbdhvn"
-COMPLEMENT_TO = "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn"
+COMPLEMENT_FROM = "ACGTURYSWKMBDHVNXacgturyswkmbdhvnx"
+COMPLEMENT_TO = "TGCAAYRSWMKVHDBNXtgcaayrswmkvhdbnx"
 
 # Genetic codes (numbered as in the public NCBI list), amino acids for codons in TCAG order.
 GENETIC_CODES = {
@@ -20,9 +22,21 @@ GENETIC_CODES = {
     3: "FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
     4: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
     5: "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG",
+    6: "FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
     11: "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG",
 }
+# Start (M) and stop (*) marks of the same codons.
+CODON_MARKS = {
+    1: "---M------**--*----M---------------M----------------------------",
+    2: "----------**--------------------MMMM----------**---M------------",
+    3: "----------**----------------------MM---------------M------------",
+    4: "--MM------**-------M------------MMMM---------------M------------",
+    5: "---M------**--------------------MMMM---------------M------------",
+    6: "--------------*--------------------M----------------------------",
+    11: "---M------**--*----M------------MMMM---------------M------------",
+}
 CODON_BASES = "TCAG"
+ALL_CODONS = [a + b + c for a in CODON_BASES for b in CODON_BASES for c in CODON_BASES]
 
 
 def complement(seq: Column) -> Column:
@@ -63,26 +77,44 @@ def windows(seq: Column, width: int, step: int = 1) -> Column:
     )
 
 
+def matching_symbols(symbol: str) -> str:
+    """Sequence symbols that share a base with a pattern symbol."""
+    bases = {"T" if b == "U" else b for b in IUPAC_BASES[symbol]}
+    return "".join(s for s, own in IUPAC_BASES.items() if bases & {"T" if b == "U" else b for b in own})
+
+
 def iupac_regex(pattern: str) -> str:
-    out = []
-    for symbol in pattern.upper():
-        bases = IUPAC_BASES[symbol]
-        bases = bases.replace("T", "TU") if "T" in bases else bases
-        out.append(bases if len(bases) == 1 else f"[{bases}]")
-    return "".join(out)
+    """Regular expression of an IUPAC pattern; ambiguous sequence symbols match what they may stand for."""
+    return "".join(f"[{matching_symbols(s)}]" if s in IUPAC_BASES else re.escape(s) for s in pattern.upper())
 
 
 def reverse_complement_text(pattern: str) -> str:
     return pattern.translate(str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO))[::-1]
 
 
-def amino_acid(codon: Column, code: int = 1) -> Column:
-    """Amino acid of one codon, ``X`` when it holds an unknown base."""
-    rna_free = F.translate(F.upper(codon), "U", "T")
+def codon_index(codon: Column) -> Column:
+    """1-based place of an upper-case DNA codon in TCAG order, NULL when it holds another symbol."""
     place = F.lit(0)
     for i in (1, 2, 3):
-        place = place * 4 + (F.instr(F.lit(CODON_BASES), F.substring(rna_free, i, 1)) - 1)
-    return F.when(rna_free.rlike("^[TCAG]{3}$"), F.lit(GENETIC_CODES[code]).substr(place + 1, F.lit(1))).otherwise("X")
+        place = place * 4 + (F.instr(F.lit(CODON_BASES), F.substring(codon, i, 1)) - 1)
+    return F.when(codon.rlike("^[TCAG]{3}$"), place + 1)
+
+
+def as_dna(seq: Column) -> Column:
+    return F.translate(F.upper(seq), "U", "T")
+
+
+def amino_acid(codon: Column, code: int = 1) -> Column:
+    """Amino acid of one codon, ``X`` when it holds an unknown base."""
+    return F.coalesce(F.lit(GENETIC_CODES[code]).substr(codon_index(as_dna(codon)), F.lit(1)), F.lit("X"))
+
+
+def start_codons(code: int = 1) -> list[str]:
+    return [c for c, mark in zip(ALL_CODONS, CODON_MARKS[code]) if mark == "M"]
+
+
+def stop_codons(code: int = 1) -> list[str]:
+    return [c for c, aa in zip(ALL_CODONS, GENETIC_CODES[code]) if aa == "*"]
 
 
 def codons(seq: Column, offset: int | Column = 0) -> Column:

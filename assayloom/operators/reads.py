@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.hts import quality_scores, sum_scores
 from assayloom.functions.sequence import count_any, count_symbol
+from assayloom.operators.once import compute_once
 from assayloom.operators.ladder import ladder_quantiles, quantiles, value_ladder
 from assayloom.operators.ordering import sample_rows
 
@@ -19,8 +20,8 @@ def read_metrics(reads: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     scores = quality_scores(F.col("quality"))
     known, gc, n = count_any(upper, "ACGTU"), count_any(upper, "GC"), count_symbol(upper, "N")
     length = F.length("sequence").cast("bigint")
-    base = reads.select(
-        *keys, "sequence", length.alias("length"), gc.alias("gc"), n.alias("n"), known.alias("known"), scores.alias("scores"),
+    base = compute_once(reads, scores=scores).select(
+        *keys, "sequence", length.alias("length"), gc.alias("gc"), n.alias("n"), known.alias("known"), "scores",
         F.length("quality").cast("bigint").alias("q_count"),
     )
     return base.select(
@@ -135,16 +136,14 @@ def binned_distribution(reads: DataFrame, metric: str, *, low: int = 0, high: in
 
 def trim_tail(reads: DataFrame, cutoff: int = 20, window: int = 4) -> DataFrame:
     """Cut the 3' tail: the read ends with the last window of ``window`` bases whose mean quality reaches ``cutoff``."""
-    scores = quality_scores(F.col("quality"))
+    scored = compute_once(reads, __q=quality_scores(F.col("quality")))
     length = F.size("__q")
     width = F.least(F.lit(window), length)
     mean_of = lambda e: sum_scores(F.slice("__q", e - width + 1, width)) / width
     ends = F.when(length > 0, F.filter(F.sequence(width, length), lambda e: mean_of(e) >= cutoff)).otherwise(F.array().cast("array<int>"))
-    keep = F.coalesce(F.array_max("__ends"), F.lit(0))
-    return (
-        reads.withColumn("__q", scores).withColumn("__ends", ends)
-        .withColumn("sequence", F.col("sequence").substr(F.lit(1), keep)).withColumn("quality", F.col("quality").substr(F.lit(1), keep)).drop("__q", "__ends")
-    )
+    cut = compute_once(scored, __keep=F.coalesce(F.array_max(ends), F.lit(0)))
+    short = lambda c: F.col(c).substr(F.lit(1), F.col("__keep"))
+    return compute_once(cut, sequence=short("sequence"), quality=short("quality")).select(*reads.columns)
 
 
 def filter_reads(
@@ -160,7 +159,7 @@ def filter_reads(
         F.when(F.length("sequence") < minimum_length, "too_short").when(count_symbol(F.upper("sequence"), "N") > maximum_n, "too_many_n")
         .when(share > max_low_quality_percent, "low_quality").otherwise("passed")
     )
-    judged = out.withColumn("reason", reason)
+    judged = compute_once(out, reason=reason)
     return judged if keep_failed else judged.filter("reason = 'passed'").drop("reason")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.cells import parse_number
 from assayloom.functions.hts import ANN_FIELDS, CSQ_FIELDS, gt_alleles, gt_missing, info_values, sample_field
+from assayloom.operators.once import compute_once
 from assayloom.operators.ordering import sample_rows
 
 
@@ -143,7 +144,7 @@ def filter_consequence(
             return F.array_join(F.filter(F.array(*cells), lambda c: c != ""), "|")
 
         summaries.append(F.try_element_at(F.transform(F.filter(info_values(F.col("info"), name), meets), summary), F.lit(1)))
-    return variants.withColumn("consequence", F.coalesce(*summaries)).filter(F.col("consequence").isNotNull())
+    return compute_once(variants, consequence=F.coalesce(*summaries)).filter(F.col("consequence").isNotNull())
 
 
 def sample_structs(samples: Sequence[str]) -> Column:
@@ -175,7 +176,7 @@ def filter_genotypes(
     min_depth: float | None = None, min_gq: float | None = None, sample_names: Sequence[str] = (),
 ) -> DataFrame:
     """Site rules over the chosen samples, then at least one sample that meets the sample rules."""
-    rows = variants.withColumn("__s", _picked(samples, sample_names)).withColumn("__rate", missing_rate(F.col("__s")))
+    rows = compute_once(variants, __s=_picked(samples, sample_names)).withColumn("__rate", missing_rate(F.col("__s")))
     distinct = lambda s: F.array_distinct(gt_alleles(s["gt"]))
     reference = lambda s: ~gt_missing(s["gt"]) & F.forall(gt_alleles(s["gt"]), lambda a: a == "0")
     site_rules = {
@@ -202,10 +203,10 @@ def filter_genotypes(
             rule = rule & F.coalesce(s["gq"] >= min_gq, F.lit(False))
         return rule
 
-    names = F.transform(F.filter("__s", meets), lambda s: s["sample"])
-    return rows.withColumn("matching_samples", F.array_join(names, ",")).filter(F.size(names) > 0).withColumn(
+    named = compute_once(rows, __n=F.transform(F.filter("__s", meets), lambda s: s["sample"])).filter(F.size("__n") > 0)
+    return named.withColumn("matching_samples", F.array_join("__n", ",")).withColumn(
         "missing_genotype_rate", F.round("__rate", 4)
-    ).drop("__s", "__rate")
+    ).drop("__s", "__rate", "__n")
 
 
 def project_samples(variants: DataFrame, samples: Sequence[str], names: Sequence[str], *, keep: bool = True) -> tuple[DataFrame, list[str], list[str]]:

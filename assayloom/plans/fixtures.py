@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.operators.once import compute_once
 from assayloom.plans.registry import Tables
 
 HEX = "0123456789abcdef"
@@ -221,7 +222,7 @@ def variant_lines(t: Tables) -> DataFrame:
             F.when((o + i) % 13 == 0, "./.").when((o + i) % 3 == 0, "0/0").when((o + i) % 3 == 1, "0/1").otherwise("1/1")
         )
         return F.concat(gt, F.lit(":"), text((p + i) % 40), F.lit(":"), text((o + i) % 99))
-    return t.lineitem.select(
+    lines = t.lineitem.select(
         F.concat(F.lit("chr"), text(F.col("l_suppkey") % 22 + 1)).alias("chrom"),
         text(p * 10 + n).alias("pos"),
         F.when(o % 5 == 0, ".").otherwise(line_name()).alias("id"), longer.alias("ref"), alt.alias("alt"),
@@ -229,6 +230,7 @@ def variant_lines(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "PASS").when(F.col("l_returnflag") == "N", ".").otherwise("q10;s50").alias("filter"),
         info.alias("info"), F.lit("GT:DP:GQ").alias("format"), F.array(sample(1), sample(2), sample(3)).alias("sample_values"),
     )
+    return compute_once(lines, ref=F.col("ref"), alt=F.col("alt"), id=F.col("id"), info=F.col("info"), sample_values=F.col("sample_values"))
 
 
 VCF_SAMPLES = ["S1", "S2", "S3"]

@@ -212,7 +212,7 @@ def _g11(t: Tables) -> DataFrame:
 
 @query("G12_region_query", f"""WITH {CIGAR} SELECT qname, flag, pos, cast(pos + span - 1 as bigint) AS "end", cigar FROM m WHERE rname = 'chr3' AND mapped AND pos <= 9000 AND pos + span - 1 >= 4000""")
 def _g12(t: Tables) -> DataFrame:
-    return al.region_query(fx.alignments(t), "chr3", 4000, 9000).select("qname", F.col("flag").cast("bigint").alias("flag"), "pos", "end", "cigar")
+    return al.region_query(fx.alignments(t), "chr3", 4000, 9000).select("qname", "flag", "pos", "end", "cigar")
 
 
 @query(
