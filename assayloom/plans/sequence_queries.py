@@ -48,7 +48,7 @@ def _protein_sql() -> str:
         f" - {'1' if k == 'c_terminus' else 'n_' + k} / {1 + 10 ** (p - 7)!r}" for k, p in sq.PKA_NEGATIVE.items())
     standard = " + ".join(f"n_{r}" for r in residues)
     return f"""WITH {fx.PROTEINS}, c AS (SELECT title, length(sequence) AS length, {each} FROM prots), t AS (SELECT * FROM c UNION ALL SELECT 'Total', cast(sum(length) as bigint), {sums} FROM c)
-    SELECT title, length, {standard} AS standard_residues, cast(0 as bigint) AS ambiguous_residues, cast(0 as bigint) AS uncommon_residues, cast(0 as bigint) AS stop_count, round({mass}, 4) AS molecular_weight,
+    SELECT title, length, {standard} AS standard_residues, cast(0 as bigint) AS ambiguous_residues, cast(0 as bigint) AS uncommon_residues, cast(0 as bigint) AS stop_count, round(cast({mass} as double), 4) AS molecular_weight,
       round(({mass}) / ({standard}), 4) AS average_residue_weight, round(cast({charge} as double), 6) AS charge, {", ".join(f'n_{r} AS "count_{r}"' for r in residues)} FROM t"""
 
 
@@ -75,9 +75,9 @@ def _q3(t: Tables) -> DataFrame:
     return sq.hydropathy_windows(fx.proteins(t), 9).withColumn("hydropathy", F.round("hydropathy", 4))
 
 
-@query("Q3_gravy", f"""WITH {fx.PROTEINS}, ch AS (SELECT record, {HYDRO} AS h FROM (SELECT record, unnest(string_split(sequence, '')) AS c FROM prots)) SELECT record, round(avg(h), 5) AS gravy, count(h) AS residue_count FROM ch GROUP BY 1""")
+@query("Q3_gravy", f"""WITH {fx.PROTEINS}, ch AS (SELECT record, {HYDRO} AS h FROM (SELECT record, unnest(string_split(sequence, '')) AS c FROM prots)) SELECT record, round(avg(h), 6) AS gravy, count(h) AS residue_count FROM ch GROUP BY 1""")
 def _q3b(t: Tables) -> DataFrame:
-    return sq.gravy(fx.proteins(t)).withColumn("gravy", F.round("gravy", 5))
+    return sq.gravy(fx.proteins(t))
 
 
 @query(
@@ -371,32 +371,38 @@ def _changed(t: Tables) -> DataFrame:
 
 
 CHANGED = f"seqsb AS (SELECT p_partkey + 1000000 AS record, {fx.dna32_sql('p_partkey * 8')} || {fx.dna32_sql('p_partkey * 8 + 77')} || {fx.dna32_sql('p_partkey * 8 + 2')} || {fx.dna32_sql('p_partkey * 8 + 3')} AS sequence FROM part)"
-SHARED = f"""{fx.SEQS}, {CHANGED}, {_words_sql('ka0', 'seqs', 7)}, {_words_sql('kb0', 'seqsb', 7)}, ka AS (SELECT DISTINCT record, w FROM ka0), kb AS (SELECT DISTINCT record, w FROM kb0),
-na AS (SELECT record, count(*) AS n FROM ka GROUP BY 1), nb AS (SELECT record, count(*) AS n FROM kb GROUP BY 1), sh AS (SELECT ka.record AS a, kb.record AS b, count(*) AS s FROM ka JOIN kb USING (w) GROUP BY 1, 2 HAVING count(*) >= 6),
+def _shared(least: int) -> str:
+    return f"""{fx.SEQS}, {CHANGED}, {_words_sql('ka0', 'seqs', 7)}, {_words_sql('kb0', 'seqsb', 7)}, ka AS (SELECT DISTINCT record, w FROM ka0), kb AS (SELECT DISTINCT record, w FROM kb0),
+na AS (SELECT record, count(*) AS n FROM ka GROUP BY 1), nb AS (SELECT record, count(*) AS n FROM kb GROUP BY 1), sh AS (SELECT ka.record AS a, kb.record AS b, count(*) AS s FROM ka JOIN kb USING (w) GROUP BY 1, 2 HAVING count(*) >= {least}),
 pr AS (SELECT a AS a_record, b AS b_record, cast(128 as bigint) AS a_length, cast(128 as bigint) AS b_length, s AS shared_kmers, na.n AS a_kmers, nb.n AS b_kmers, cast(1 as double) AS length_ratio, round(s / (na.n + nb.n - s), 6) AS jaccard FROM sh JOIN na ON na.record = a JOIN nb ON nb.record = b),
 rk AS (SELECT *, row_number() OVER (PARTITION BY a_record ORDER BY shared_kmers DESC, b_record) AS a_best_rank, row_number() OVER (PARTITION BY b_record ORDER BY shared_kmers DESC, a_record) AS b_best_rank FROM pr),
 cl AS (SELECT *, CASE WHEN a_best_rank = 1 AND b_best_rank = 1 THEN 'reciprocal_best' WHEN a_best_rank = 1 THEN 'best_for_a' WHEN b_best_rank = 1 THEN 'best_for_b' ELSE 'candidate' END AS classification FROM rk WHERE a_best_rank <= 2 OR b_best_rank <= 2)"""
 
 
-@query("J7_shared_word_pairs", f"WITH {SHARED} SELECT * FROM pr")
+@query("J7_shared_word_pairs", f"WITH {_shared(6)} SELECT * FROM pr")
 def _j7(t: Tables) -> DataFrame:
     return km.candidate_pairs(fx.sequences(t), _changed(t), k=7, min_shared=6, alphabet=km.DNA_WORD)
 
 
-@query("Q17_reciprocal_best", f"WITH {SHARED} SELECT * FROM cl")
+@query("J7_shared_word_pairs_hot", f"WITH {_shared(6)} SELECT * FROM pr")
+def _j7b(t: Tables) -> DataFrame:
+    return km.candidate_pairs(fx.sequences(t), _changed(t), k=7, min_shared=6, alphabet=km.DNA_WORD, hot_frequency=30)
+
+
+@query("Q17_reciprocal_best", f"WITH {_shared(6)} SELECT * FROM cl")
 def _q17(t: Tables) -> DataFrame:
     return km.reciprocal_best(km.candidate_pairs(fx.sequences(t), _changed(t), k=7, min_shared=6, alphabet=km.DNA_WORD), top=2)
 
 
 @query(
     "Q17_unmatched",
-    f"""WITH {SHARED}, u AS (SELECT 'A' AS "set", record, max(CASE WHEN classification = 'reciprocal_best' THEN 1 WHEN classification IS NOT NULL THEN 0 END) AS ok FROM seqs LEFT JOIN cl ON a_record = record GROUP BY record
+    f"""WITH {_shared(88)}, u AS (SELECT 'A' AS "set", record, max(CASE WHEN classification = 'reciprocal_best' THEN 1 WHEN classification IS NOT NULL THEN 0 END) AS ok FROM seqs LEFT JOIN cl ON a_record = record GROUP BY record
       UNION ALL SELECT 'B', record, max(CASE WHEN classification = 'reciprocal_best' THEN 1 WHEN classification IS NOT NULL THEN 0 END) FROM seqsb LEFT JOIN cl ON b_record = record GROUP BY record)
     SELECT "set", record, CASE WHEN ok IS NULL THEN 'no_candidate' ELSE 'not_reciprocal' END AS reason FROM u WHERE coalesce(ok, 0) = 0""",
 )
 def _q17b(t: Tables) -> DataFrame:
     a, b = fx.sequences(t), _changed(t)
-    return km.unmatched(a, b, km.reciprocal_best(km.candidate_pairs(a, b, k=7, min_shared=6, alphabet=km.DNA_WORD), top=2))
+    return km.unmatched(a, b, km.reciprocal_best(km.candidate_pairs(a, b, k=7, min_shared=88, alphabet=km.DNA_WORD), top=2))
 
 
 @query(
@@ -446,13 +452,13 @@ def _q20b(t: Tables) -> DataFrame:
 @query(
     "Q21_oligo_properties",
     f"""WITH o AS (SELECT p_partkey AS record, substr({fx.dna32_sql("p_partkey")}, 1, cast(8 + p_size % 20 as bigint)) AS s FROM part), c AS (SELECT record, s, length(s) AS n, {_n('A', 's')} AS a, {_n('C', 's')} AS c, {_n('G', 's')} AS g, {_n('T', 's')} AS t FROM o)
-    SELECT record, n AS length, round((g + c) / n * 100, 6) AS gc_percent, a AS a_count, c AS c_count, g AS g_count, t AS t_count, n - a - c - g - t AS n_count, round(CASE WHEN n < 14 THEN 2 * (a + t) + 4 * (g + c) ELSE 69.3::double + 0.41::double * (g + c) / n * 100 - 650 / n END, 5) AS tm_c,
+    SELECT record, n AS length, round((g + c) / n * 100, 6) AS gc_percent, a AS a_count, c AS c_count, g AS g_count, t AS t_count, n - a - c - g - t AS n_count, round(CASE WHEN n < 14 THEN 2 * (a + t) + 4 * (g + c) ELSE 69.3::double + 0.41::double * (g + c) / n * 100 - 650 / n END, 6) AS tm_c,
       CASE WHEN n < 14 THEN 'Wallace' ELSE 'Marmur-Doty GC' END AS tm_method, {RC.format('s')} AS reverse_complement FROM c""",
 )
 def _q21(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     oligos = t.part.select(k.alias("record"), fx.dna32(k).substr(F.lit(1), 8 + F.col("p_size") % 20).alias("sequence"))
-    return sq.oligo_properties(oligos).withColumn("tm_c", F.round("tm_c", 5))
+    return sq.oligo_properties(oligos)
 
 
 @query(
