@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.sequence import reverse_complement
+from assayloom.operators.once import explode_once
 from assayloom.operators.tiles import last_known, next_position, running_depth
 
 BASE_BITS = 7
@@ -38,9 +39,10 @@ def _levels_of(df: DataFrame, start: str, end: str) -> list[int]:
 def _binned(df: DataFrame, start: str, end: str, other_levels: Sequence[int], prefix: str) -> DataFrame:
     own = _level(F.col(end) - F.col(start) + 1)
     coarser = F.filter(F.array(*[F.lit(k) for k in other_levels]).cast("array<int>"), lambda k: k > F.col(f"{prefix}_level"))
-    levelled = df.withColumn(f"{prefix}_level", own).withColumn("__k", F.explode(F.concat(F.array(f"{prefix}_level"), coarser)))
+    own_level = df.withColumn(f"{prefix}_level", own)
+    levelled = explode_once(own_level, F.concat(F.array(f"{prefix}_level"), coarser), "__k", *own_level.columns)
     width = _width(F.col("__k"))
-    return levelled.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    return explode_once(levelled, F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)), "__bin", *levelled.columns)
 
 
 def range_join(left: DataFrame, right: DataFrame, *, prefixes: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -275,12 +277,11 @@ CHUNK = 1 << 16
 def sequence_chunks(sequences: DataFrame) -> DataFrame:
     """Sequences cut into chunks of ``CHUNK`` symbols, so no slice drags a whole chromosome along."""
     count = F.ceil(F.length("sequence") / CHUNK).cast("int")
-    return sequences.filter(F.length("sequence") > 0).select(
-        "record", F.explode(F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.struct(i.cast("bigint").alias("chunk"), F.col("sequence").substr(i * CHUNK + 1, F.lit(CHUNK)).alias("text")),
-        )).alias("c")
-    ).select("record", "c.*")
+    pieces = F.transform(
+        F.sequence(F.lit(0), count - 1),
+        lambda i: F.struct(i.cast("bigint").alias("chunk"), F.col("sequence").substr(i * CHUNK + 1, F.lit(CHUNK)).alias("text")),
+    )
+    return explode_once(sequences.filter(F.length("sequence") > 0), pieces, "c", "record").select("record", "c.*")
 
 
 def extract_regions(regions: DataFrame, sequences: DataFrame, *, key: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from assayloom.functions.sequence import as_dna, count_any, hamming, iupac_regex, matching_symbols, reverse_complement, reverse_complement_text
 from assayloom.operators.intervals import extract_regions, range_join
 from assayloom.operators.ladder import numbered
+from assayloom.operators.once import explode_once
 from assayloom.operators.sequences import CHUNK, cut_tiles, words
 from assayloom.operators.text import OPEN
 from assayloom.operators.tiles import next_position
@@ -53,7 +54,7 @@ def scan_motifs(seqs: DataFrame, motifs: Sequence[Mapping], *, both_strands: boo
                     F.filter(look_ahead_starts(F.col("text"), regex), lambda p: (p > F.col("lead")) & (p <= F.col("lead") + CHUNK)),
                     _hit(motif, strand),
                 ))
-        rows = tiles.select("record", "offset", "lead", "text", F.explode(_union(hits)).alias("h")).select("record", "offset", "lead", "text", "h.*")
+        rows = explode_once(tiles, _union(hits), "h", "record", "offset", "lead", "text").select("record", "offset", "lead", "text", "h.*")
         around = lambda start, size: F.col("text").substr(start.cast("int"), size.cast("int"))
         before = F.least(F.lit(flank), F.col("p") - 1)
         frames.append(rows.select(
@@ -66,7 +67,7 @@ def scan_motifs(seqs: DataFrame, motifs: Sequence[Mapping], *, both_strands: boo
             text = F.col("sequence") if strand == "+" else reverse_complement(F.col("sequence"))
             regex = motif["pattern"]
             whole = source.select("record", F.length("sequence").cast("bigint").alias("L"), text.alias("text"))
-            placed = whole.select("record", "L", "text", F.explode(look_ahead_starts(F.col("text"), regex)).alias("p"))
+            placed = explode_once(whole, look_ahead_starts(F.col("text"), regex), "p", "record", "L", "text")
             found = placed.withColumn("m", F.regexp_extract(F.col("text").substr(F.col("p").cast("int"), F.length("text")), f"^(?:{regex})", 0)).filter("m <> ''")
             n = F.length("m").cast("bigint")
             low = F.col("p") if strand == "+" else F.col("L") - (F.col("p") + n - 1) + 1
@@ -149,9 +150,8 @@ def scan_mismatches(
             text = pattern if strand == "+" else reverse_complement_text(pattern)
             near = [_shift(look_ahead_starts(F.col("text"), iupac_regex(text[a:b])), a) for a, b in _segments(m, min(m, max_mismatches + 1))]
             candidates = F.filter(F.array_distinct(_union(near)), lambda p: (p >= 1) & (p <= CHUNK) & (p + m - 1 <= F.length("text")))
-            placed = tiles.select("record", "length", "offset", F.explode(F.transform(
-                candidates, lambda p: F.struct(p.alias("p"), F.col("text").substr(p.cast("int"), F.lit(m)).alias("w"))
-            )).alias("c")).select("record", "length", (F.col("offset") + F.col("c.p")).alias("start"), F.col("c.w").alias("w"))
+            cut = F.transform(candidates, lambda p: F.struct(p.alias("p"), F.col("text").substr(p.cast("int"), F.lit(m)).alias("w")))
+            placed = explode_once(tiles, cut, "c", "record", "offset").select("record", (F.col("offset") + F.col("c.p")).alias("start"), F.col("c.w").alias("w"))
             wrong = [
                 F.when(~F.substring("w", i + 1, 1).isin(*matching_symbols(s)), F.lit(i + 1 if strand == "+" else m - i)) for i, s in enumerate(text)
             ]
@@ -309,7 +309,7 @@ def guide_sites(
         F.filter(look_ahead_starts(F.col("text"), pattern), lambda p: p <= CHUNK),
         lambda p: F.struct(F.lit(strand).alias("strand"), p.alias("p"), F.col("text").substr(p.cast("int"), F.lit(size)).alias("w")),
     )
-    rows = tiles.select("record", "offset", F.explode(F.concat(side("+", regex), side("-", back))).alias("h")).select("record", (F.col("offset") + F.col("h.p")).alias("low"), F.col("h.strand").alias("strand"), F.col("h.w").alias("w"))
+    rows = explode_once(tiles, F.concat(side("+", regex), side("-", back)), "h", "record", "offset").select("record", (F.col("offset") + F.col("h.p")).alias("low"), F.col("h.strand").alias("strand"), F.col("h.w").alias("w"))
     site = F.when(F.col("strand") == "-", reverse_complement(F.col("w"))).otherwise(F.col("w"))
     front = pam_side == "3prime"
     guide_at, pam_at = (0, guide_length) if front else (len(pam), 0)

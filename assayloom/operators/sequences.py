@@ -25,7 +25,7 @@ from assayloom.functions.sequence import (
     translate_dna,
 )
 from assayloom.operators.intervals import extract_regions
-from assayloom.operators.once import compute_once
+from assayloom.operators.once import compute_once, explode_once
 from assayloom.operators.tiles import last_known
 
 CHUNK = 8190  # divisible by 3, so codon frames line up across chunks
@@ -45,7 +45,7 @@ def cut_tiles(seqs: DataFrame, *, before: int = 0, after: int = 0, chunk: int =
             F.col("sequence").substr(F.greatest(i * chunk - before, F.lit(0)) + 1, F.lit(chunk + after) + F.least(i * chunk, F.lit(before))).alias("text"),
         ),
     )
-    tiles = seqs.filter(length > 0).select("record", length.cast("bigint").alias("length"), F.explode(pieces).alias("t")).select("record", "length", "t.*")
+    tiles = explode_once(seqs.filter(length > 0), pieces, "t", "record", length.cast("bigint").alias("length")).select("record", "length", "t.*")
     return tiles.repartition("record", "offset") if spread else tiles
 
 
@@ -56,7 +56,7 @@ def words(seqs: DataFrame, width: int, *, spread: bool = False) -> DataFrame:
         F.filter(starts(F.length("text"), width), lambda i: i <= CHUNK),
         lambda i: F.struct((F.col("offset") + i).alias("position"), F.col("text").substr(i, F.lit(width)).alias("word")),
     )
-    return tiles.select("record", "length", F.explode(inside).alias("w")).select("record", "length", "w.*")
+    return explode_once(tiles, inside, "w", "record", "length").select("record", "length", "w.*")
 
 
 # --- statistics --------------------------------------------------------------------------------
@@ -179,9 +179,8 @@ def composition_windows(seqs: DataFrame, window: int = 100, step: int = 10) -> D
     """Base counts, GC share and skews of sliding windows; the last window is the last full one."""
     size = F.least(F.lit(window), F.length("sequence"))
     begin = F.sequence(F.lit(1), F.length("sequence") - size + 1, F.lit(step))
-    rows = seqs.filter(F.length("sequence") > 0).select(
-        "record", F.explode(F.transform(begin, lambda i: F.struct(i.cast("bigint").alias("start"), F.upper(F.col("sequence").substr(i, size)).alias("w")))).alias("x")
-    ).select("record", "x.*")
+    cut = F.transform(begin, lambda i: F.struct(i.cast("bigint").alias("start"), F.upper(F.col("sequence").substr(i, size)).alias("w")))
+    rows = explode_once(seqs.filter(F.length("sequence") > 0), cut, "x", "record").select("record", "x.*")
     a, c, g, tu = count_symbol(F.col("w"), "A"), count_symbol(F.col("w"), "C"), count_symbol(F.col("w"), "G"), count_any(F.col("w"), "TU")
     counted = rows.select("record", "start", F.length("w").cast("bigint").alias("n"), a.alias("a"), c.alias("c"), g.alias("g"), tu.alias("t"))
     a, c, g, tu, n = (F.col(x) for x in "acgtn")
@@ -391,7 +390,7 @@ def orf_proteins(orfs: DataFrame, seqs: DataFrame, *, code: int = 1, starts_with
 
 def _frame_one_codons(seqs: DataFrame, spread: bool) -> DataFrame:
     tiles = cut_tiles(seqs.withColumn("sequence", as_dna(F.col("sequence"))), spread=spread)
-    return tiles.select("record", F.explode(codons(F.col("text"))).alias("codon"))
+    return explode_once(tiles, codons(F.col("text")), "codon", "record")
 
 
 def codon_counts(seqs: DataFrame, *, merged: bool = False, spread: bool = False) -> DataFrame:

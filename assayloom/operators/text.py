@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.cells import is_blank, natural_key, parse_number
 from assayloom.operators.ladder import numbered
+from assayloom.operators.once import explode_once
 
 # Marks that cannot occur in interchanged text (Unicode noncharacters).
 OPEN, CLOSE = "﷐", "﷑"
@@ -68,8 +69,8 @@ def search_text(
     matched = F.col("m.matched_text")
     new_text = F.regexp_replace(matched, regex, replacement) if mode == "regex" else F.lit(replacement)
     return df.filter(F.col(text).rlike(regex)).select(
-        *keys, F.posexplode(F.flatten(F.transform(lines, of_line))).alias("i", "m")
-    ).select(
+        *keys, F.posexplode_outer(F.flatten(F.transform(lines, of_line))).alias("i", "m")
+    ).filter("m IS NOT NULL").select(
         *keys,
         (F.col("i") + 1).cast("bigint").alias("match"),
         F.col("m.line").alias("line"),
@@ -107,7 +108,7 @@ def word_counts(
     source = F.col(text) if case_sensitive else F.lower(F.col(text))
     stop = sorted({*STOP_WORDS, *[w.lower() for w in extra_stop_words]})
     words = (
-        df.select(F.explode(F.regexp_extract_all(source, F.lit(WORD_PATTERN), F.lit(0))).alias("token"))
+        explode_once(df, F.regexp_extract_all(source, F.lit(WORD_PATTERN), F.lit(0)), "token")
         .select(F.regexp_replace("token", r"^[-']+|[-']+$", "").alias("word"))
         .filter((F.length("word") >= minimum_length) & ~F.lower("word").isin(stop))
     )
