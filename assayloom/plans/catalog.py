@@ -4,6 +4,7 @@ from assayloom.plans import (  # noqa: F401
     flagship,
     hts_queries,
     interval_queries,
+    io_queries,
     sequence_queries,
     stat_queries,
     table_queries,
