@@ -113,9 +113,16 @@ def merge(intervals: DataFrame, gap: int = 0) -> DataFrame:
 
     A run can hold any number of names, so they are not packed into one cell: see ``merge_members``.
     """
-    return merge_members(intervals, gap).groupBy("record", "run_start", "run_end").agg(
-        F.count(F.lit(1)).alias("interval_count"), F.min_by("name", F.struct("start", "end", "name")).alias("name")
-    ).select("record", F.col("run_start").alias("start"), F.col("run_end").alias("end"), "name", F.lit("merge").alias("operation"), "interval_count")
+    starts = intervals.groupBy("record", F.col("start").cast("bigint").alias("start")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("end", "name")).alias("who")
+    )
+    # A start belongs to the last run that opened at or before it.
+    asked = starts.select("record", (F.col("start") + 1).alias("position"), "n", F.struct(F.col("start"), F.col("who.end"), F.col("who.name")).alias("who"))
+    runs = merged_runs(intervals, gap).withColumnRenamed("start", "position")
+    placed = last_known(asked, runs, "end", ["n", "who"])
+    return placed.groupBy("record", F.col("mark.at").alias("start"), F.col("mark.value").alias("end")).agg(
+        F.min("who").alias("who"), F.sum("n").alias("interval_count")
+    ).select("record", "start", "end", F.col("who.name").alias("name"), F.lit("merge").alias("operation"), "interval_count")
 
 
 def union_length(intervals: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ summary row per tile carries them on to the next.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +58,17 @@ def next_position(rows: DataFrame, name: str = "next_position") -> DataFrame:
     )
 
 
-def last_known(points: DataFrame, known: DataFrame, value: str) -> DataFrame:
+def last_known(points: DataFrame, known: DataFrame, value: str, keep: Sequence[str] = ()) -> DataFrame:
     """For each ``(record, position)`` in ``points`` the ``value`` of the last ``known`` position strictly before it.
 
     Both frames hold distinct positions per record. To look the other way, pass negated positions.
+    ``keep`` names columns of ``points`` that come along.
     """
-    marks = known.select("record", "position", F.struct(F.col("position").alias("at"), F.col(value).alias("value")).alias("mark"), F.lit(1).alias("kind"))
-    asks = points.select("record", "position", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.lit(0).alias("kind"))
+    marks = known.select(
+        "record", "position", F.struct(F.col("position").alias("at"), F.col(value).alias("value")).alias("mark"), F.lit(1).alias("kind"),
+        *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in keep],
+    )
+    asks = points.select("record", "position", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.lit(0).alias("kind"), *keep)
     merged = asks.unionByName(marks).withColumn("tile", _tile(F.col("position")))
     along = Window.partitionBy("record").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
     carried = merged.groupBy("record", "tile").agg(F.max_by("mark", F.when(F.col("kind") == 1, F.col("position"))).alias("end_mark")).select(
@@ -72,5 +78,5 @@ def last_known(points: DataFrame, known: DataFrame, value: str) -> DataFrame:
     inside = Window.partitionBy("record", "tile").orderBy("position", "kind").rowsBetween(Window.unboundedPreceding, -1)
     return (
         merged.withColumn("local", F.last("mark", ignorenulls=True).over(inside)).filter("kind = 0").join(carried, ["record", "tile"])
-        .select("record", "position", F.coalesce("local", "carry").alias("mark"))
+        .select("record", "position", *keep, F.coalesce("local", "carry").alias("mark"))
     )

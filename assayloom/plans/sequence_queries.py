@@ -372,7 +372,7 @@ def _changed(t: Tables) -> DataFrame:
 
 CHANGED = f"seqsb AS (SELECT p_partkey + 1000000 AS record, {fx.dna32_sql('p_partkey * 8')} || {fx.dna32_sql('p_partkey * 8 + 77')} || {fx.dna32_sql('p_partkey * 8 + 2')} || {fx.dna32_sql('p_partkey * 8 + 3')} AS sequence FROM part)"
 def _shared(least: int) -> str:
-    return f"""{fx.SEQS}, {CHANGED}, {_words_sql('ka0', 'seqs', 7)}, {_words_sql('kb0', 'seqsb', 7)}, ka AS (SELECT DISTINCT record, w FROM ka0), kb AS (SELECT DISTINCT record, w FROM kb0),
+    return f"""{fx.SEQS}, {CHANGED}, {_words_sql('ka0', 'seqs', 11)}, {_words_sql('kb0', 'seqsb', 11)}, ka AS (SELECT DISTINCT record, w FROM ka0), kb AS (SELECT DISTINCT record, w FROM kb0),
 na AS (SELECT record, count(*) AS n FROM ka GROUP BY 1), nb AS (SELECT record, count(*) AS n FROM kb GROUP BY 1), sh AS (SELECT ka.record AS a, kb.record AS b, count(*) AS s FROM ka JOIN kb USING (w) GROUP BY 1, 2 HAVING count(*) >= {least}),
 pr AS (SELECT a AS a_record, b AS b_record, cast(128 as bigint) AS a_length, cast(128 as bigint) AS b_length, s AS shared_kmers, na.n AS a_kmers, nb.n AS b_kmers, cast(1 as double) AS length_ratio, round(s / (na.n + nb.n - s), 6) AS jaccard FROM sh JOIN na ON na.record = a JOIN nb ON nb.record = b),
 rk AS (SELECT *, row_number() OVER (PARTITION BY a_record ORDER BY shared_kmers DESC, b_record) AS a_best_rank, row_number() OVER (PARTITION BY b_record ORDER BY shared_kmers DESC, a_record) AS b_best_rank FROM pr),
@@ -381,28 +381,28 @@ cl AS (SELECT *, CASE WHEN a_best_rank = 1 AND b_best_rank = 1 THEN 'reciprocal_
 
 @query("J7_shared_word_pairs", f"WITH {_shared(6)} SELECT * FROM pr")
 def _j7(t: Tables) -> DataFrame:
-    return km.candidate_pairs(fx.sequences(t), _changed(t), k=7, min_shared=6, alphabet=km.DNA_WORD)
+    return km.candidate_pairs(fx.sequences(t), _changed(t), k=11, min_shared=6, alphabet=km.DNA_WORD)
 
 
 @query("J7_shared_word_pairs_hot", f"WITH {_shared(6)} SELECT * FROM pr")
 def _j7b(t: Tables) -> DataFrame:
-    return km.candidate_pairs(fx.sequences(t), _changed(t), k=7, min_shared=6, alphabet=km.DNA_WORD, hot_frequency=30)
+    return km.candidate_pairs(fx.sequences(t), _changed(t), k=11, min_shared=6, alphabet=km.DNA_WORD, hot_frequency=1)
 
 
 @query("Q17_reciprocal_best", f"WITH {_shared(6)} SELECT * FROM cl")
 def _q17(t: Tables) -> DataFrame:
-    return km.reciprocal_best(km.candidate_pairs(fx.sequences(t), _changed(t), k=7, min_shared=6, alphabet=km.DNA_WORD), top=2)
+    return km.reciprocal_best(km.candidate_pairs(fx.sequences(t), _changed(t), k=11, min_shared=6, alphabet=km.DNA_WORD), top=2)
 
 
 @query(
     "Q17_unmatched",
-    f"""WITH {_shared(88)}, u AS (SELECT 'A' AS "set", record, max(CASE WHEN classification = 'reciprocal_best' THEN 1 WHEN classification IS NOT NULL THEN 0 END) AS ok FROM seqs LEFT JOIN cl ON a_record = record GROUP BY record
+    f"""WITH {_shared(77)}, u AS (SELECT 'A' AS "set", record, max(CASE WHEN classification = 'reciprocal_best' THEN 1 WHEN classification IS NOT NULL THEN 0 END) AS ok FROM seqs LEFT JOIN cl ON a_record = record GROUP BY record
       UNION ALL SELECT 'B', record, max(CASE WHEN classification = 'reciprocal_best' THEN 1 WHEN classification IS NOT NULL THEN 0 END) FROM seqsb LEFT JOIN cl ON b_record = record GROUP BY record)
     SELECT "set", record, CASE WHEN ok IS NULL THEN 'no_candidate' ELSE 'not_reciprocal' END AS reason FROM u WHERE coalesce(ok, 0) = 0""",
 )
 def _q17b(t: Tables) -> DataFrame:
     a, b = fx.sequences(t), _changed(t)
-    return km.unmatched(a, b, km.reciprocal_best(km.candidate_pairs(a, b, k=7, min_shared=88, alphabet=km.DNA_WORD), top=2))
+    return km.unmatched(a, b, km.reciprocal_best(km.candidate_pairs(a, b, k=11, min_shared=77, alphabet=km.DNA_WORD), top=2))
 
 
 @query(
