@@ -48,7 +48,10 @@ def aligned_blocks(position: Column, ops: Column) -> Column:
             F.when(o["op"].isin(*"M=X"), F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"]).alias("blocks"),
         )
 
-    return F.aggregate(ops, start, step, lambda acc: acc["blocks"])
+    one = F.array(F.struct(position.cast("bigint").alias("start"), (position + ops[0]["len"] - 1).cast("bigint").alias("end")))
+    # Most reads are one plain match: those skip the walk.
+    plain = (F.size(ops) == 1) & F.coalesce(F.try_element_at(ops, F.lit(1))["op"].isin(*"M=X"), F.lit(False))
+    return F.when(plain, one).otherwise(F.aggregate(ops, start, step, lambda acc: acc["blocks"]))
 
 
 def sam_tag(tags: Column, tag: str) -> Column:

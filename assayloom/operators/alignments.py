@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.cells import safe_div
 from assayloom.functions.hts import SAM_FLAGS, aligned_blocks, cigar_ops, has_flag, ops_length, sam_tag
-from assayloom.operators.once import explode_once
+from assayloom.operators.once import compute_once, explode_once
 from assayloom.operators.tiles import running_depth
 
 
@@ -55,8 +55,8 @@ def flag_census(sam: DataFrame) -> DataFrame:
 def blocks(sam: DataFrame) -> DataFrame:
     """Aligned reference ranges ``(record, start, end)`` of mapped rows."""
     mapped = sam.filter(is_mapped())
-    ranges = aligned_blocks(F.col("pos"), cigar_ops(F.col("cigar")))
-    return explode_once(mapped, ranges, "b", F.col("rname").alias("record")).select("record", "b.*")
+    parsed = compute_once(mapped.select("rname", "pos", "cigar"), ops=cigar_ops(F.col("cigar")))
+    return explode_once(parsed, aligned_blocks(F.col("pos"), F.col("ops")), "b", F.col("rname").alias("record")).select("record", "b.*")
 
 
 def depth_segments(ranges: DataFrame, scope: DataFrame) -> DataFrame:
