@@ -38,3 +38,74 @@ def bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     from assayloom.llm import bpe
 
     return bpe.digest(bpe.encode_documents(table(spark, folder, "documents"), tokenizer_path()))
+
+
+#: The URL rules of op5: verdict, host, path.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query(
+    "op5_url_filter",
+    """
+    WITH rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    placed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+    places AS (SELECT DISTINCT host, path FROM placed),
+    hits AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) AS rule, arg_max(verdict, length(rhost || rpath) * 1000 + length(rhost)) AS verdict
+             FROM places JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path)
+    SELECT page_id, placed.host, placed.path, rule, coalesce(verdict, 'allow') AS verdict FROM placed LEFT JOIN hits ON placed.host = hits.host AND placed.path = hits.path
+    """,
+)
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import url_rules
+
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_rules.filter_urls(table(spark, folder, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op7_host_rules",
+    r"""
+    WITH split AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    lines AS (SELECT doc_id, sum(n - 1) AS again FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
+    tokens AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM split),
+    windows AS (SELECT doc_id, i, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows WHERE c IS NOT NULL),
+    covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM counted, (VALUES (0), (1), (2)) AS t(j) WHERE n > 1 GROUP BY doc_id),
+    base AS (
+      SELECT split.doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(again, 0) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+      FROM split LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+    hosts AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM judged GROUP BY source),
+    spread AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v FROM hosts),
+    prior AS (SELECT m, greatest(1.0, least(1000.0, CASE WHEN v > 1e-9 THEN m * (1 - m) / v - 1 ELSE 1000.0 END)) AS w FROM spread),
+    verdicts AS (SELECT source, (f + m * w) / (n + w) <= 0.8 AS host_kept FROM hosts, prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+    FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
+    """,
+)
+def host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import host_rules as rules
+
+    judged = rules.judge_documents(table(spark, folder, "documents"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+@query("op2_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import quality
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.train(docs, labels)
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import languages
+
+    docs = table(spark, folder, "documents")
+    return languages.identify(docs, languages.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
