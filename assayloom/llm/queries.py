@@ -109,3 +109,26 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return languages.identify(docs, languages.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query(
+    "op8_near_duplicates",
+    r"""
+    WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    tokens AS (SELECT doc_id, len(words) AS n, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM split),
+    wide AS (SELECT doc_id, a || ' ' || lead(a) OVER w || ' ' || lead(a, 2) OVER w || ' ' || lead(a, 3) OVER w || ' ' || lead(a, 4) OVER w AS shingle FROM tokens WHERE n >= 5 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    shingles AS (SELECT DISTINCT doc_id, shingle FROM wide WHERE shingle IS NOT NULL UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM split WHERE len(words) BETWEEN 1 AND 4),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS doc_id, b AS other FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+    least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.other, d.doc_id) AS kept
+    FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+    """,
+)
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import near_duplicates as near
+
+    return near.near_duplicates(table(spark, folder, "documents"))
