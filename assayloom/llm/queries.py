@@ -132,3 +132,11 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from assayloom.llm import near_duplicates as near
 
     return near.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_toxicity")
+def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import toxicity
+
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels"))).select("doc_id", "held_out", "score", "predicted")
