@@ -140,3 +140,23 @@ def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, folder, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op10_line_dedup",
+    r"""
+    WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+    counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+    placed AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS BIGINT) AS start FROM counted WHERE words > 0),
+    runs AS (SELECT doc_id, pos, max(pos) OVER w AS last, list(line) OVER w AS run, sum(words) OVER w AS total FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    whole AS (SELECT *, first_value(doc_id) OVER f AS held_doc, first_value(pos) OVER f AS held_pos, first_value(last) OVER f AS held_last FROM runs WHERE total >= 50 WINDOW f AS (PARTITION BY run ORDER BY doc_id, pos)),
+    spans AS (SELECT doc_id, CASE WHEN doc_id = held_doc THEN greatest(pos, held_last + 1) ELSE pos END AS first, last FROM whole WHERE doc_id <> held_doc OR pos <> held_pos),
+    gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(first, last + 1)) AS pos FROM spans)),
+    kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL) AS text, count(gone.pos) AS removed_lines FROM lines l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
+    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, CAST(coalesce(removed_lines, 0) AS INT) AS removed_lines FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """,
+)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import line_dedup as lines
+
+    return lines.remove_repeated_lines(table(spark, folder, "documents")).select("doc_id", "text", "removed_lines")
