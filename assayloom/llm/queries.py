@@ -160,3 +160,22 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from assayloom.llm import line_dedup as lines
 
     return lines.remove_repeated_lines(table(spark, folder, "documents")).select("doc_id", "text", "removed_lines")
+
+
+@query(
+    "op3_embedding_near_dedup",
+    """
+    WITH RECURSIVE numbers AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    usable AS (SELECT vec_id, label, v FROM numbers WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+    reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.other = links.a),
+    least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+    counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.other, e.vec_id)) AS component_id, e.vec_id <= coalesce(l.other, e.vec_id) AS kept
+    FROM embeddings e LEFT JOIN counts c ON c.vec_id = e.vec_id LEFT JOIN least l ON l.vec_id = e.vec_id
+    """,
+)
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import embeddings
+
+    return embeddings.near_embeddings(table(spark, folder, "embeddings"))
