@@ -27,6 +27,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p
 KNOWN_WORDS = 400_000
 #: Words merged together fill so many cells at most, besides a single longer word.
 MERGE_CELLS = 400_000
+NEW_COLUMNS = ("n_tokens", "token_ids", "decoded")
 
 
 def byte_letters() -> list[str]:
@@ -231,31 +232,34 @@ class Bpe:
         return " ".join(map(self.text.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode whole texts and decode them again.
 
-    Returns ``key``, ``n_tokens``, ``token_ids`` (binary: little-endian unsigned 32-bit numbers) and
-    ``decoded``. A null text counts as empty: no tokens, an empty decoded text. Each row, repeated or
-    not, gives one row; other columns are not read. The vocabulary is sent to the tasks once: its
-    size is fixed by the file.
+    Returns ``key``, the columns in ``keep``, ``n_tokens``, ``token_ids`` (binary: little-endian unsigned
+    32-bit numbers) and ``decoded``; kept columns with one of these names give way. A null text counts as
+    empty: no tokens, an empty decoded text. Each row, repeated or not, gives one row. The vocabulary is
+    sent to the tasks once: its size is fixed by the file.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
+    kept = [c for c in keep if c not in (key, *NEW_COLUMNS)]
 
     def make():
         bpe, known = Bpe(**shared.value), {}
 
-        def work(keys, texts):
+        def work(texts, keys, *others):
             if len(known) > KNOWN_WORDS:
                 known.clear()
             ids = bpe.encode_texts([t or "" for t in texts], known)
-            return keys, [len(x) // 4 for x in ids], ids, [bpe.decode(x) for x in ids]
+            return [keys, *others, [len(x) // 4 for x in ids], ids, [bpe.decode(x) for x in ids]]
 
         return work
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")], make, f"`{key}` {kind}, n_tokens bigint, token_ids binary, decoded string")
+    columns = [docs[f"`{text}`"].cast("string").alias("__text"), *[docs[f"`{c}`"].alias(f"__{i}") for i, c in enumerate([key, *kept])]]
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [key, *kept])
+    return map_rows(docs, columns, make, f"{shape}, n_tokens bigint, token_ids binary, decoded string")
 
 
-def digest(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_tokens`` and the SHA-256 of ids and decoded text."""
-    return encoded.select(key, "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digest(encoded: DataFrame, key: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``n_tokens``, the SHA-256 of ids and decoded text, and the columns in ``more`` (those names give way)."""
+    made = {"ids_sha256": F.sha2("token_ids", 256), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}
+    return encoded.select(key, "n_tokens", *[v.alias(k) for k, v in made.items()], *[f"`{c}`" for c in more if c not in (key, "n_tokens", *made)])

@@ -77,15 +77,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gra
     return gone
 
 
-def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``; ``text`` without repeated runs, and ``removed_lines`` (how many went).
+def remove_repeated_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, count: str = "removed_lines"
+) -> DataFrame:
+    """All rows and columns of ``docs``; ``text`` without repeated runs, and ``count``: how many lines went.
 
     A run of at least ``gram_words + window_words - 1`` words in whole lines stays where it stands first, by
     key (nulls first) and position; equal runs later, in other documents or the same, go. A null text
     stays null and an empty one empty. Rows equal in key and text are one document and get the same
-    result. A column named ``removed_lines`` is replaced.
+    result. A column named like ``count`` is replaced.
     """
-    rows = docs.drop("removed_lines")
+    rows = docs.drop(count)
     gone = repeated_lines(rows, key, text, gram_words, window_words)
     gone = gone.select(F.col("__id").alias("__gone_id"), F.col("t1").alias("__gone_1"), F.col("t2").alias("__gone_2"), F.col("gone").alias("__gone"))
     first, second = _text_hash(F.col(text).cast("string"))
@@ -96,4 +98,4 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     staying = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     left = F.array_join(F.transform(staying, lambda i: F.get(F.col("__lines"), i)), "\n")
     kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in rows.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"))
+    return joined.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).alias(count))

@@ -135,23 +135,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     return fit_trees(x, np.array([r["label"] for r in rows], dtype=float))
 
 
-def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns in ``keep``, ``held_out``, ``score`` and ``predicted`` for each row.
+def _scored(docs: DataFrame, model: dict, columns: list[str], text: str) -> DataFrame:
+    """The columns as ``__0``, ``__1`` and so on, and ``__score``."""
+
+    def make():
+        return lambda texts, *others: [*others, walk_trees(model, np.array([statistics(t) for t in texts])).tolist()]
+
+    chosen = [docs[f"`{text}`"].cast("string").alias("__text"), *[docs[f"`{c}`"].alias(f"__{i}") for i, c in enumerate(columns)]]
+    shape = ", ".join(f"__{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+    return map_rows(docs, chosen, make, f"{shape}, __score double")
+
+
+def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``key``, ``held_out``, ``score`` and ``predicted`` for each row.
 
     Null and blank texts are scored by their zero statistics; a null key is not held out. Every row is
     scored by itself, repeated ones alike.
     """
+    fold = F.coalesce(crc_fold("__0", PARTS) == HELD, F.lit(False))
+    return _scored(docs, model, [key], text).select(F.col("__0").alias(key), fold.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
-    def make():
-        def work(keys, texts, *others):
-            x = np.array([statistics(t) for t in texts])
-            return [keys, walk_trees(model, x).tolist(), *others]
-
-        return work
 
-    kept = [F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)]
-    kind = docs.schema[key].dataType.simpleString()
-    more = "".join(f", __keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    scored = map_rows(docs, [F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), *kept], make, f"__key {kind}, score double{more}")
-    fold = F.coalesce(crc_fold("__key", PARTS) == HELD, F.lit(False))
-    return scored.select(F.col("__key").alias(key), *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score at least ``threshold``."""
+    found = _scored(docs, model, docs.columns, text).filter(F.col("__score") >= threshold)
+    return found.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

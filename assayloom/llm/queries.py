@@ -179,3 +179,19 @@ def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from assayloom.llm import embeddings
 
     return embeddings.near_embeddings(table(spark, folder, "embeddings"))
+
+
+@query("op6_mix_to_targets")
+def mix_to_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Domains are languages: the sources of these tables do not differ in their words."""
+    from assayloom.llm import mixing
+
+    docs = table(spark, folder, "documents")
+    return mixing.rate_documents(docs, docs, "lang")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
