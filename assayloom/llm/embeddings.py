@@ -173,7 +173,8 @@ def exact_links(members: DataFrame) -> DataFrame:
             ids, copies, left = group["id"].to_numpy(), group["copies"].to_numpy(), group["left"].to_numpy(zero_copy_only=False)
             x = _unit(group["unit"])
             links = x @ x.T >= LINK
-            if not left.all():  # two blocks: only pairs across
+            at, one, two = (group[c][0].as_py() for c in ("at", "one", "two"))
+            if at % 2 or one != two:  # two blocks, of which one may be empty: only pairs across
                 links &= left[:, None] != left[None, :]
             np.fill_diagonal(links, False)
             label = dict(spanning(ids, links))

@@ -139,12 +139,11 @@ class Parser:
             code = steps[i, :n, None].astype(np.int64)
             ahead = self.table[state[:n].astype(np.int64) * self.width + code]
             ended = ahead < 0
+            count[:n] += ended | (state[:n] == self.roots)  # a phrase begins, if only of an unknown letter
             if ended.any():
-                count[:n] += ended
                 afresh = self.table[self.roots.astype(np.int64) * self.width + code]
                 ahead = np.where(ended, np.where(afresh < 0, self.roots, afresh), ahead)
             state[:n] = ahead
-        count += (fill[order] > 0)[:, None]
         total = np.zeros((len(texts), len(self.roots)), dtype=np.int64)
         np.add.at(total, owner[order], count)
         return total, sizes
