@@ -353,9 +353,14 @@ def column_comparison(df: DataFrame, a: str, b: str, *, max_categories: int = 12
     return shaped(missing).unionByName(shaped(detail))
 
 
+def _letters(i: int) -> str:
+    """A to Z, then AA, AB and so on."""
+    return (_letters(i // 26 - 1) if i >= 26 else "") + chr(ord("A") + i % 26)
+
+
 def list_overlap(lists: Sequence[DataFrame], item: str = "item", order: str | None = None, *, case_sensitive: bool = False) -> DataFrame:
     """Counts of every item in each list, with a membership key such as ``AB-`` and a category."""
-    letters = [chr(ord("A") + i) for i in range(len(lists))]
+    letters = [_letters(i) for i in range(len(lists))]
     tagged = []
     for i, frame in enumerate(lists):
         text = F.trim(F.col(item))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assayloom.functions.cells import is_blank, natural_key, number_of, resolve, text_of
+from assayloom.functions.cells import dtype_of, is_blank, natural_key, number_of, resolve, text_of
 
 
 def clean_cells(
@@ -43,6 +45,39 @@ def clean_cells(
     return out
 
 
+def plain_test(df: DataFrame, column: str, operator: str, value: object) -> Column | None:
+    """The bare comparison of a typed column that every row meeting the rule meets too; readers can skip rows by it.
+
+    Cell rules wrap columns (blank cells, text forms), which no reader understands. None where there is
+    no such comparison.
+    """
+    kind, own = dtype_of(df, column), F.col(f"`{resolve(df, column)}`")
+    if isinstance(kind, T.StringType):
+        return own == str(value) if operator == "==" and str(value).strip() else None
+    if not isinstance(kind, T.NumericType) or isinstance(kind, T.DecimalType):
+        return None
+    try:
+        number = float(str(value))
+    except ValueError:
+        return None
+    if not math.isfinite(number):
+        return None
+    if isinstance(kind, T.IntegralType):
+        # A whole limit of the column's own kind is compared without a cast of the column.
+        whole = {">": math.floor, ">=": math.ceil, "<": math.ceil, "<=": math.floor, "==": math.floor}.get(operator)
+        limit = whole(number) if whole else 0
+        if whole is None or operator == "==" and limit != number or not -(2**31) <= limit < 2**31:
+            return None
+    else:
+        limit = number
+    tests = {">": own > limit, ">=": own >= limit, "<": own < limit, "<=": own <= limit, "==": own == limit}
+    return tests.get(operator)
+
+
+def _with_plain(condition: Column, plain: Column | None) -> Column:
+    return condition if plain is None else plain & condition
+
+
 def rule_condition(df: DataFrame, column: str, operator: str, value: object = "") -> Column:
     """One filter rule as a condition. A missing cell counts as blank text."""
     cell = F.coalesce(text_of(df, column), F.lit(""))
@@ -52,7 +87,8 @@ def rule_condition(df: DataFrame, column: str, operator: str, value: object = ""
     if operator == "not_contains":
         return ~F.lower(cell).contains(wanted.lower())
     if operator == "equals":
-        return cell == wanted
+        typed_text = isinstance(dtype_of(df, column), T.StringType)
+        return _with_plain(cell == wanted, plain_test(df, column, "==", wanted) if typed_text else None)
     if operator == "not_equals":
         return cell != wanted
     if operator == "empty":
@@ -69,7 +105,8 @@ def rule_condition(df: DataFrame, column: str, operator: str, value: object = ""
     }
     if operator not in compare:
         raise ValueError(f"unknown filter operator {operator!r}")
-    return F.coalesce(compare[operator], F.lit(False))
+    sign = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}[operator]
+    return _with_plain(F.coalesce(compare[operator], F.lit(False)), plain_test(df, column, sign, wanted))
 
 
 def filter_rows(df: DataFrame, rules: Sequence[tuple]) -> DataFrame:
@@ -188,18 +225,20 @@ def where_condition(
             return None
         return found if found == found and abs(found) != float("inf") else None
 
-    def equal(item: object) -> Column:
+    def equal(item: object, positive: bool = True) -> Column:
         wanted = as_number(item)
-        if wanted is None:
-            return text == str(item)
-        return F.coalesce(number == wanted, text == str(item))
+        same = text == str(item) if wanted is None else F.coalesce(number == wanted, text == str(item))
+        typed_text = isinstance(dtype_of(df, column), T.StringType)
+        # Number texts such as 1.0 and 1 are equal, so text columns allow no bare test for numbers.
+        plain = plain_test(df, column, "==", item) if positive and not blank_as_zero and (wanted is None) == typed_text else None
+        return _with_plain(same, plain)
 
     if operator == "in":
         return reduce(lambda a, b: a | b, [equal(item) for item in value])
     if operator == "=":
         return equal(value)
     if operator in ("!=", "<>"):
-        return ~equal(value)
+        return ~equal(value, positive=False)
     wanted = as_number(value)
     key, wanted_key = natural_key(text), natural_key(F.lit(str(value)))
 
@@ -213,7 +252,10 @@ def where_condition(
         "<": lambda a, b: a < b,
         "<=": lambda a, b: a <= b,
     }
-    return ordered(tests[operator])
+    plain = None if blank_as_zero or wanted is None else plain_test(df, column, operator, value)
+    if plain is not None and operator in ("<", "<="):
+        plain = plain | F.col(f"`{resolve(df, column)}`").isNull()  # a missing cell is a blank text, before all numbers
+    return _with_plain(ordered(tests[operator]), plain)
 
 
 def where(df: DataFrame, terms: Sequence[tuple], **options) -> DataFrame:
@@ -238,19 +280,21 @@ def project(df: DataFrame, columns: Sequence[str | tuple[str, str]]) -> DataFram
 def filter_stream(df: DataFrame, field: str, operator: str, value: object) -> DataFrame:
     """Filter records or rows by one field; ``length`` stands for the sequence length."""
     if field == "length" and "length" not in df.columns and "sequence" in df.columns:
-        actual, number = F.length("sequence").cast("string"), F.length("sequence").cast("double")
+        actual, number, typed = F.length("sequence").cast("string"), F.length("sequence").cast("double"), False
     else:
+        typed = True
         actual, number = F.coalesce(text_of(df, field), F.lit("")), number_of(df, field)
     if operator == "contains":
         return df.filter(actual.contains(str(value)))
     if operator == "matches":
         return df.filter(actual.rlike(str(value)))
     if operator == "==":
-        return df.filter(actual == str(value))
+        text = typed and isinstance(dtype_of(df, field), T.StringType)
+        return df.filter(_with_plain(actual == str(value), plain_test(df, field, "==", value) if text else None))
     if operator == "!=":
         return df.filter(actual != str(value))
     limit = F.lit(float(str(value)))
     tests = {">": number > limit, ">=": number >= limit, "<": number < limit, "<=": number <= limit}
-    return df.filter(tests[operator])
+    return df.filter(_with_plain(tests[operator], plain_test(df, field, operator, value) if typed else None))
 
 

@@ -292,11 +292,12 @@ def sequence_chunks(sequences: DataFrame) -> DataFrame:
 
 
 def extract_regions(regions: DataFrame, sequences: DataFrame, *, key: Sequence[str]) -> DataFrame:
-    """Sequence of each region, clipped to its record and reverse-complemented on the minus strand."""
+    """Sequence of each region, clipped to its record and reverse-complemented on the minus strand; equal regions give one row."""
     lengths = sequences.select("record", F.length("sequence").cast("bigint").alias("__length"))
-    clipped = regions.join(lengths, "record").withColumn("start", F.greatest(F.lit(1), F.col("start")).cast("bigint")).withColumn(
+    keys = list(dict.fromkeys([*key, "record", "start", "end", "strand"]))
+    clipped = regions.select(*keys).distinct().join(lengths, "record").withColumn("start", F.greatest(F.lit(1), F.col("start")).cast("bigint")).withColumn(
         "end", F.least(F.col("end"), F.col("__length")).cast("bigint")
-    ).filter("start <= end").drop("__length")
+    ).filter("start <= end").drop("__length").distinct()
     wanted = clipped.withColumn(
         "chunk", F.explode(F.sequence(F.floor((F.col("start") - 1) / CHUNK), F.floor((F.col("end") - 1) / CHUNK)))
     )
@@ -305,7 +306,6 @@ def extract_regions(regions: DataFrame, sequences: DataFrame, *, key: Sequence[s
     pieces = wanted.join(sequence_chunks(sequences), ["record", "chunk"]).withColumn(
         "piece", F.col("text").substr((offset + 1).cast("int"), size.cast("int"))
     )
-    keys = list(dict.fromkeys([*key, "record", "start", "end", "strand"]))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda p: p["piece"]), "")
     out = pieces.groupBy(*keys).agg(whole.alias("sequence"))
     return out.withColumn("sequence", F.when(F.col("strand") == "-", reverse_complement(F.col("sequence"))).otherwise(F.col("sequence")))
@@ -339,10 +339,10 @@ def splice_transcripts(parts: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def transcript_parts(features: DataFrame, part_type: str = "exon") -> DataFrame:
-    """Parts of each transcript; a transcript without any uses its own row."""
+    """Parts of each transcript; a part may name several, and a transcript without any uses its own row."""
     exons = features.filter(F.col("feature") == part_type).select(
-        F.coalesce("transcript_id", "parent").alias("transcript"), "record", "start", "end", "strand"
-    ).filter("transcript IS NOT NULL")
+        F.explode(F.split(F.coalesce("transcript_id", "parent"), r"\s*,\s*")).alias("transcript"), "record", "start", "end", "strand"
+    ).filter("transcript <> ''")
     whole = features.filter(F.col("feature").isin("mRNA", "transcript")).select(
         F.coalesce("id", "transcript_id").alias("transcript"), "record", "start", "end", "strand"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,21 +68,31 @@ def quantile_pairs(df: DataFrame, value: str, row_id: Sequence[str]) -> DataFram
     )
 
 
+def _draw_hash(*parts: str | Column | int) -> Column:
+    """A hash of keys and seed that any engine can repeat: MD5 of their texts, set apart by ``|``."""
+    return F.md5(F.concat_ws("|", *[(F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
+def _hash_number(digits: Column, size: int) -> Column:
+    return F.conv(F.substring(digits, 1, size), 16, 10).cast("bigint")
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str], *, replacement: bool = False) -> DataFrame:
     """Exactly ``n`` rows (or all, if fewer), the same for the same seed. ``key`` names each row.
 
-    Without replacement the ``n`` smallest seeded hashes win. A histogram of the top hash bits
-    finds the one bucket in which the cut lies; only that bucket is ordered.
+    Without replacement the ``n`` smallest seeded hashes win. A histogram of the first hash digits
+    finds the one bucket in which the cut lies; only that bucket is ordered. With replacement only keys
+    are numbered, in hash order, and each draw is a place in it.
     """
-    hashed = df.withColumn("__hash", F.xxhash64(*[F.col(c) for c in key], F.lit(seed)))
     if replacement:
-        placed = numbered(hashed, [F.col("__hash"), *[F.col(c) for c in key]], "__place")
+        keys = df.select(*key).withColumn("__hash", _draw_hash(*key, seed))
+        placed = numbered(keys, [F.col("__hash"), *[F.col(c) for c in key]], "__place")
         total = df.count()
-        draws = df.sparkSession.range(n).select(
-            F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))) + 1).alias("__pick")
-        )
-        return draws.join(placed, F.col("__pick") == F.col("__place")).drop("__pick", "__place", "__hash")
-    bucketed = hashed.withColumn("__bucket", F.shiftright("__hash", 48))
+        draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (_hash_number(_draw_hash("id", seed), 15) % max(total, 1) + 1).alias("__pick"))
+        chosen = draws.join(placed, F.col("__pick") == F.col("__place")).select("draw", *[F.col(c).alias(f"__k_{c}") for c in key])
+        match = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in key]
+        return chosen.join(df, reduce(lambda x, y: x & y, match)).select("draw", *df.columns)
+    bucketed = df.withColumn("__hash", _draw_hash(*key, seed)).withColumn("__bucket", F.substring("__hash", 1, 4))
     counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("c"))
     # At most 65,536 bucket rows take part in this window.
     reach = counts.withColumn("upto", F.sum("c").over(Window.orderBy("__bucket")))

@@ -21,7 +21,7 @@ def _bin_count(valid: DataFrame, low: float, high: float, n: int) -> int:
     return math.ceil((high - low) / width) if width > 0 else math.ceil(math.log2(n) + 1)
 
 
-def histogram(df: DataFrame, value: str, *, bins: int | None = None, max_bins: int = 100) -> DataFrame:
+def histogram(df: DataFrame, value: str, *, bins: int | None = None) -> DataFrame:
     """Equal-width bins, empty ones included; the last bin is closed."""
     valid = df.select(number_of(df, value).alias("value")).filter(F.col("value").isNotNull())
     edge = valid.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n")).first()
@@ -29,7 +29,7 @@ def histogram(df: DataFrame, value: str, *, bins: int | None = None, max_bins: i
     if low == high:
         low, high = low - 0.5, high + 0.5
         bins = bins or 1
-    count = max(1, min(max_bins, bins or _bin_count(valid, low, high, edge["n"])))
+    count = max(1, bins or _bin_count(valid, low, high, edge["n"]))
     width = (high - low) / count
     place = F.least(F.lit(count - 1), F.greatest(F.lit(0), F.floor((F.col("value") - low) / width))).cast("bigint")
     filled = valid.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

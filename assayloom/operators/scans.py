@@ -5,6 +5,7 @@ Hits are marked inside tiles by one look-ahead search per pattern, so only hits
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,13 +32,29 @@ def _union(hits: Sequence[Column]) -> Column:
     return hits[0] if len(hits) == 1 else F.concat(*hits)
 
 
-def scan_motifs(seqs: DataFrame, motifs: Sequence[Mapping], *, both_strands: bool = True, flank: int = 0, spread: bool = False) -> DataFrame:
+# Protein letters that stand for several residues.
+PROTEIN_SETS = {"B": "BDN", "Z": "ZEQ", "J": "JIL"}
+
+
+def protein_regex(pattern: str) -> str:
+    """A motif with ambiguous residues: B is D or N, Z is E or Q, J is I or L, X is any residue."""
+    return "".join("[A-Z]" if c == "X" else f"[{PROTEIN_SETS[c]}]" if c in PROTEIN_SETS else re.escape(c) for c in pattern)
+
+
+def scan_motifs(
+    seqs: DataFrame, motifs: Sequence[Mapping], *, both_strands: bool = True, flank: int = 0, spread: bool = False, alphabet: str = "dna"
+) -> DataFrame:
     """Matches of ``{"id", "name", "pattern", "syntax"}`` motifs, overlaps included.
 
     ``plain`` and ``iupac`` motifs have a fixed length and are searched in tiles. ``regex`` motifs may match
-    any length and are searched in whole records.
+    any length and are searched in whole records. Case does not count. ``alphabet`` is ``dna``, ``rna`` (the
+    same, U being T) or ``protein``, whose letters stay as they are and whose motifs have one strand.
     """
-    source = seqs.select("record", as_dna(F.col("sequence")).alias("sequence"))
+    if alphabet not in ("dna", "rna", "protein"):
+        raise ValueError(f"unknown alphabet {alphabet!r}")
+    protein = alphabet == "protein"
+    both_strands = both_strands and not protein
+    source = seqs.select("record", (F.upper("sequence") if protein else as_dna(F.col("sequence"))).alias("sequence"))
     fixed = [m for m in motifs if m.get("syntax", "iupac") != "regex"]
     free = [m for m in motifs if m.get("syntax", "iupac") == "regex"]
     frames = []
@@ -46,10 +63,10 @@ def scan_motifs(seqs: DataFrame, motifs: Sequence[Mapping], *, both_strands: boo
         tiles = cut_tiles(source, before=flank, after=longest - 1 + flank, spread=spread)
         hits = []
         for motif in fixed:
-            pattern = motif["pattern"].upper().replace("U", "T")
+            pattern = motif["pattern"].upper() if protein else motif["pattern"].upper().replace("U", "T")
             sides = [("+", pattern), ("-", reverse_complement_text(pattern))] if both_strands else [("+", pattern)]
             for strand, text in sides:
-                regex = iupac_regex(text) if motif.get("syntax", "iupac") == "iupac" else "\\Q" + text + "\\E"
+                regex = (protein_regex(text) if protein else iupac_regex(text)) if motif.get("syntax", "iupac") == "iupac" else "\\Q" + text + "\\E"
                 hits.append(F.transform(
                     F.filter(look_ahead_starts(F.col("text"), regex), lambda p: (p > F.col("lead")) & (p <= F.col("lead") + CHUNK)),
                     _hit(motif, strand),
@@ -65,7 +82,8 @@ def scan_motifs(seqs: DataFrame, motifs: Sequence[Mapping], *, both_strands: boo
     for strand in ("+", "-") if both_strands else ("+",):
         for motif in free:
             text = F.col("sequence") if strand == "+" else reverse_complement(F.col("sequence"))
-            regex = motif["pattern"]
+            # Letters after a backslash are classes; all others may be read as T for U.
+            regex = "(?i)" + (motif["pattern"] if protein else re.sub(r"(?<!\\)[uU]", "T", motif["pattern"]))
             whole = source.select("record", F.length("sequence").cast("bigint").alias("L"), text.alias("text"))
             placed = explode_once(whole, look_ahead_starts(F.col("text"), regex), "p", "record", "L", "text")
             found = placed.withColumn("m", F.regexp_extract(F.col("text").substr(F.col("p").cast("int"), F.length("text")), f"^(?:{regex})", 0)).filter("m <> ''")

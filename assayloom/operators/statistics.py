@@ -671,12 +671,13 @@ def outlier_diagnostics(
 
 def permutation_test(
     df: DataFrame, value: str, group: str, group_a: str, group_b: str, *, key: Sequence[str], permutations: int = 5000,
-    seed: int = 1, exact_limit: int = 10_000, statistic: str = "mean",
+    seed: int = 1, method: str = "random", statistic: str = "mean",
 ) -> tuple[DataFrame, DataFrame]:
     """Two-sided permutation test of the mean or median difference: ``(result, null distribution)``.
 
     Every relabelling keeps the group sizes: in each permutation the rows with the smallest
-    seeded hashes form group A. Few enough relabellings are all listed instead.
+    seeded hashes form group A. ``method="exact"`` lists all relabellings instead, on the driver: it is
+    meant for a few dozen rows.
     """
     base = df.select(*key, _group(df, group).alias("g"), number_of(df, value).alias("v"))
     rows = base.filter(F.col("g").isin(group_a, group_b) & F.col("v").isNotNull())
@@ -690,7 +691,9 @@ def permutation_test(
         observed = middle[group_a] - middle[group_b]
     else:
         observed = one["m_a"] - one["m_b"]
-    exact = n_a + n_b <= 1000 and math.comb(n_a + n_b, n_a) <= exact_limit
+    if method not in ("exact", "random"):
+        raise ValueError(f"unknown method {method!r}")
+    exact = method == "exact"
     if exact:
         centre = np.median if statistic == "median" else np.mean
         values = np.array([r["v"] for r in rows.select("v").collect()])
@@ -702,7 +705,7 @@ def permutation_test(
         null = spark.createDataFrame(splits, "permutation bigint, difference double")
     else:
         draws = rows.select(*key, "v", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"))
-        draws = draws.withColumn("h", F.xxhash64(*key, "permutation", F.lit(seed)))
+        draws = draws.withColumn("h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.col("permutation").cast("string"), F.lit(str(seed)))))
         placed = numbered(draws, [F.col("h"), *[F.col(k) for k in key]], "place", ["permutation"])
         sides = placed.select(F.col("permutation").cast("bigint").alias("permutation"), (F.col("place") <= n_a).alias("in_a"), "v")
         if statistic == "median":

@@ -102,9 +102,9 @@ def remove_matching_lines(df: DataFrame, text: str, pattern: str, *, mode: str =
 
 def word_counts(
     df: DataFrame, text: str, *, extra_stop_words: Iterable[str] = (), minimum_length: int = 3,
-    max_words: int = 80, case_sensitive: bool = False,
+    max_words: int | None = None, case_sensitive: bool = False,
 ) -> DataFrame:
-    """The most frequent words with their share of all kept words."""
+    """All words, or the ``max_words`` most frequent, with their rank and their share of all kept words."""
     source = F.col(text) if case_sensitive else F.lower(F.col(text))
     stop = sorted({*STOP_WORDS, *[w.lower() for w in extra_stop_words]})
     words = (
@@ -114,7 +114,7 @@ def word_counts(
     )
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").alias("t")).scalar()
-    top = counts.orderBy(F.desc("count"), "word").limit(max_words)
+    top = counts if max_words is None else counts.orderBy(F.desc("count"), "word").limit(max_words)
     ranked = numbered(top, [F.desc("count"), F.col("word")], "rank")
     return ranked.select(
         "rank", "word", "count", F.round(F.col("count") / total * 100, 4).alias("frequency_percent")

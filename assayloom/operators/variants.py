@@ -274,9 +274,11 @@ def header_tables(lines: DataFrame) -> DataFrame:
 
 
 def header_samples(lines: DataFrame) -> list[str]:
-    """Sample names of the ``#CHROM`` line."""
-    row = lines.filter(F.col("line").startswith("#CHROM")).limit(1).collect()
-    return row[0]["line"].split("\t")[9:] if row else []
+    """Sample names of the ``#CHROM`` lines, which must agree where there are several files."""
+    heads = lines.filter(F.col("line").startswith("#CHROM")).select("line").distinct().limit(2).collect()
+    if len(heads) > 1:
+        raise ValueError("the files name different samples; read them one by one")
+    return heads[0]["line"].split("\t")[9:] if heads else []
 
 
 def sampling_candidates(

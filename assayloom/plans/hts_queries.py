@@ -133,7 +133,10 @@ def _w10(t: Tables) -> DataFrame:
     return _site(va.sampling_candidates(_variants(t), S, autosomes_only=True, biallelic_only=True, variant="snv", max_missing_rate=0.2))
 
 
-@query("W10_sample_variants")
+@query(
+    "W10_sample_variants",
+    f"""WITH {fx.VARIANTS} SELECT {SITE} FROM vcf WHERE NOT contains(alt, ',') AND alt <> '.' ORDER BY md5(concat_ws('|', chrom, pos, ref, alt, info, '11')) LIMIT 300""",
+)
 def _w10b(t: Tables) -> DataFrame:
     return _site(va.sample_variants(_variants(t), S, 300, 11, ["chrom", "pos", "ref", "alt", "info"], biallelic_only=True))
 
@@ -322,12 +325,15 @@ def _g18b(t: Tables) -> DataFrame:
     return rd.filter_report(reads, rd.filter_reads(reads, minimum_length=20, maximum_n=0, max_low_quality_percent=55))
 
 
-@query("W9_sample_reads")
+@query("W9_sample_reads", f"WITH {fx.READS} SELECT * FROM reads ORDER BY md5(read_id || '|5') LIMIT 400")
 def _w9(t: Tables) -> DataFrame:
     return rd.sample_reads(fx.reads(t), 400, 5, "read_id")
 
 
-@query("W9_sample_read_pairs")
+@query(
+    "W9_sample_read_pairs",
+    f"""WITH {fx.READS}, s AS (SELECT * FROM reads ORDER BY md5(read_id || '|5') LIMIT 400) SELECT * FROM s UNION ALL SELECT * REPLACE (regexp_replace(title, '/1$', '/2') AS title) FROM s""",
+)
 def _w9b(t: Tables) -> DataFrame:
     first = fx.reads(t)
     second = first.withColumn("title", F.regexp_replace("title", "/1$", "/2"))

@@ -101,12 +101,12 @@ def _i4(t: Tables) -> DataFrame:
 
 @query(
     "J6_nearest_sparse",
-    f"""WITH {fx.INTERVALS}, s AS (SELECT * FROM b WHERE "end" - "start" > 130),
+    f"""WITH {fx.INTERVALS}, s AS (SELECT * FROM b),
     d AS (SELECT a.name, s.name AS pn, CASE WHEN a."start" <= s."end" AND s."start" <= a."end" THEN 0 WHEN a."end" < s."start" THEN s."start" - a."end" ELSE a."start" - s."end" END AS dist, cast(substr(s.name, 5) as bigint) AS o FROM a JOIN s USING (record)),
     r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dist, o) AS k FROM d) SELECT name, pn AS partner_name, dist AS distance_bp FROM r WHERE k = 1""",
 )
 def _j6(t: Tables) -> DataFrame:
-    b = fx.intervals_b(t).filter(F.col("end") - F.col("start") > 130).withColumn("row_id", F.substring("name", 5, 20).cast("bigint"))
+    b = fx.intervals_b(t).withColumn("row_id", F.substring("name", 5, 20).cast("bigint"))
     return iv.nearest(fx.intervals_a(t), b, query_id="name", order="row_id").select("name", "partner_name", "distance_bp")
 
 

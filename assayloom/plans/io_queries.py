@@ -48,12 +48,14 @@ def _s3(t: Tables) -> DataFrame:
     return read_lines(t.spark, _write(t.documents.select(F.regexp_replace("text", "\n", "\r\n").alias("line")), "gzip", gzip=True), spread=4)
 
 
-@query("S3_numbered_lines", "SELECT count(*) AS lines, count(*) AS numbers, cast(0 as bigint) AS lowest, count(*) - 1 AS highest FROM lineitem")
+@query("S3_numbered_lines", "SELECT l_suppkey AS supplier, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS n, l_orderkey || '-' || l_linenumber AS line FROM lineitem")
 def _s3b(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "numbered")
-    t.lineitem.select(fx.line_name().alias("line")).coalesce(1).write.text(path)
+    named = t.lineitem.select(F.col("l_suppkey").alias("supplier"), "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    # One file per supplier, so that each file's numbers can be checked.
+    named.repartition("supplier").sortWithinPartitions("supplier", "l_orderkey", "l_linenumber").select("supplier", "line").write.partitionBy("supplier").text(path)
     lines = numbered_lines(t.spark, path)
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("n").alias("numbers"), F.min("n").alias("lowest"), F.max("n").alias("highest"))
+    return lines.select(F.regexp_extract("file", r"supplier=(\d+)", 1).cast("bigint").alias("supplier"), "n", "line")
 
 
 @query("S4_read_fasta", f"WITH {fx.SEQS} SELECT title, sequence, string_split(title, ' ')[1] AS id, length(sequence) AS length FROM seqs")
@@ -71,11 +73,20 @@ def _s5(t: Tables) -> DataFrame:
     return read_lines(t.spark, path)
 
 
-@query("S6_read_fastq", f"WITH {fx.READS} SELECT title, sequence, plus, quality, '' AS issue FROM reads")
+@query(
+    "S6_read_fastq",
+    f"""WITH {fx.READS} SELECT title, sequence, plus, quality, '' AS issue FROM reads
+    UNION ALL SELECT 'cut' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'ACGT' ELSE '' END, '', '', 'incomplete record' FROM nation""",
+)
 def _s6(t: Tables) -> DataFrame:
+    """Reads with empty lines around and inside them, and a file per nation that ends early."""
     path = shared_folder(t.spark, "fastq")
-    se.write_fastq(fx.reads(t), path)
-    return se.read_fastq(t.spark, path).drop("file", "read")
+    loose = se.fastq_lines(fx.reads(t)).select(F.concat(F.lit("\n"), F.regexp_replace("line", "\n\\+\n", "\n\n+\n"), F.lit("\n")).alias("line"))
+    loose.write.text(f"{path}/whole")
+    cut = F.concat(F.lit("@cut"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "\nACGT").otherwise(""))
+    t.nation.select("n_nationkey", cut.alias("line")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(f"{path}/cut")
+    whole, early = se.read_fastq(t.spark, f"{path}/whole"), se.read_fastq(t.spark, f"{path}/cut")
+    return whole.unionByName(early).drop("file", "read")
 
 
 @query("S7_read_vcf", f"""WITH {fx.VARIANTS} SELECT chrom, cast(pos as varchar) AS pos, coalesce(id, '.') AS id, ref, alt, coalesce(cast(cast(qual as int) as varchar), '.') AS qual, "filter", info, 'GT:DP:GQ' AS format, array_to_string(sv, ' ') AS samples FROM vcf""")
@@ -93,6 +104,19 @@ def _s8(t: Tables) -> DataFrame:
     return ge.read_sam(t.spark, path).select("qname", "flag", "rname", "pos", "mapq", "cigar", "tags")
 
 
+@query(
+    "S9_read_mixed_folder",
+    f"""WITH {fx.INTERVALS}, f AS (SELECT *, cast(substr(name, 5) as bigint) AS k FROM b)
+    SELECT record, "start", "end", name, strand FROM a UNION ALL SELECT record, "start", "end", CASE WHEN k % 2 = 0 THEN 'name=' || k ELSE 'g' || k END, strand FROM f""",
+)
+def _s9c(t: Tables) -> DataFrame:
+    """BED and GFF3 files in one folder."""
+    path = shared_folder(t.spark, "mixed")
+    ge.write_bed(fx.intervals_a(t), path)
+    ge.write_gff(_features(t), path, mode="append")
+    return ge.read_intervals(t.spark, path).drop("attributes", "source_set")
+
+
 @query("S9_read_bed", f"""WITH {fx.INTERVALS} SELECT record, "start", "end", name, strand, 'a' AS source_set FROM a""")
 def _s9(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "bed")
@@ -176,7 +200,7 @@ def _flat_lines(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     text = k.cast("string")
     body = F.concat(
-        F.lit("LOCUS       R"), text, F.lit("  900 bp DNA linear\nFEATURES             Location/Qualifiers\n     gene            complement("), (k % 50 + 1).cast("string"), F.lit(".."), (k % 50 + 90).cast("string"),
+        F.lit("LOCUS       R"), text, F.lit("  900 bp DNA linear\n"), F.when(k % 2 == 0, F.concat(F.lit("VERSION     R"), text, F.lit(".1\n"))).otherwise(""), F.lit("FEATURES             Location/Qualifiers\n     gene            complement("), (k % 50 + 1).cast("string"), F.lit(".."), (k % 50 + 90).cast("string"),
         F.lit(')\n                     /gene="g'), text, F.lit('"\n                     /locus_tag="L'), text, F.lit('"\n     CDS             join(<1..'), (k % 70 + 30).cast("string"), F.lit(",200..\n                     "), (k % 90 + 300).cast("string"),
         F.lit(')\n                     /product="'), F.col("p_name"), F.lit(' protein\n                     long name"\n                     /translation="MKV\n                     LLA"\nORIGIN\n        1 acgt\n//'),
     )
@@ -185,9 +209,9 @@ def _flat_lines(t: Tables) -> DataFrame:
 
 @query(
     "S14_read_flatfile",
-    """SELECT 'R' || p_partkey AS record, 'genbank' AS format, 'gene' AS feature, p_partkey % 50 + 1 AS "start", p_partkey % 50 + 90 AS "end", '-' AS strand, false AS partial, 'complement(' || (p_partkey % 50 + 1) || '..' || (p_partkey % 50 + 90) || ')' AS location,
+    """SELECT 'R' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.1' ELSE '' END AS record, 'genbank' AS format, 'gene' AS feature, p_partkey % 50 + 1 AS "start", p_partkey % 50 + 90 AS "end", '-' AS strand, false AS partial, 'complement(' || (p_partkey % 50 + 1) || '..' || (p_partkey % 50 + 90) || ')' AS location,
       'g' || p_partkey AS gene, 'L' || p_partkey AS locus_tag, NULL AS product, cast(NULL as varchar) AS protein_id, cast(NULL as bigint) AS translation_length FROM part
-    UNION ALL SELECT 'R' || p_partkey, 'genbank', 'CDS', 1, p_partkey % 90 + 300, '+', true, 'join(<1..' || (p_partkey % 70 + 30) || ',200..' || (p_partkey % 90 + 300) || ')', NULL, NULL, p_name || ' protein long name', NULL, 6 FROM part""",
+    UNION ALL SELECT 'R' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.1' ELSE '' END, 'genbank', 'CDS', 1, p_partkey % 90 + 300, '+', true, 'join(<1..' || (p_partkey % 70 + 30) || ',200..' || (p_partkey % 90 + 300) || ')', NULL, NULL, p_name || ' protein long name', NULL, 6 FROM part""",
 )
 def _s14(t: Tables) -> DataFrame:
     return se.read_flatfile(t.spark, _write(_flat_lines(t), "flatfile"))

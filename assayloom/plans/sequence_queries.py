@@ -57,7 +57,22 @@ def _q2(t: Tables) -> DataFrame:
     return sq.protein_stats(fx.proteins(t), isoelectric_point=False)
 
 
-@query("Q2_isoelectric_point")
+def _charge_sql(ph: str) -> str:
+    return " + ".join(f"{'1' if k == 'n_terminus' else 'n_' + k} / (1 + power(10, {ph} - {p}))" for k, p in sq.PKA_POSITIVE.items()) + "".join(
+        f" - {'1' if k == 'c_terminus' else 'n_' + k} / (1 + power(10, {p} - {ph}))" for k, p in sq.PKA_NEGATIVE.items())
+
+
+def _isoelectric_sql() -> str:
+    ionic = "HKRCDEY"
+    each, sums = ", ".join(f"{_n(r, 'sequence')} AS n_{r}" for r in ionic), ", ".join(f"cast(sum(n_{r}) as bigint)" for r in ionic)
+    names, middle = ", ".join(f"n_{r}" for r in ionic), "(low + high) / 2"
+    return f"""WITH RECURSIVE {fx.PROTEINS}, c AS (SELECT title, length(sequence) AS length, {each} FROM prots), t AS (SELECT * FROM c UNION ALL SELECT 'Total', cast(sum(length) as bigint), {sums} FROM c),
+    b AS (SELECT title, length, {names}, cast(0 as double) AS low, cast(14 as double) AS high, 0 AS step FROM t
+      UNION ALL SELECT title, length, {names}, CASE WHEN {_charge_sql(middle)} > 0 THEN {middle} ELSE low END, CASE WHEN {_charge_sql(middle)} > 0 THEN high ELSE {middle} END, step + 1 FROM b WHERE step < 50)
+    SELECT title, length, round({_charge_sql('7.0')}, 6) AS charge, round({middle}, 4) AS isoelectric_point FROM b WHERE step = 50"""
+
+
+@query("Q2_isoelectric_point", _isoelectric_sql())
 def _q2b(t: Tables) -> DataFrame:
     return sq.protein_stats(fx.proteins(t)).select("title", "length", "charge", "isoelectric_point")
 
@@ -245,6 +260,18 @@ def _q12b(t: Tables) -> DataFrame:
     return out.select("record", "motif_id", "strand", "start", "length", "matched_text")
 
 
+@query(
+    "Q12_scan_protein",
+    f"""WITH {fx.PROTEINS}, k AS (SELECT record, p, substr(sequence, p, 3) AS w FROM (SELECT record, sequence, unnest(range(1, length(sequence) - 1)) AS p FROM prots)),
+    h AS (SELECT *, 'site' AS motif_id FROM k WHERE regexp_full_match(w, 'N[A-Z][BDN]') UNION ALL SELECT *, 'fixed' FROM k WHERE w = 'KCR')
+    SELECT record, motif_id, '+' AS strand, p AS "start", p + 2 AS "end", w AS matched_text FROM h
+    UNION ALL SELECT record, 'regex', '+', p, p + 2, w FROM k WHERE regexp_full_match(w, '[DE][HK]C')""",
+)
+def _q12c(t: Tables) -> DataFrame:
+    motifs = [{"id": "site", "pattern": "NXB"}, {"id": "fixed", "pattern": "kcr", "syntax": "plain"}, {"id": "regex", "pattern": "[de][hk]c", "syntax": "regex"}]
+    return sc.scan_motifs(fx.proteins(t), motifs, alphabet="protein").select("record", "motif_id", "strand", "start", "end", "matched_text")
+
+
 PWM = [{"A": 1.2, "C": -1.0, "G": 0.1, "T": -2.0}, {"A": -1.5, "C": 1.4, "G": -0.3, "T": 0.2}, {"A": 0.3, "C": -0.7, "G": 1.1, "T": -1.2}, {"A": -0.9, "C": 0.6, "G": -1.1, "T": 1.3}, {"A": 0.8, "C": 0.7, "G": -2.1, "T": -0.4}]
 _PWM_LOW, _PWM_HIGH = sum(min(c.values()) for c in PWM), sum(max(c.values()) for c in PWM)
 _PWM_SCORE = " + ".join("CASE w[%d] %s END" % (i + 1, " ".join(f"WHEN '{b}' THEN cast({v} as double)" for b, v in c.items())) for i, c in enumerate(PWM))
@@ -342,11 +369,12 @@ def _pcr_sql(circular: bool) -> str:
         q = p["sequence"]
         back = q.translate(str.maketrans("ACGT", "TGCA"))[::-1]
         for strand, pattern in (("+", q), ("-", back)):
-            sides.append(f"SELECT record, '{p['name']}' AS primer, '{strand}' AS strand, p, {_mismatch_list(pattern, strand == '-')} AS bad FROM k")
+            end = f"w[6:8] = '{pattern[5:]}'" if strand == "+" else f"w[1:3] = '{pattern[:3]}'"
+            sides.append(f"SELECT record, '{p['name']}' AS primer, '{strand}' AS strand, p, hamming(w, '{pattern}') AS mm FROM k WHERE {end}")
     size = "CASE WHEN r.p + 7 - f.p + 1 <= 0 THEN r.p + 7 - f.p + 1 + 128 ELSE r.p + 7 - f.p + 1 END" if circular else "r.p + 7 - f.p + 1"
     rule = "true" if circular else "f.p <= r.p"
     text = "substr(sequence || sequence, f.p, n)" if circular else "substr(sequence, f.p, n)"
-    return f"""WITH {fx.SEQS}, {source}, {_words_sql('k', 'seqs2', 8)}, s0 AS ({" UNION ALL ".join(sides)}), s AS (SELECT record, primer, strand, p, len(bad) AS mm FROM s0 WHERE len(bad) <= 2 AND coalesce(list_max(bad), 0) <= 5 AND p <= 128),
+    return f"""WITH {fx.SEQS}, {source}, {_words_sql('k', 'seqs2', 8)}, s0 AS ({" UNION ALL ".join(sides)}), s AS MATERIALIZED (SELECT * FROM s0 WHERE mm <= 2 AND p <= 128),
     j AS (SELECT f.record, f.primer AS fp, r.primer AS rp, f.p AS fs, r.p AS rs, f.mm AS fm, r.mm AS rm, {size} AS n FROM s f JOIN s r ON f.record = r.record AND f.strand = '+' AND r.strand = '-' AND {rule})
     SELECT record AS template, fp AS forward_primer, rp AS reverse_primer, n AS length, '{"circular" if circular else "linear"}' AS topology, fs AS forward_start, (fs + 6) % 128 + 1 AS forward_end, rs AS reverse_start, (rs + 6) % 128 + 1 AS reverse_end, fm AS forward_mismatches, rm AS reverse_mismatches,
       {text.replace("f.p", "fs")} AS product_sequence FROM j JOIN seqs USING (record) WHERE n BETWEEN 20 AND 110"""
@@ -461,18 +489,27 @@ def _q21(t: Tables) -> DataFrame:
     return sq.oligo_properties(oligos)
 
 
-@query(
-    "Q22_exact_blocks",
-    f"""WITH {fx.SEQS}, {CHANGED}, {_words_sql('a', 'seqs', 10)}, {_words_sql('b0', 'seqsb', 10)}, b AS (SELECT '+' AS strand, record, p, w FROM b0 UNION ALL SELECT '-', record, 128 - (p + 9) + 1, {RC.format('w')} FROM b0),
+BLOCKS = f"""WITH {fx.SEQS}, {CHANGED}, {_words_sql('a', 'seqs', 10)}, {_words_sql('b0', 'seqsb', 10)}, b AS (SELECT '+' AS strand, record, p, w FROM b0 UNION ALL SELECT '-', record, 128 - (p + 9) + 1, {RC.format('w')} FROM b0),
     m AS (SELECT a.record AS ar, b.record AS br, strand, a.p AS ap, a.p - b.p AS d FROM a JOIN b USING (w)), i AS (SELECT *, ap - row_number() OVER (PARTITION BY ar, br, strand, d ORDER BY ap) AS g FROM m),
     r AS (SELECT ar, br, strand, d, min(ap) AS s, max(ap) + 9 AS e FROM i GROUP BY ar, br, strand, d, g)
-    SELECT ar AS a_record, br AS b_record, strand, s AS a_start, e AS a_end, CASE strand WHEN '+' THEN s - d ELSE 128 - (e - d) + 1 END AS b_start, CASE strand WHEN '+' THEN e - d ELSE 128 - (s - d) + 1 END AS b_end, e - s + 1 AS block_length FROM r WHERE e - s + 1 >= 12""",
-)
+    SELECT ar AS a_record, br AS b_record, strand, s AS a_start, e AS a_end, CASE strand WHEN '+' THEN s - d ELSE 128 - (e - d) + 1 END AS b_start, CASE strand WHEN '+' THEN e - d ELSE 128 - (s - d) + 1 END AS b_end, e - s + 1 AS block_length FROM r WHERE e - s + 1 >= 12"""
+
+
+@query("Q22_exact_blocks", BLOCKS)
 def _q22(t: Tables) -> DataFrame:
     return km.exact_blocks(fx.sequences(t).select("record", "sequence"), _changed(t), seed=10, min_length=12, deduplicate=False)
 
 
-@query("Q22_exact_blocks_best")
+_SHARE = "(least(x.{0}_end, y.{0}_end) - greatest(x.{0}_start, y.{0}_start) + 1) / least(x.block_length, y.block_length) > 0.85"
+
+
+@query(
+    "Q22_exact_blocks_best",
+    # No block that is beaten here beats another one, so one comparison tells which stay.
+    f"""WITH RECURSIVE blocks AS ({BLOCKS.replace("WITH RECURSIVE", "WITH")})
+    SELECT * FROM blocks y WHERE NOT EXISTS (SELECT 1 FROM blocks x WHERE x.a_record = y.a_record AND x.b_record = y.b_record AND x.strand = y.strand AND {_SHARE.format("a")} AND {_SHARE.format("b")}
+      AND (x.block_length > y.block_length OR x.block_length = y.block_length AND (x.a_start, x.b_start) < (y.a_start, y.b_start)))""",
+)
 def _q22b(t: Tables) -> DataFrame:
     return km.exact_blocks(fx.sequences(t).select("record", "sequence"), _changed(t), seed=10, min_length=12)
 

@@ -285,7 +285,15 @@ def _x15b(t: Tables) -> DataFrame:
     return st.outlier_diagnostics(t.events, "value", "event_type", keys=["event_id"])[1]
 
 
-@query("X16_permutation_test")
+@query(
+    "X16_permutation_test",
+    """WITH e AS (SELECT event_id, event_type AS g, value AS v FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL),
+    n AS (SELECT count(*) FILTER (g = 'view') AS na, count(*) FILTER (g = 'click') AS nb, avg(v) FILTER (g = 'view') - avg(v) FILTER (g = 'click') AS d FROM e),
+    r AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY md5(event_id || '|' || i || '|1'), event_id) AS k FROM e, (SELECT unnest(range(100)) AS i)),
+    p AS (SELECT i, avg(v) FILTER (k <= na) - avg(v) FILTER (k > na) AS d FROM r, n GROUP BY i)
+    SELECT 'random' AS method, na AS n_a, nb AS n_b, round(any_value(n.d), 6) AS difference, count(*) AS runs, count(*) FILTER (abs(p.d) >= abs(n.d) - 1e-12 * greatest(1, abs(n.d))) AS extreme,
+      round((count(*) FILTER (abs(p.d) >= abs(n.d) - 1e-12 * greatest(1, abs(n.d))) + 1) / (count(*) + 1), 8) AS p_value FROM p, n GROUP BY na, nb""",
+)
 def _x16(t: Tables) -> DataFrame:
     return st.permutation_test(t.events, "value", "event_type", "view", "click", key=["event_id"], permutations=100)[0]
 
@@ -314,9 +322,9 @@ def _x17b(t: Tables) -> DataFrame:
 @query(
     "P1_histogram",
     """WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM orders),
-    k AS (SELECT *, least(100, ceil((hi - lo) / (2 * iqr / cbrt(n)))) AS bins FROM s), w AS (SELECT *, (hi - lo) / bins AS w FROM k),
+    k AS (SELECT *, greatest(1, ceil((hi - lo) / (2 * iqr / cbrt(n)))) AS bins FROM s), w AS (SELECT *, (hi - lo) / bins AS w FROM k),
     f AS (SELECT least(bins - 1, greatest(0, floor((o_totalprice - lo) / w))) AS b, count(*) AS c FROM orders, w GROUP BY 1)
-    SELECT round(lo + i * w, 6) AS bin_start, round(lo + (i + 1) * w, 6) AS bin_end, coalesce(c, 0) AS count FROM w, (SELECT unnest(range(100)) AS i) LEFT JOIN f ON b = i WHERE i < bins""",
+    SELECT round(lo + i * w, 6) AS bin_start, round(lo + (i + 1) * w, 6) AS bin_end, coalesce(c, 0) AS count FROM w, (SELECT unnest(range(10000)) AS i) LEFT JOIN f ON b = i WHERE i < bins""",
 )
 def _p1(t: Tables) -> DataFrame:
     return pd_.histogram(t.orders, "o_totalprice")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,29 +83,29 @@ def sam_lines(alignments: DataFrame) -> DataFrame:
 
 # --- intervals ---------------------------------------------------------------------------------
 
-def detect_interval_format(lines: Sequence[str]) -> str:
-    """``vcf``, ``gtf``, ``gff`` or ``bed`` from the first lines."""
-    for line in lines:
-        if line.startswith("##fileformat=VCF") or line.startswith("#CHROM"):
-            return "vcf"
-        if line.startswith("##gff-version"):
-            return "gff"
-        if not line.strip() or line.startswith("#"):
-            continue
-        f = line.split("\t")
-        if len(f) >= 9 and f[3].isdigit() and f[4].isdigit():
-            return "gtf" if '"' in f[8] and "=" not in f[8].split('"')[0] else "gff"
-        if len(f) >= 8 and f[1].isdigit() and not f[2].isdigit():
-            return "vcf"
-        return "bed"
-    return "bed"
+def line_format(line: Column) -> Column:
+    """``vcf``, ``gtf``, ``gff`` or ``bed``, by the fields of the line itself; null for comments and blank lines."""
+    f = F.split(line, "\t")
+    whole = lambda i: F.coalesce(F.get(f, F.lit(i)).rlike(r"^\d+$"), F.lit(False))
+    notes = F.get(f, F.lit(8))
+    feature = (F.size(f) >= 9) & whole(3) & whole(4)
+    gtf = notes.contains('"') & ~F.substring_index(notes, '"', 1).contains("=")
+    kind = F.when(feature & gtf, "gtf").when(feature, "gff").when((F.size(f) >= 8) & whole(1) & ~whole(2), "vcf").otherwise("bed")
+    return F.when((F.trim(line) != "") & ~line.startswith("#"), kind)
 
 
 def read_intervals(spark: SparkSession, path: str, *, fmt: str = "auto", source_set: str = "query") -> DataFrame:
-    """BED, GFF3, GTF or VCF as 1-based inclusive intervals."""
+    """BED, GFF3, GTF or VCF as 1-based inclusive intervals; ``auto`` takes each line for what its own fields say."""
     lines = read_lines(spark, path)
     if fmt == "auto":
-        fmt = detect_interval_format([r["line"] for r in lines.limit(200).collect()])
+        frames = [_intervals(lines.filter(line_format(F.col("line")) == kind), kind) for kind in ("bed", "gff", "gtf", "vcf")]
+        out = reduce(lambda x, y: x.unionByName(y), frames)
+    else:
+        out = _intervals(lines, fmt)
+    return out.filter((F.col("start") >= 1) & (F.col("end") >= F.col("start"))).withColumn("source_set", F.lit(source_set))
+
+
+def _intervals(lines: DataFrame, fmt: str) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     if fmt == "vcf":
         rows = vcf_rows(lines)
@@ -120,7 +121,7 @@ def read_intervals(spark: SparkSession, path: str, *, fmt: str = "auto", source_
     else:
         rows = feature_rows(lines, fmt)
         out = rows.select("record", "start", "end", "name", "strand", "attributes")
-    return out.filter((F.col("start") >= 1) & (F.col("end") >= F.col("start"))).withColumn("source_set", F.lit(source_set))
+    return out
 
 
 def feature_rows(lines: DataFrame, fmt: str = "gff", types: Sequence[str] = ()) -> DataFrame:
@@ -143,11 +144,12 @@ def feature_rows(lines: DataFrame, fmt: str = "gff", types: Sequence[str] = ())
 
 
 def read_features(spark: SparkSession, path: str, *, fmt: str = "auto", types: Sequence[str] = ()) -> DataFrame:
-    """GFF3 or GTF features with their ids, parents and names resolved."""
+    """GFF3 or GTF features with their ids, parents and names resolved; ``auto`` decides line by line."""
     lines = read_lines(spark, path)
-    if fmt == "auto":
-        fmt = detect_interval_format([r["line"] for r in lines.limit(200).collect()])
-    return feature_rows(lines, fmt, types)
+    if fmt != "auto":
+        return feature_rows(lines, fmt, types)
+    gff, gtf = [feature_rows(lines.filter(line_format(F.col("line")) == kind), kind, types) for kind in ("gff", "gtf")]
+    return gff.unionByName(gtf)
 
 
 def read_paf(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -12,16 +12,18 @@ def read_lines(spark: SparkSession, path: str | list[str], *, spread: int | None
     return lines.repartition(spread) if spread else lines
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, n, line)`` with 0-based line numbers.
+def numbered_lines(spark: SparkSession, path: str | list[str], *, skip_empty: bool = False) -> DataFrame:
+    """``(file, n, line)`` with 0-based line numbers; ``skip_empty`` leaves empty lines out and does not count them.
 
     Lines of one file block come in order, so a line's number is its place in its block plus the
     lines of the earlier blocks; only one row per block is summed up for that.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mark"),
-        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line")
     )
+    if skip_empty:
+        lines = lines.filter("line <> ''")
+    lines = lines.withColumn("mark", F.monotonically_increasing_id())
     blocks = lines.groupBy("file", "block").agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("size"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))

@@ -44,10 +44,11 @@ def write_fasta(df: DataFrame, path: str, *, title: str | None = None, sequence:
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Strict four-line reads in file order: ``(file, read, title, sequence, plus, quality, issue)``.
 
-    A quality line may begin with ``@``, so records are framed by line number, not by marks. When bases
-    and qualities differ in number, both are cut to the shorter.
+    A quality line may begin with ``@``, so records are framed by line number, not by marks; empty lines do
+    not count. When bases and qualities differ in number, both are cut to the shorter. A file's last record
+    that has fewer than four lines stays, with what it has and the issue ``incomplete record``.
     """
-    lines = numbered_lines(spark, path).filter(~((F.col("line") == "") & (F.col("n") % 4 == 0)))
+    lines = numbered_lines(spark, path, skip_empty=True)
     slot = lambda i: F.max(F.when(F.col("n") % 4 == i, F.col("line")))
     reads = lines.groupBy("file", F.floor(F.col("n") / 4).alias("read")).agg(
         slot(0).alias("head"), slot(1).alias("sequence"), slot(2).alias("plus"), slot(3).alias("quality")
@@ -58,9 +59,9 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.when(F.length("sequence") != F.length("quality"), "length mismatch"),
     )
     size = F.least(F.length("sequence"), F.length("quality"))
-    return reads.filter(whole).select(
-        "file", "read", F.regexp_replace("head", "^@", "").alias("title"), F.col("sequence").substr(F.lit(1), size).alias("sequence"), "plus",
-        F.col("quality").substr(F.lit(1), size).alias("quality"), issue.alias("issue"),
+    cut = lambda c: F.coalesce(F.when(whole, F.col(c).substr(F.lit(1), size)).otherwise(F.col(c)), F.lit("")).alias(c)
+    return reads.select(
+        "file", "read", F.regexp_replace("head", "^@", "").alias("title"), cut("sequence"), F.coalesce("plus", F.lit("")).alias("plus"), cut("quality"), issue.alias("issue")
     )
 
 
@@ -80,11 +81,16 @@ CONTINUATION = r"\n(?:FT)? +"
 
 
 def read_flatfile(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Features of GenBank, EMBL and UniProt records, one row each. Records end at ``//``."""
+    """Features of GenBank, EMBL and UniProt records, one row each. Records end at ``//``.
+
+    A record is named by its VERSION, else its ACCESSION, else its LOCUS; by AC, else ID, in the other two.
+    """
     records = spark.read.option("lineSep", "\n//").text(path).select(F.regexp_replace("value", "\r", "").alias("text")).filter(F.trim("text") != "")
     text = F.regexp_replace("text", r"^\s+", "")
     genbank = text.startswith("LOCUS")
-    name = F.when(genbank, F.regexp_extract(text, r"^LOCUS\s+(\S+)", 1)).otherwise(F.regexp_extract(text, r"(?m)^ID\s+([^\s;]+)", 1))
+    found = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    key = lambda *patterns: F.coalesce(*[found(p) for p in patterns], F.lit(""))
+    name = F.when(genbank, key(r"(?m)^VERSION\s+(\S+)", r"(?m)^ACCESSION\s+(\S+)", r"^LOCUS\s+(\S+)")).otherwise(key(r"(?m)^AC\s+([^\s;]+)", r"(?m)^ID\s+([^\s;]+)"))
     kind = F.when(genbank, "genbank").when(text.rlike(r"(?m)^ID[^\n]*\bBP\."), "embl").when(text.rlike(r"(?m)^ID[^\n]*\bAA\."), "uniprot").otherwise("unknown")
     named = compute_once(records, record=name, format=kind)
     features = explode_once(named, F.regexp_extract_all(F.col("text"), F.lit(FEATURE_BLOCK), F.lit(1)), "f", "record", "format")

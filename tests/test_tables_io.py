@@ -3,6 +3,8 @@
 import gzip
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from assayloom.operators import cleaning as cl
@@ -81,7 +83,7 @@ def test_fastq_quality_may_begin_with_at_sign(spark, tmp_path):
         lines = numbered_lines(spark, path)
         assert lines.select("n").distinct().count() == 1602
         reads = se.read_fastq(spark, path)
-        assert reads.count() == 400 and reads.filter("title = concat('r', read) AND quality = '@@@@' AND issue = ''").count() == 400
+        assert reads.count() == 401 and reads.filter("title = 'cut' AND issue = 'incomplete record'").count() == 1 and reads.filter("title = concat('r', read) AND quality = '@@@@' AND issue = ''").count() == 400
         fasta = str(tmp_path / "f.fa")
         with open(fasta, "w") as f:
             f.write("".join(f">s{i} d\nACGTAC\nGT\n" for i in range(300)))
@@ -105,12 +107,14 @@ def test_tail_trim_and_filter(spark):
     assert rd.filter_reads(reads, minimum_length=11, keep_failed=True).first()["reason"] == "too_short"
 
 
-def test_interval_format_detection():
-    assert ge.detect_interval_format(["##gff-version 3"]) == "gff"
-    assert ge.detect_interval_format(["c\tx\texon\t1\t9\t.\t+\t.\tID=a;Name=b"]) == "gff"
-    assert ge.detect_interval_format(['c\tx\texon\t1\t9\t.\t+\t.\tgene_id "g";']) == "gtf"
-    assert ge.detect_interval_format(["c\t10\trs1\tA\tG\t.\tPASS\tDP=1"]) == "vcf"
-    assert ge.detect_interval_format(["# note", "c\t0\t10\tname"]) == "bed"
+def test_interval_format_by_line(spark):
+    lines = {
+        "c\tl\texon\t1\t5\t.\t+\t.\tID=a": "gff", "c\tl\texon\t1\t5\t.\t+\t.\tgene_id \"g\";": "gtf", "c\t10\t20": "bed", "c\t10\trs1\tA\tG\t.\tPASS\tDP=1": "vcf",
+        "##gff-version 3": None, "  ": None, "c\t10\t20\tx\t0\t+\t10\t20\t0": "bed",
+    }
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r["line"]: r["kind"] for r in frame.select("line", ge.line_format(F.col("line")).alias("kind")).collect()} == lines
+
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
@@ -119,3 +123,63 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     ensure_checkpoint_dir(spark)
     assert shared_folder(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
     assert not os.path.exists(shared_folder(spark, "x"))
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "".join(line for line in plan.splitlines() if "PushedFilters" in line)
+
+
+def test_filters_reach_the_reader(spark):
+    from assayloom.operators import cleaning
+
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert "GreaterThan(l_quantity,40.0)" in pushed(cleaning.filter_rows(items, [("l_quantity", "gt", 40), ("l_returnflag", "equals", "A")]))
+    assert "EqualTo(l_returnflag,A)" in pushed(cleaning.where(items, [("l_returnflag", "=", "A")]))
+    assert "LessThan(l_linenumber,3)" in pushed(cleaning.where(items, [("l_linenumber", "<", 2.5)]))
+    assert "GreaterThanOrEqual(l_linenumber,3)" in pushed(cleaning.filter_stream(items, "l_linenumber", ">=", 2.5))
+
+
+def test_plain_tests_keep_odd_numbers_right(spark):
+    from assayloom.operators import cleaning
+
+    rows = [(1, 1.5, 3), (2, None, None), (3, float("nan"), 0), (4, float("inf"), -3), (5, -2.0, 2), (6, 1e12, 1)]
+    typed = spark.createDataFrame(rows, "id int, x double, n int")
+    wide = typed.withColumn("x", typed["x"] + 0).selectExpr("id", "x", "cast(n as string) AS n")
+    for column, limit in (("x", 1.5), ("n", 2), ("n", 1.5), ("n", 1e12), ("n", -3)):
+        for sign in ("gt", "gte", "lt", "lte"):
+            ids = lambda df: sorted(r["id"] for r in cleaning.filter_rows(df, [(column, sign, limit)]).collect())
+            assert ids(typed) == ids(wide)
+        for sign in ("=", "<", "<=", ">", ">="):
+            ids = lambda df: sorted(r["id"] for r in cleaning.where(df, [(column, sign, limit)]).collect())
+            assert ids(typed) == ids(wide)
+
+
+def test_fastq_with_empty_lines_and_a_cut_end(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text("\n@r1\nACGT\n\n+\nIIII\n\n\n@r2\nAC\n+\n@I\n@r3\nACG\n")
+    rows = [tuple(r) for r in se.read_fastq(spark, str(tmp_path)).orderBy("read").drop("file", "plus").collect()]
+    assert rows == [(0, "r1", "ACGT", "IIII", ""), (1, "r2", "AC", "@I", ""), (2, "r3", "ACG", "", "incomplete record")]
+
+
+def test_asked_bins_and_floors_are_obeyed(spark):
+    from assayloom.operators import kmers, plotdata, variants
+
+    numbers = spark.range(2000).selectExpr("cast(id as double) AS v")
+    assert plotdata.histogram(numbers, "v", bins=500).count() == 500
+    pair = spark.createDataFrame([(1, 2, "ACGTACGTAC", "ACCATTCATG")], "a_record int, b_record int, a string, b string")
+    assert kmers.window_identity(pair, window=10, min_identity=10).count() == 1 and kmers.window_identity(pair, window=10).count() == 0
+    lines = spark.createDataFrame([("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts2",)], "line string")
+    with pytest.raises(ValueError):
+        variants.header_samples(lines)
+
+
+def test_shared_and_repeated_exons(spark):
+    from assayloom.operators import intervals
+
+    seqs = spark.createDataFrame([("c", "AACCGGTTACGT")], "record string, sequence string")
+    features = spark.createDataFrame(
+        [("c", "exon", 1, 4, "+", None, "t1,t2"), ("c", "exon", 1, 4, "+", None, "t1,t2"), ("c", "exon", 7, 8, "+", None, "t1"), ("c", "mRNA", 1, 9, "+", "t1", None), ("c", "mRNA", 1, 9, "+", "t3", None)],
+        "record string, feature string, start bigint, end bigint, strand string, id string, parent string",
+    ).selectExpr("*", "cast(null as string) AS transcript_id")
+    got = {r["transcript"]: r["sequence"] for r in intervals.splice_transcripts(intervals.transcript_parts(features), seqs).collect()}
+    assert got == {"t1": "AACCTT", "t2": "AACC", "t3": "AACCGGTTA"}
