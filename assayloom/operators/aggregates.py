@@ -21,6 +21,7 @@ from assayloom.functions.cells import (
 from assayloom.functions.distributions import t_critical
 from assayloom.functions.sequence import reverse_complement
 from assayloom.operators.ladder import ladder_quantiles, null_safe_join, quantiles, value_ladder
+from assayloom.session import settle
 
 
 def group_by(df: DataFrame, keys: Sequence[str], aggregates: Sequence[tuple[str, str | None, str]]) -> DataFrame:
@@ -97,7 +98,8 @@ def profile_table(
     boolean = F.lower(text).isin("true", "false", "yes", "no")
     integer = text.rlike(r"^[+-]?\d+$")
     date = text.rlike(r"^\d{4}-\d{2}-\d{2}$") & text.try_cast("date").isNotNull()
-    counts = cells.groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("number"))
+    # Written once: all parts of the profile but approximate quartiles read the distinct values only.
+    counts = settle(cells.groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("number")))
     n = F.when(text.isNotNull(), F.col("n")).otherwise(0)
     shape = counts.groupBy("column").agg(
         F.sum("n").alias("rows"),
@@ -113,15 +115,14 @@ def profile_table(
         (F.sum(F.when(text.isNotNull(), F.length("text") * F.col("n"))) / F.sum(n)).alias("mean_length"),
         F.max(F.length("text")).cast("bigint").alias("max_length"),
     )
-    moments = cells.groupBy("column").agg(
-        F.avg("number").alias("mean"), F.stddev_samp("number").alias("sd"),
-        *([F.percentile_approx("number", [0.25, 0.5, 0.75], 10000).alias("__q")] if approximate else []),
-    )
+    numbers = counts.filter(F.col("number").isNotNull())
+    means = numbers.groupBy("column").agg((F.sum(F.col("number") * F.col("n")) / F.sum("n")).alias("mean"))
+    off = F.col("number") - F.col("mean")
+    spread = F.sqrt(F.sum(off * off * F.col("n")) / F.nullif(F.sum("n") - 1, F.lit(0)))
+    moments = numbers.join(means, "column").groupBy("column").agg(F.max("mean").alias("mean"), spread.alias("sd"))
     if approximate:
-        quarters = moments.select(
-            "column", *[F.col("__q")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))]
-        )
-        moments = moments.drop("__q")
+        sketch = cells.groupBy("column").agg(F.percentile_approx("number", [0.25, 0.5, 0.75], 10000).alias("__q"))
+        quarters = sketch.select("column", *[F.col("__q")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))])
     else:
         quarters = quantiles(
             counts.filter(F.col("number").isNotNull()), "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"], "n"
@@ -155,7 +156,7 @@ def profile_table(
     missing_count = F.col("rows") - F.col("non_missing_count")
     return (
         shape.withColumn("inferred_type", kind)
-        .join(moments, "column").join(extremes, "column").join(quarters, "column", "left").join(top, "column", "left")
+        .join(moments, "column", "left").join(extremes, "column").join(quarters, "column", "left").join(top, "column", "left")
         .select(
             "column", "inferred_type", "non_missing_count", missing_count.alias("missing_count"),
             F.round(missing_count / F.col("rows") * 100, 2).alias("missing_percent"),
@@ -186,7 +187,6 @@ def describe_numeric(
         F.skewness("number").alias("g1"), F.kurtosis("number").alias("g2"),
         F.min("number").alias("min"), F.max("number").alias("max"),
     )
-    from assayloom.session import settle
 
     ladder = settle(value_ladder(cells.select("column", "number"), "number", ["column"]))
     quarters = ladder_quantiles(ladder, "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column"])

@@ -9,6 +9,7 @@ from assayloom.functions.cells import safe_div
 from assayloom.functions.hts import SAM_FLAGS, aligned_blocks, cigar_ops, has_flag, ops_length, sam_tag
 from assayloom.operators.once import compute_once, explode_once
 from assayloom.operators.tiles import running_depth
+from assayloom.session import settle
 
 
 def is_mapped() -> Column:
@@ -70,9 +71,9 @@ def depth_segments(ranges: DataFrame, scope: DataFrame) -> DataFrame:
     ).filter("start <= end")
 
 
-def coverage_scope(sam: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """The whole reference where its length is known, else the observed span."""
-    spans = blocks(sam).groupBy("record").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+def coverage_scope(sam: DataFrame, lengths: DataFrame | None = None, *, ranges: DataFrame | None = None) -> DataFrame:
+    """The whole reference where its length is known, else the observed span; ``ranges`` are the aligned blocks if at hand."""
+    spans = (blocks(sam) if ranges is None else ranges).groupBy("record").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
     if lengths is None:
         known = spans.withColumn("length", F.lit(None).cast("bigint"))
     else:
@@ -90,8 +91,10 @@ def zero_regions(segments: DataFrame) -> DataFrame:
 
 
 def coverage_summary(sam: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    scope = coverage_scope(sam, lengths)
-    segments = depth_segments(blocks(sam), scope.select("record", "scope_start", "scope_end"))
+    # The CIGAR texts are read once; scope and depth take the narrow blocks.
+    ranges = settle(blocks(sam))
+    scope = coverage_scope(sam, lengths, ranges=ranges)
+    segments = depth_segments(ranges, scope.select("record", "scope_start", "scope_end"))
     size = F.col("end") - F.col("start") + 1
     zero = F.lit(0).cast("bigint")
     sums = segments.groupBy("record").agg(

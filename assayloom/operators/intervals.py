@@ -31,9 +31,12 @@ def _width(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(BASE_WIDTH).cast("bigint"), level * LEVEL_BITS)
 
 
-def _levels_of(df: DataFrame, start: str, end: str) -> list[int]:
-    levels = df.select(_level(F.col(end) - F.col(start) + 1).alias("k")).agg(F.collect_set("k")).first()[0]
-    return sorted(levels or [])
+def _levels_of(left: DataFrame, right: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels (a dozen at most) that occur on each side, from one aggregate."""
+    level = _level(F.col("end") - F.col("start") + 1).alias("k")
+    both = left.select(level, F.lit(0).alias("side")).unionByName(right.select(level, F.lit(1).alias("side")))
+    found = both.filter("k IS NOT NULL").distinct().collect()
+    return tuple(sorted(r["k"] for r in found if r["side"] == side) for side in (0, 1))
 
 
 def _binned(df: DataFrame, start: str, end: str, other_levels: Sequence[int], prefix: str) -> DataFrame:
@@ -50,7 +53,7 @@ def range_join(left: DataFrame, right: DataFrame, *, prefixes: tuple[str, str] =
     pa, pb = prefixes
     a = left.select(*[F.col(c).alias(f"{pa}_{c}") for c in left.columns])
     b = right.select(*[F.col(c).alias(f"{pb}_{c}") for c in right.columns])
-    levels_a, levels_b = _levels_of(left, "start", "end"), _levels_of(right, "start", "end")
+    levels_a, levels_b = _levels_of(left, right)
     ab = _binned(a, f"{pa}_start", f"{pa}_end", levels_b, f"__{pa}").withColumnRenamed("__k", "__ka").withColumnRenamed("__bin", "__bina")
     bb = _binned(b, f"{pb}_start", f"{pb}_end", levels_a, f"__{pb}").withColumnRenamed("__k", "__kb").withColumnRenamed("__bin", "__binb")
     first_shared = F.floor(F.greatest(f"{pa}_start", f"{pb}_start") / _width(F.col("__ka")))

@@ -160,6 +160,8 @@ def point_frame(df: DataFrame, x: str, y: str, *, series: str | None = None, lab
 
 def draw_limit(df: DataFrame, order: Sequence[Column], limit: int, *, mode: str = "even", keep: Column | None = None) -> DataFrame:
     """Rows to draw: the first ``limit``, or evenly spaced ones, plus those that meet ``keep``."""
+    if mode == "first" and keep is None:
+        return df.orderBy(*order).limit(limit)
     placed = numbered(df, order, "__place")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     place = F.col("__place") - 1

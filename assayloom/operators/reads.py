@@ -54,9 +54,8 @@ def fastq_summary(reads: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicates"), F.count(F.lit(1)).alias("repeated")
     )
     one = sums.select(
-        "*", *[medians.select(f"md_{c}").scalar().alias(f"md_{c}") for c in values],
-        copies.select("duplicates").scalar().alias("duplicates"), copies.select("repeated").scalar().alias("repeated"),
-    )
+        "*", medians.select(F.struct(*medians.columns).alias("x")).scalar().alias("__medians"), copies.select(F.struct(*copies.columns).alias("x")).scalar().alias("__copies")
+    ).select(*sums.columns, "__medians.*", "__copies.*")
     share = lambda top, bottom, digits=2: F.round(F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom) * 100).otherwise(0.0), digits)
     ratio = lambda top, bottom: F.round(F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(0.0), 6)
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.session import settle
+
 TILE = 1 << 16
 
 
@@ -24,7 +26,8 @@ def running_depth(deltas: DataFrame) -> DataFrame:
 
     ``depth`` holds from ``position`` up to, not including, ``next_position``.
     """
-    events = deltas.groupBy("record", "position").agg(F.sum("delta").alias("delta")).withColumn("tile", _tile(F.col("position")))
+    # Written once: the sums of the tiles and the values inside them both read the events.
+    events = settle(deltas.groupBy("record", "position").agg(F.sum("delta").alias("delta")).withColumn("tile", _tile(F.col("position"))))
     tiles = events.groupBy("record", "tile").agg(F.sum("delta").alias("total"), F.min("position").alias("first"))
     along = Window.partitionBy("record").orderBy("tile")
     carried = tiles.select(
@@ -46,7 +49,7 @@ def running_depth(deltas: DataFrame) -> DataFrame:
 
 def next_position(rows: DataFrame, name: str = "next_position") -> DataFrame:
     """The following position of the same record, for rows with distinct positions."""
-    tiled = rows.withColumn("tile", _tile(F.col("position")))
+    tiled = settle(rows.withColumn("tile", _tile(F.col("position"))))
     along = Window.partitionBy("record").orderBy("tile")
     firsts = tiled.groupBy("record", "tile").agg(F.min("position").alias("first")).select(
         "record", "tile", F.lead("first").over(along).alias("next_first")
@@ -69,7 +72,7 @@ def last_known(points: DataFrame, known: DataFrame, value: str, keep: Sequence[s
         *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in keep],
     )
     asks = points.select("record", "position", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.lit(0).alias("kind"), *keep)
-    merged = asks.unionByName(marks).withColumn("tile", _tile(F.col("position")))
+    merged = settle(asks.unionByName(marks).withColumn("tile", _tile(F.col("position"))))
     along = Window.partitionBy("record").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
     carried = merged.groupBy("record", "tile").agg(F.max_by("mark", F.when(F.col("kind") == 1, F.col("position"))).alias("end_mark")).select(
         "record", "tile", F.last("end_mark", ignorenulls=True).over(along).alias("carry")
