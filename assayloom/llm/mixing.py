@@ -28,8 +28,11 @@ SCALE = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words between blanks, without stops and commas."""
-    return F.split(F.translate(F.lower(text.cast("string")), "\t\n\x0b\x0c\r.,;:!?", " " * 11), " ")
+    """Lower-case words between blanks, tabs and line ends."""
+    plain = F.lower(text.cast("string"))
+    for mark in ("\n", "\t", "\r"):
+        plain = F.replace(plain, F.lit(mark), F.lit(" "))
+    return F.split(plain, " ")
 
 
 def learn_domains(labelled: DataFrame, domain: str, text: str = "text", key: str = "doc_id", max_rows: int = TRAIN_ROWS) -> tuple[list[str], DataFrame]:
@@ -38,13 +41,13 @@ def learn_domains(labelled: DataFrame, domain: str, text: str = "text", key: str
     The rows learned from are those with the smallest hashes of their key, ``max_rows`` at most. Rows with
     a null domain or text teach nothing.
     """
-    usable = labelled.filter(F.col(domain).isNotNull() & F.col(text).isNotNull())
+    usable = labelled.filter(F.col(domain).isNotNull())
     counts = usable.groupBy(F.col(domain).cast("string").alias("d")).count().orderBy(F.desc("count"), "d").limit(DOMAINS).collect()
     names = sorted(r["d"] for r in counts)
     picked = usable.select(F.col(key).alias("__id"), F.col(domain).cast("string").alias("__d")).filter(F.col("__d").isin(names)).orderBy(F.xxhash64("__id"), "__id", "__d").limit(max_rows)
     # max_rows keys at most are sent to the tasks.
     sample = usable.join(F.broadcast(picked.distinct()), (F.col(key) == F.col("__id")) & (F.col(domain).cast("string") == F.col("__d")))
-    words = sample.select("__d", F.explode(words_of(F.col(text))).alias("word")).filter("word <> ''")
+    words = sample.select("__d", F.explode_outer(words_of(F.col(text))).alias("word")).filter("word <> ''")
     per_domain = [F.count_if(F.col("__d") == n).alias(f"n{i}") for i, n in enumerate(names)]
     frequent = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *per_domain).orderBy(F.desc("n"), "word").limit(WORDS)
     frequent = settle(frequent)
@@ -61,7 +64,9 @@ def memberships(docs: DataFrame, names: Sequence[str], model: DataFrame, text: s
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     place = [F.col(key).alias("__id"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")]
-    words = docs.select(*place, F.explode(words_of(body)).alias("word"))
+    # The hashes come before the words are spread, else each word would hash its whole text; the outer form keeps
+    # the optimizer from splitting texts a second time to look for empty lists.
+    words = docs.select(*place, words_of(body).alias("words")).select("__id", "t1", "t2", F.explode_outer("words").alias("word"))
     # The model has WORDS rows at most.
     met = words.join(F.broadcast(model), "word", "left")
     sums = [F.coalesce(F.sum(F.get("chances", F.lit(i))), F.lit(0)).alias(f"s{i}") for i in range(len(names))]
