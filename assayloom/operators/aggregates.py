@@ -400,12 +400,16 @@ def overlap_categories(overlap: DataFrame) -> DataFrame:
 
 
 def duplicate_census(records: DataFrame, *, check_reverse_complement: bool = False) -> DataFrame:
-    """Title and sequence copy counts per record. Long sequences are grouped by their SHA-256 digest."""
+    """Title and sequence copy counts per record; issues found on reading (``format_issues``) come first.
+
+    Long sequences are grouped by their SHA-256 digest.
+    """
+    found = F.col("format_issues") if "format_issues" in records.columns else F.array().cast("array<string>")
     upper = F.upper(F.col("sequence"))
     digest = F.when(F.length("sequence") > 0, F.sha2(upper, 256))
     rows = records.select(
         "record", "title", F.length("sequence").cast("bigint").alias("length"), "sequence_lines",
-        digest.alias("__d"), F.when(F.length("sequence") > 0, F.sha2(reverse_complement(upper), 256)).alias("__rc"),
+        found.alias("__found"), digest.alias("__d"), F.when(F.length("sequence") > 0, F.sha2(reverse_complement(upper), 256)).alias("__rc"),
     )
     titles = rows.groupBy("title").agg(F.count(F.lit(1)).alias("title_count"))
     copies = rows.filter(F.col("__d").isNotNull()).groupBy("__d").agg(F.count(F.lit(1)).alias("sequence_count"))
@@ -418,7 +422,7 @@ def duplicate_census(records: DataFrame, *, check_reverse_complement: bool = Fal
         other = copies.select(F.col("__d").alias("__rc"), F.lit(True).alias("__has_rc"))
         out = out.join(other, "__rc", "left")
         notes.append(F.when(F.col("__has_rc") & (F.col("__rc") != F.col("__d")), "reverse-complement duplicate"))
-    issues = F.concat_ws("; ", *notes)
+    issues = F.concat_ws("; ", "__found", *notes)
     return out.select(
         "record", "title", "length", "sequence_lines", "title_count",
         F.coalesce("sequence_count", F.lit(0).cast("bigint")).alias("sequence_count"),

@@ -56,6 +56,18 @@ def running_total(
     )
 
 
+def running_max(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Add ``name``: the largest ``value`` among the rows up to this one in a total ``order``."""
+    sliced = _sliced(df.withColumn("__value", value), (), order)
+    tops = sliced.groupBy(SLICE).agg(F.max("__value").alias("__top"))
+    # One row per range: the window below is as wide as the number of ranges.
+    earlier = Window.partitionBy(F.lit(0)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(F.col(SLICE).alias("__s"), F.max("__top").over(earlier).alias("__before"))
+    inside = Window.partitionBy(SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumn("__local", F.max("__value").over(inside)).join(before, F.col(SLICE) == F.col("__s"))
+    return local.withColumn(name, F.greatest("__before", "__local")).drop("__s", "__before", "__local", "__value", SLICE)
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "position", by: Sequence[str] = ()) -> DataFrame:
     """Add the 1-based position of each row in a total order."""
     return running_total(df, order, F.lit(1).cast("bigint"), name, by).withColumn(name, F.col(name) + 1)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from assayloom.functions.cells import dtype_of, natural_key, resolve
 from assayloom.functions.distributions import normal_quantile
-from assayloom.operators.ladder import numbered
+from assayloom.operators.ladder import numbered, running_total
 
 
 def sort_columns(df: DataFrame, rules: Sequence[tuple[str, str] | str], row_id: Sequence[str] = ()) -> list[Column]:
@@ -47,9 +47,8 @@ def sequential_positions(
     """Place of each row within its key, and along all keys laid end to end in natural order."""
     placed = numbered(df, [F.col(c) for c in order], index, [key])
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per key (chromosomes), laid end to end.
-    along = Window.orderBy(natural_key(F.col(key)), key).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(key).alias("__key"), F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__offset"))
+    laid = running_total(sizes, [natural_key(F.col(key)), F.col(key)], F.col("__n"), "__along")
+    offsets = laid.select(F.col(key).alias("__key"), F.col("__along").alias("__offset"))
     return (
         placed.join(offsets, F.col(key) == F.col("__key"))
         .withColumn(plot, F.col("__offset") + F.col(index))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.cells import natural_key, number_of, safe_div, text_of
-from assayloom.operators.ladder import null_safe_join, numbered, quantiles
+from assayloom.operators.ladder import null_safe_join, numbered, quantiles, running_total
 
 
 def _bin_count(valid: DataFrame, low: float, high: float, n: int) -> int:
@@ -138,9 +138,7 @@ def manhattan(
     stats = placed.groupBy("chromosome").agg(
         F.count(F.lit(1)).alias("n"), F.max_by("i", F.struct(score.alias("s"), (-F.col("i")).alias("first"))).alias("top_i")
     )
-    # One row per chromosome from here on.
-    along = Window.orderBy(natural_key(F.col("chromosome")), "chromosome").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("offset", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    stats = running_total(stats, [natural_key(F.col("chromosome")), F.col("chromosome")], F.col("n"), "offset")
     return placed.join(stats, "chromosome").select(
         "marker", "chromosome", "position", F.round("p", 12).alias("p_value"), score.alias("neg_log10_p"),
         (F.col("offset") + F.col("i")).alias("plot_position"), (F.col("offset") + (F.col("n") + 1) / 2).alias("chromosome_center"),

@@ -25,7 +25,8 @@ from assayloom.functions.distributions import (
     t_p_value,
     t_two_sided,
 )
-from assayloom.operators.ladder import null_safe_join, numbered, quantiles, running_total, value_ladder
+from assayloom.operators.ladder import null_safe_join, numbered, quantiles, running_max, running_total, value_ladder
+from assayloom.session import settle
 
 
 def _group(df: DataFrame, name: str) -> Column:
@@ -86,30 +87,28 @@ def two_sample_t(df: DataFrame, value: str, group: str, group_a: str, group_b: s
     )
 
 
-def pairwise_t(
-    df: DataFrame, value: str, group: str, *, adjustment: str = "holm", max_groups: int = 1000
-) -> DataFrame:
-    """Welch tests of all group pairs with adjusted p values. The group moments fit one array."""
-    moments = _moments(grouped_values(df, value, group)).filter("n >= 2")
-    count = moments.count()
-    if count > max_groups:
-        raise ValueError(f"{count} groups give {count * (count - 1) // 2} pairs; raise max_groups to go on")
-    table = moments.agg(F.array_sort(F.collect_list(F.struct("g", "n", "m", "s2"))).alias("groups"))
-    pairs = table.select(F.posexplode("groups").alias("i", "a"), "groups").select(
-        "a", F.explode(F.slice("groups", F.col("i") + 2, F.greatest(F.size("groups") - F.col("i") - 1, F.lit(0)))).alias("b")
-    )
+#: Groups meet in so many buckets a side, so that their pairs are dealt over the square of it.
+PAIR_BUCKETS = 16
+
+
+def pairwise_t(df: DataFrame, value: str, group: str, *, adjustment: str = "holm") -> DataFrame:
+    """Welch tests of all group pairs with adjusted p values."""
+    moments = settle(_moments(grouped_values(df, value, group)).filter("n >= 2").select(F.struct("g", "n", "m", "s2").alias("x")))
+    bucket, every = F.pmod(F.xxhash64("x.g"), F.lit(PAIR_BUCKETS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_BUCKETS - 1)))
+    left = moments.select(F.col("x").alias("a"), bucket.alias("i"), every.alias("j"))
+    right = moments.select(F.col("x").alias("b"), bucket.alias("j"), every.alias("i"))
     t, dof = _welch(*[F.col(x) for x in ("a.n", "b.n", "a.m", "b.m", "a.s2", "b.s2")])
+    pairs = left.join(right, ["i", "j"]).filter(F.col("a.g") < F.col("b.g"))
     tested = pairs.select("a", "b", t.alias("t"), dof.alias("dof")).withColumn("p", t_p_value(F.col("t"), F.col("dof")))
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    place = Window.orderBy("p", "a.g", "b.g")
+    tested = settle(tested).withColumn("ga", F.col("a.g")).withColumn("gb", F.col("b.g"))
+    total = tested.agg(F.count(F.lit(1)).alias("n")).scalar()
     if adjustment == "holm":
+        order = [F.col("p"), F.col("ga"), F.col("gb")]
         step = F.least(F.lit(1.0), F.col("p") * (F.col("total") - F.col("k") + 1))
-        adjusted = tested.withColumn("total", total).withColumn("k", F.row_number().over(place)).withColumn(
-            "p_adj", F.max(step).over(place)
-        )
+        adjusted = running_max(numbered(tested, order, "k").withColumn("total", total), order, step, "p_adj")
     else:
-        factor = F.col("total") if adjustment == "bonferroni" else F.lit(1)
-        adjusted = tested.withColumn("total", total).withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * factor))
+        factor = total if adjustment == "bonferroni" else F.lit(1)
+        adjusted = tested.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * factor))
     return adjusted.select(
         F.concat(F.col("a.g"), F.lit(" vs "), F.col("b.g")).alias("comparison"), F.lit("Pairwise Welch t-test").alias("test"),
         F.lit(value).alias("value_column"), F.lit(group).alias("group_column"),
@@ -356,15 +355,16 @@ def fisher_p_value(a: int, b: int, c: int, d: int, alternative: str = "two-sided
             total += term
             peak = max(peak, term)
             past_mode = x <= mode if step < 0 else x >= mode
-            if past_mode and term < peak * 1e-18:
+            if past_mode and term <= peak * 1e-18:
                 break
             x += step
         return total
 
+    # From beyond the mode a tail would be summed over the whole distribution: then its complement is.
     if alternative == "less":
-        return min(1.0, tail(a, -1))
+        return min(1.0, tail(a, -1) if a <= mode else max(0.0, 1.0 - tail(a + 1, 1)))
     if alternative == "greater":
-        return min(1.0, tail(a, 1))
+        return min(1.0, tail(a, 1) if a >= mode else max(0.0, 1.0 - tail(a - 1, -1)))
     limit = math.log(math.exp(log_p(a)) + 1e-12)
 
     def boundary(inner: int, outer: int) -> int | None:

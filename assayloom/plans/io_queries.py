@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayloom.operators import variants as va
 from assayloom.operators.cleaning import filter_rows
 from assayloom.plans import fixtures as fx
 from assayloom.plans.registry import Tables, query
@@ -236,6 +237,47 @@ def _r1(t: Tables) -> DataFrame:
     return t.spark.read.schema(EVENT_SCHEMA).parquet(target)
 
 
+@query(
+    "R1_stream_vcf_filter",
+    f"""WITH {fx.VARIANTS} SELECT chrom, pos, ref, alt, "filter" FROM vcf WHERE "filter" IN ('PASS', '.') AND qual >= 10 AND length(ref) = 1 AND length(alt) = 1 AND NOT contains(alt, ',')""",
+)
+def _r1b(t: Tables) -> DataFrame:
+    """Site and class filters over VCF files as they land."""
+    path, target = shared_folder(t.spark, "landing-vcf"), shared_folder(t.spark, "filtered-vcf")
+    ge.write_vcf(fx.variant_lines(t).repartition(4), path, ["##fileformat=VCFv4.2"], fx.VCF_SAMPLES)
+    keep = lambda df: va.filter_sites(df, filter_status="pass", min_qual=10, variant="snv").select("chrom", "pos", "ref", "alt", "filter")
+    inc.run_filter(inc.stream_vcf(t.spark, path, files_per_trigger=2), keep, target, shared_folder(t.spark, "state"))
+    return t.spark.read.parquet(target)
+
+
+@query(
+    "R2_stream_reference_stats",
+    f"""WITH {fx.ALIGNMENTS}, m AS (SELECT *, flag & 4 = 0 AND rname <> '*' AND pos > 0 AND cigar <> '*' AS mapped, list_sum(list_transform(regexp_extract_all(cigar, '[0-9]+[M=XDN]'), lambda x: cast(left(x, -1) as bigint))) AS span FROM aln)
+    SELECT rname AS reference, count(*) AS alignments, count(*) FILTER (mapped) AS mapped_alignments, round(avg(mapq) FILTER (mapped), 3) AS mean_mapq, cast(min(pos) FILTER (mapped) as bigint) AS covered_min, cast(max(pos + span - 1) FILTER (mapped) as bigint) AS covered_max
+    FROM m WHERE rname <> '*' GROUP BY 1""",
+)
+def _r2b(t: Tables) -> DataFrame:
+    """Reference counters over SAM files as they land, one file a batch."""
+    path, target = shared_folder(t.spark, "landing-sam"), shared_folder(t.spark, "stats")
+    ge.sam_lines(fx.alignments(t)).repartition(3).write.text(path)
+    inc.stream_reference_stats(inc.stream_sam(t.spark, path, files_per_trigger=1), target, shared_folder(t.spark, "state"))
+    return inc.merged_reference_stats(t.spark, target)
+
+
+@query(
+    "R2_stream_read_totals",
+    f"""WITH {fx.READS} SELECT count(*) AS reads, cast(sum(length(sequence)) as bigint) AS bases, cast(min(length(sequence)) as bigint) AS shortest, cast(max(length(sequence)) as bigint) AS longest,
+      round(sum(length(regexp_replace(sequence, '[^GC]', '', 'g'))) / sum(length(sequence)) * 100, 3) AS gc_percent FROM reads""",
+)
+def _r2c(t: Tables) -> DataFrame:
+    path, target = shared_folder(t.spark, "landing-reads"), shared_folder(t.spark, "totals")
+    ta.write_delimited(fx.reads(t).select("sequence", "quality").repartition(3), path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("sequence", "quality")])
+    inc.stream_read_totals(inc.stream_table(t.spark, path, schema, files_per_trigger=1), target, shared_folder(t.spark, "state"))
+    totals = inc.merged_read_totals(t.spark, target)
+    return totals.select("reads", "bases", F.col("shortest").cast("bigint").alias("shortest"), F.col("longest").cast("bigint").alias("longest"), "gc_percent")
+
+
 @query("R2_stream_summary", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def _r2(t: Tables) -> DataFrame:
     stream = inc.stream_table(t.spark, _landed(t), EVENT_SCHEMA, files_per_trigger=1)

@@ -14,6 +14,8 @@ from assayloom.operators import text as tx
 from assayloom.operators.ladder import average_ranks, numbered
 from assayloom.plans import fixtures as fx
 from assayloom.plans.registry import Tables, query
+from assayloom.session import shared_folder
+from assayloom.sources import sequences as se
 
 NUM = r"'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
 NATURAL = (
@@ -533,6 +535,29 @@ def _a11(t: Tables) -> DataFrame:
     return ag.duplicate_census(_copied_sequences(t), check_reverse_complement=True)
 
 
+@query(
+    "A11_fasta_issues",
+    f"""WITH s AS (SELECT p_partkey AS k, p_partkey % 5 AS m, {fx.dna32_sql("p_partkey")} AS q FROM part),
+    u AS (SELECT CASE WHEN m = 1 THEN '' ELSE 's' || k END AS title, CASE WHEN m = 4 THEN '' ELSE q END AS sequence, CASE m WHEN 4 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS n,
+      CASE m WHEN 1 THEN ['missing title', 'header has leading whitespace after >'] WHEN 2 THEN ['blank sequence line', 'blank sequence line', 'sequence line contains whitespace'] WHEN 3 THEN ['header has leading whitespace after >'] WHEN 4 THEN ['empty sequence'] ELSE [] END AS issues FROM s),
+    t AS (SELECT title, count(*) AS title_count FROM u GROUP BY 1), c AS (SELECT sequence, count(*) AS sequence_count FROM u WHERE sequence <> '' GROUP BY 1),
+    w AS (SELECT u.*, title_count, coalesce(sequence_count, 0) AS sequence_count, array_to_string(list_concat(issues, CASE WHEN title_count > 1 THEN ['duplicate title'] ELSE [] END, CASE WHEN sequence_count > 1 THEN ['duplicate sequence'] ELSE [] END), '; ') AS notes
+      FROM u JOIN t USING (title) LEFT JOIN c ON c.sequence = u.sequence)
+    SELECT title, length(sequence) AS length, cast(n as bigint) AS sequence_lines, title_count, sequence_count, CASE WHEN notes = '' THEN 'ok' ELSE 'warning' END AS status, notes AS issues FROM w""",
+)
+def _a11b(t: Tables) -> DataFrame:
+    k, q = F.col("p_partkey"), fx.dna32(F.col("p_partkey"))
+    name, kind = F.concat(F.lit("s"), k.cast("string")), k % 5
+    record = (
+        F.when(kind == 1, F.concat(F.lit("> \n"), q)).when(kind == 2, F.concat(F.lit(">"), name, F.lit("\n"), F.substring(q, 1, 7), F.lit("\n\n \n"), F.substring(q, 8, 9), F.lit(" "), F.substring(q, 17, 16)))
+        .when(kind == 3, F.concat(F.lit("> "), name, F.lit("\n"), q)).when(kind == 4, F.concat(F.lit(">"), name)).otherwise(F.concat(F.lit(">"), name, F.lit("\n"), q))
+    )
+    path = shared_folder(t.spark, "loose-fasta")
+    t.part.select(record.alias("line")).write.text(path)
+    checked = se.read_fasta_checked(t.spark, path).withColumn("record", F.lit(None).cast("bigint"))
+    return ag.duplicate_census(checked).drop("record")
+
+
 @query(
     "W1_sort_rows",
     f"""SELECT p_partkey, p_brand, p_size, row_number() OVER (ORDER BY {NATURAL.format("p_brand")}, p_size DESC, p_partkey) AS position FROM part""",

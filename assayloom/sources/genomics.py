@@ -62,7 +62,11 @@ def vcf_lines(variants: DataFrame, with_samples: bool = True) -> DataFrame:
 
 def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The eleven SAM fields and the optional ones as tab-separated ``tags``."""
-    rows = _fields(read_lines(spark, path), "@").filter(F.size("f") >= 11)
+    return sam_rows(read_lines(spark, path))
+
+
+def sam_rows(lines: DataFrame) -> DataFrame:
+    rows = _fields(lines, "@").filter(F.size("f") >= 11)
     return rows.select(
         _field(1).alias("qname"), F.coalesce(_field(2).try_cast("int"), F.lit(0)).alias("flag"), _field(3).alias("rname"), F.coalesce(_long(4), F.lit(0)).alias("pos"),
         F.coalesce(_field(5).try_cast("int"), F.lit(0)).alias("mapq"), _field(6).alias("cigar"), _field(7).alias("rnext"), _long(8).alias("pnext"), _long(9).alias("tlen"),

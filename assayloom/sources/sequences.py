@@ -21,6 +21,28 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_fasta_checked(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records as ``read_fasta`` gives them, with ``sequence_lines`` and ``format_issues`` for ``duplicate_census``.
+
+    Issues come in the order of the lines: missing title, blanks after ``>``, then each blank sequence
+    line and each with a blank in it, then an empty sequence. A file's last line end is no blank line.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "\r", "").alias("text"))
+    parted = raw.filter(F.trim("text") != "").select(F.regexp_replace("text", r"^>", "").alias("text"))
+    head = F.substring_index("text", "\n", 1)
+    rest = F.when(F.instr("text", "\n") > 0, F.regexp_replace(F.col("text").substr(F.instr("text", "\n") + 1, F.length("text")), r"\n\z", ""))
+    held = compute_once(parted, head=head, lines=F.when(F.length(rest) > 0, F.split(rest, "\n")).otherwise(F.array().cast("array<string>")))
+    ends_trimmed = F.transform("lines", lambda x: F.regexp_replace(x, r"\s+$", ""))
+    by_line = F.transform(ends_trimmed, lambda x: F.when(x == "", "blank sequence line").when(x.rlike(r"\s"), "sequence line contains whitespace"))
+    sequence = F.regexp_replace(F.array_join("lines", ""), r"\s+", "")
+    rows = compute_once(held.select("head", "lines"), title=F.trim("head"), sequence=sequence, by_line=F.array_compact(by_line), sequence_lines=F.size(F.filter(ends_trimmed, lambda x: x != "")).cast("bigint"))
+    issues = F.concat(
+        F.array_compact(F.array(F.when(F.col("title") == "", "missing title"), F.when(F.col("head").rlike(r"^\s"), "header has leading whitespace after >"))),
+        "by_line", F.array_compact(F.array(F.when(F.col("sequence") == "", "empty sequence"))),
+    )
+    return rows.select("title", "sequence", "sequence_lines", F.length("sequence").cast("bigint").alias("length"), issues.alias("format_issues"))
+
+
 def fasta_lines(df: DataFrame, title: str = "title", sequence: str = "sequence", width: int = 60) -> DataFrame:
     wrapped = F.regexp_replace(F.regexp_replace(F.col(sequence), f"(.{{{width}}})", "$1\n"), "\n$", "")
     return df.select(F.concat(F.lit(">"), F.col(title), F.lit("\n"), wrapped).alias("line"))

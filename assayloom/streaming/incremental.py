@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayloom.operators.alignments import typed_alignments
+from assayloom.operators.variants import typed_variants
+from assayloom.sources.genomics import sam_rows, vcf_rows
+
 
 def stream_lines(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format("text")
@@ -23,6 +27,43 @@ def stream_table(spark: SparkSession, folder: str, schema: T.StructType, *, deli
     return reader.load(folder)
 
 
+def stream_vcf(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None) -> DataFrame:
+    """Typed variants of the VCF files that land in ``folder``; every variant filter works on them row by row."""
+    return typed_variants(vcf_rows(stream_lines(spark, folder, files_per_trigger=files_per_trigger)))
+
+
+def stream_sam(spark: SparkSession, folder: str, *, files_per_trigger: int | None = None) -> DataFrame:
+    return sam_rows(stream_lines(spark, folder, files_per_trigger=files_per_trigger))
+
+
+def stream_reference_stats(sam: DataFrame, target: str, checkpoint: str) -> None:
+    """Keep counts, quality sums and covered ends per reference up to date; ``merged_reference_stats`` reads them."""
+    rows = typed_alignments(sam).filter((F.col("rname") != "*") & (F.col("rname") != ""))
+    only = lambda c: F.when(F.col("mapped"), F.col(c))
+    parts = {
+        "alignments": F.count(F.lit(1)), "mapped_alignments": F.count(only("pos")), "mapq_sum": F.sum(only("mapq")), "covered_min": F.min(only("pos")), "covered_max": F.max(only("end")),
+    }
+    run_summary(rows.withColumnRenamed("rname", "reference"), ["reference"], parts, target, checkpoint)
+
+
+def merged_reference_stats(spark: SparkSession, target: str) -> DataFrame:
+    how = {"alignments": "sum", "mapped_alignments": "sum", "mapq_sum": "sum", "covered_min": "min", "covered_max": "max"}
+    merged = merged_summary(spark, target, ["reference"], how)
+    return merged.withColumn("mean_mapq", F.round(F.col("mapq_sum") / F.nullif("mapped_alignments", F.lit(0)), 3)).drop("mapq_sum")
+
+
+def stream_read_totals(reads: DataFrame, target: str, checkpoint: str) -> None:
+    """Keep read counters of landing reads (``sequence``, ``quality``) up to date; ``merged_read_totals`` reads them."""
+    gc = F.length(F.regexp_replace("sequence", "[^GCgc]", ""))
+    parts = {"reads": F.count(F.lit(1)), "bases": F.sum(F.length("sequence")), "gc": F.sum(gc), "shortest": F.min(F.length("sequence")), "longest": F.max(F.length("sequence"))}
+    run_summary(reads.withColumn("all", F.lit("all")), ["all"], parts, target, checkpoint)
+
+
+def merged_read_totals(spark: SparkSession, target: str) -> DataFrame:
+    merged = merged_summary(spark, target, ["all"], {"reads": "sum", "bases": "sum", "gc": "sum", "shortest": "min", "longest": "max"})
+    return merged.withColumn("gc_percent", F.round(F.col("gc") / F.nullif("bases", F.lit(0)) * 100, 3)).drop("all", "gc")
+
+
 def run_filter(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
     """Apply any row-wise operator to all files that have landed and append the result as parquet. Safe to rerun: files already done are skipped."""
     query = transform(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,19 @@ def test_sample_size_and_seed(spark):
     assert len(a) == 137 and a == {r["id"] for r in sample_rows(df, 137, 3, ["id"]).collect()}
     assert a != {r["id"] for r in sample_rows(df, 137, 4, ["id"]).collect()}
     assert sample_rows(df, 200, 3, ["id"], replacement=True).count() == 200
+
+
+def test_fisher_tails_add_up_and_end_soon():
+    for a, b, c, d in ((3, 7, 9, 2), (50, 40, 45, 60), (8, 1, 1, 9)):
+        less, greater = (st.fisher_p_value(a, b, c, d, side) for side in ("less", "greater"))
+        here = math.exp(st._log_hypergeometric(a, a + b, c + d, a + c))
+        assert less + greater - here == pytest.approx(1, abs=1e-9)
+    assert st.fisher_p_value(600_000_000, 400_000_000, 400_000_000, 600_000_000, "less") == pytest.approx(1)
+
+
+def test_holm_over_many_groups(spark):
+    rows = [(f"g{i % 40}", float((i * 7919) % 101 + (i % 40) // 10)) for i in range(1200)]
+    out = st.pairwise_t(spark.createDataFrame(rows, "g string, v double"), "v", "g").select("p_value", "p_adjusted").toPandas().sort_values("p_value")
+    assert len(out) == 40 * 39 // 2
+    want = np.maximum.accumulate(np.minimum(1, out["p_value"].to_numpy() * (len(out) - np.arange(len(out)))))
+    assert np.allclose(out["p_adjusted"], want, atol=1e-4)
