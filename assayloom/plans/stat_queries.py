@@ -306,6 +306,17 @@ def _x17(t: Tables) -> DataFrame:
     return st.principal_components(t.lineitem, PCA_COLUMNS, components=2, keys=["l_orderkey", "l_linenumber"])[0]
 
 
+@query(
+    "X17_pca_first_scores",
+    # Of two positively correlated columns the first component is their scaled sum.
+    """WITH m AS (SELECT avg(l_quantity) AS ma, stddev_samp(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_samp(l_extendedprice) AS sb FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(((l_quantity - ma) / sa + (l_extendedprice - mb) / sb) / sqrt(2), 6) AS score FROM lineitem, m""",
+)
+def _x17c(t: Tables) -> DataFrame:
+    scores = st.principal_components(t.lineitem, ["l_quantity", "l_extendedprice"], components=1, keys=["l_orderkey", "l_linenumber"])[0]
+    return scores.select("l_orderkey", "l_linenumber", F.col("PC1").alias("score"))
+
+
 @query(
     "X17_pca_two_columns",
     """WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)
