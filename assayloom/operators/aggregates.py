@@ -257,13 +257,20 @@ def crosstab_means(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
     )
 
 
+#: Buckets of each side of a grid; the grid is dealt over their square.
+GRID_BUCKETS = 16
+
+
 def crosstab_missing(cells: DataFrame) -> DataFrame:
     """The (x, y) cells of the heat map grid that hold no value.
 
-    The grid is the drawn plot itself: each x row gets the y labels as one array.
+    The grid is the drawn plot itself. Its sides meet in buckets, so that no task or row holds a whole side.
     """
-    labels = cells.agg(F.array_sort(F.collect_set("y")).alias("ys")).scalar()
-    grid = cells.select("x").distinct().select("x", F.explode(labels).alias("y"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(GRID_BUCKETS - 1)))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(GRID_BUCKETS)).cast("int")
+    xs = cells.select("x").distinct().select("x", bucket("x").alias("i"), every.alias("j"))
+    ys = cells.select("y").distinct().select("y", bucket("y").alias("j"), every.alias("i"))
+    grid = xs.join(ys, ["i", "j"]).select("x", "y")
     return grid.join(cells, ["x", "y"], "left_anti")
 
 

@@ -83,6 +83,7 @@ def violin_density(
         F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
     )
+    # The normal reference rule (1.34, 0.9, -0.2) and the widths where it has nothing to go by.
     spread = high - low
     iqr = F.col("q3") - F.col("q1")
     robust = F.when(iqr > 0, F.least(F.when(F.col("sd") > 0, F.col("sd")).otherwise(iqr / 1.34), iqr / 1.34)).otherwise(F.col("sd"))

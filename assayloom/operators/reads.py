@@ -64,6 +64,7 @@ def fastq_summary(reads: DataFrame) -> DataFrame:
 
     q, q30, dup, n = ratio("q_sum", "q_count"), share("q30", "q_count"), share("duplicates", "reads"), share("with_n", "reads")
     none = F.lit("")
+    # Metric names, units, assessments and their limits.
     rows: list[tuple[str, Column, str, Column]] = [
         ("read_count", F.col("reads"), "reads", none), ("total_bases", F.col("bases"), "bases", none),
         ("min_read_length", F.col("shortest"), "bases", none), ("mean_read_length", ratio("bases", "reads"), "bases", none),
@@ -79,7 +80,7 @@ def fastq_summary(reads: DataFrame) -> DataFrame:
         ("duplicate_reads", F.col("duplicates"), "reads", none),
         ("duplicate_reads_percent", dup, "%", judged(dup, dup <= 10, dup <= 30, ("low", "review", "high"))),
         ("overrepresented_sequence_count", F.col("repeated"), "sequences", none),
-        ("quality_encoding_assumption", F.lit("Phred+33"), "", F.lit("assumed from standard Sanger/Illumina 1.8+ FASTQ")),
+        ("quality_encoding_assumption", F.lit("Phred+33"), "", F.lit("assumed, as current sequencers write it")),
         ("quality_ascii_range", F.concat_ws("-", (F.col("q_min") + 33).cast("string"), (F.col("q_max") + 33).cast("string")), "ASCII", none),
     ]
     cells = [

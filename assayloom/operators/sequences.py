@@ -217,6 +217,7 @@ def filter_sequences(
         cut, __len=F.length("sequence"), __gc=F.when(known > 0, F.round(count_any(upper, "GC") / known * 100, 2)), __amb=F.length("sequence") - known,
     )
     length, gc, ambiguous = F.col("__len"), F.col("__gc"), F.col("__amb")
+    # The texts of the reasons.
     reasons = [F.when(length < min_length, F.concat(F.lit("length "), length.cast("string"), F.lit(f" is shorter than minimum {min_length}")))]
     if max_length is not None:
         reasons.append(F.when(length > max_length, F.concat(F.lit("length "), length.cast("string"), F.lit(f" is longer than maximum {max_length}"))))

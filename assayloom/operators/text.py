@@ -14,7 +14,8 @@ from assayloom.operators.once import explode_once
 # Marks that cannot occur in interchanged text (Unicode noncharacters).
 OPEN, CLOSE = "﷐", "﷑"
 
-# English stop words left out of word counts.
+# English stop words left out of word counts (the Snowball project's list, with what is left of
+# its contractions when an apostrophe splits them).
 STOP_WORDS = (
     "a about above after again against ain all am an and any are aren as at be because been before "
     "being below between both but by can could couldn d did didn do does doesn doing don down during "

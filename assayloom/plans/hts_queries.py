@@ -250,7 +250,7 @@ def _summary_sql() -> str:
         ("duplicate_reads", "cast(du as varchar)", "reads", "''"),
         ("duplicate_reads_percent", "cast(round(du / nr * 100, 2) as varchar)", "%", "CASE WHEN du / nr <= 0.1 THEN 'low' WHEN du / nr <= 0.3 THEN 'review' ELSE 'high' END"),
         ("overrepresented_sequence_count", "cast(rp as varchar)", "sequences", "''"),
-        ("quality_encoding_assumption", "'Phred+33'", "", "'assumed from standard Sanger/Illumina 1.8+ FASTQ'"),
+        ("quality_encoding_assumption", "'Phred+33'", "", "'assumed, as current sequencers write it'"),
         ("quality_ascii_range", "(qlo + 33) || '-' || (qhi + 33)", "ASCII", "''"),
     ]
     return f"""WITH {METRICS}, d AS (SELECT cast(sum(c - 1) as bigint) AS du, count(*) AS rp FROM (SELECT count(*) AS c FROM reads GROUP BY sequence HAVING count(*) > 1)),
