@@ -36,7 +36,7 @@ BANDS, ROWS = 20, 4
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Estimates below this, about nine deviations under the link, are not confirmed.
 LEAST_ESTIMATE = 0.5
-BLOCK = 128
+BLOCK = 64
 
 _GOLD = 0x9E3779B97F4A7C15
 _SEEDS = np.array([(xxhash.xxh64_intdigest(b"register", seed=i) | 1) for i in range(BANDS * ROWS)], dtype=np.uint64)
