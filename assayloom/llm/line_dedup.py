@@ -29,7 +29,10 @@ def text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines with a word: document (``key``, hash of its text), ``pos``, hashes ``h1`` and ``h2``, ``words``, and the words before it, ``start``."""
     body = F.col(text).cast("string")
     texts = docs.select(F.col(key).alias("__id"), body.alias("__text")).filter(F.col("__text").isNotNull())
-    rows = texts.select("__id", *[h.alias(f"t{i}") for i, h in enumerate(_text_hash(F.col("__text")), 1)], F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
+    # The hashes come before the lines are spread, else each line would hash its whole text; the outer form keeps
+    # the optimizer from splitting texts a second time to look for empty lists.
+    hashed = texts.select("__id", *[h.alias(f"t{i}") for i, h in enumerate(_text_hash(F.col("__text")), 1)], F.split("__text", "\n").alias("__lines"))
+    rows = hashed.select("__id", "t1", "t2", F.posexplode_outer("__lines").alias("pos", "line"))
     counted = rows.withColumn("words", F.regexp_count("line", F.lit(WORD))).filter(F.col("words") > 0)
     narrow = counted.select("__id", "t1", "t2", "pos", *[h.alias(f"h{i}") for i, h in enumerate(_text_hash(F.col("line")), 1)], "words")
     # One exchange serves the equal rows and all windows over a document.
