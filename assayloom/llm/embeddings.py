@@ -2,10 +2,10 @@
 
 Equal vectors are one class. Seeds come from orders by random sign codes, where each class is compared
 with the next few. NN-descent then lets the neighbours of every class meet each other, both listed and
-listing ones, and keeps the best few per class. A class whose list is full of close neighbours may have
-more, so lists are enlarged at the end: clusters of close classes are compared exactly, in blocks of
-bounded size, and only blocks whose projections are near enough to hold a link. An audit compares a
-fixed number of classes with all others; while it finds a missed link, more seeds are drawn.
+listing ones, and keeps the best few per class and, so that a list full of near copies hides no one,
+what joins close classes however full their lists are. Clusters of close classes are compared exactly, in
+blocks of bounded size, and only blocks whose projections are near enough to hold a link. An audit compares
+a fixed number of classes with all others; while it finds a missed link, more seeds are drawn.
 """
 
 from __future__ import annotations
@@ -132,15 +132,30 @@ def seed_pairs(classes: DataFrame, draw: int) -> DataFrame:
 
 
 def best_lists(pairs: DataFrame, size: int = LIST) -> DataFrame:
-    """The ``size`` most alike neighbours ``v`` of each ``u``, from pairs seen either way round."""
+    """The ``size`` most alike neighbours ``v`` of each ``u`` and all close ones, with their ``rank``, from pairs seen either way round."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "alike").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "alike"))
     once = both.groupBy("u", "v").agg(F.max("alike").alias("alike"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("alike"), "v"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= size).drop("rank")
+    return once.withColumn("rank", rank).filter((F.col("rank") <= size) | (F.col("alike") >= CLOSE - 1e-5))
+
+
+def _tree(links: np.ndarray) -> np.ndarray:
+    """A mask with links that join what all ``links`` join, one for each row but the first of its part."""
+    out, new = np.zeros_like(links), np.ones(len(links), dtype=bool)
+    for root in range(len(links)):
+        front = np.flatnonzero(new[root : root + 1]) + root
+        new[front] = False
+        while len(front):
+            reach = links[front] & new
+            found = np.flatnonzero(reach.any(axis=0))
+            out[front[reach[:, found].argmax(axis=0)], found] = True
+            new[found] = False
+            front = found
+    return np.triu(out | out.T, 1)
 
 
 def descend(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """One round: the members of each middle's list, and those that list it (in bounded chunks), meet; pairs that improve a list."""
+    """One round: the members of each middle's list, and those that list it (in bounded chunks), meet; pairs that improve a list or join close classes."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 2):
@@ -148,9 +163,10 @@ def descend(lists: DataFrame, classes: DataFrame) -> DataFrame:
             bars, x = group["bar"].to_numpy()[first], _unit(group["unit"])[first]
             alike = x @ x.T
             better = np.triu((alike > np.minimum(bars[:, None], bars[None, :])) & (alike >= FLOOR), 1)
-            i, j = np.nonzero(better)
+            i, j = np.nonzero(better | _tree(alike >= CLOSE))
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(alike[i, j])], names=["a", "b", "alike"])
 
+    lists = lists.filter(F.col("rank") <= LIST)
     bars = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("alike")).otherwise(F.lit(0.0)).alias("bar"))
     known = settle(bars.join(classes.select(F.col("id").alias("u"), "unit"), "u").select(F.col("u").alias("id"), "bar", "unit"))
     widths = settle(lists.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")).select(F.col("v").alias("middle"), "chunks"))

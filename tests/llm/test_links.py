@@ -106,6 +106,15 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     assert embeddings.near_embeddings(frame.limit(0)).count() == 0
 
 
+def test_embeddings_joins_families_larger_than_a_list(spark):
+    random = np.random.default_rng(8)
+    first, across = np.linalg.qr(random.standard_normal((64, 2)))[0].T
+    second = 0.985 * first + np.sqrt(1 - 0.985**2) * across
+    rows = [(i, (c + random.standard_normal(64) * 0.001).tolist(), 1) for i, c in enumerate([first] * 20 + [second] * 20)]
+    got = embeddings.near_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {(r["n_links"], r["component_id"], r["kept"]) for r in got} == {(39, 0, True), (39, 0, False)}
+
+
 def plain_line_dedup(texts, run_words):
     seen, gone = {}, {}
     for i, text in texts:
