@@ -5,7 +5,8 @@ with the next few. NN-descent then lets the neighbours of every class meet each
 listing ones, and keeps the best few per class and, so that a list full of near copies hides no one,
 what joins close classes however full their lists are. Clusters of close classes are compared exactly, in
 blocks of bounded size, and only blocks whose projections are near enough to hold a link. An audit compares
-a fixed number of classes with all others; while it finds a missed link, more seeds are drawn.
+a fixed number of classes with all others; while it finds a missed link, more seeds are drawn, and places
+(label and dimension) where it still finds one after the last draw are compared exactly as a whole.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from assayloom.llm.near_duplicates import spanning
 from assayloom.session import settle, shuffle_width
 
 LINK = 0.98
-#: Neighbours less alike than this lead to no link; clusters join classes at least so alike as the second.
-FLOOR, CLOSE = 0.9, 0.95
-#: Orders, bits of a code, and classes compared on each side in an order.
-ORDERS, BITS, REACH = 12, 14, 5
+#: Clusters join classes at least so alike.
+CLOSE = 0.95
+#: Orders of a place of up to ``CROWD`` classes, and so many more for each doubling; bits of a code (so many that large
+#: places are told apart), and classes compared on each side in an order.
+ORDERS, CROWD, BITS, REACH = 12, 4096, 40, 5
 #: Length of neighbour lists, rounds of descent, classes of a middle or a block compared together.
 LIST, ROUNDS, BLOCK = 10, 2, 128
+#: Block of places that are compared as a whole.
+WIDE = 1024
 #: Classes audited, and seed draws at most.
 AUDITED, DRAWS = 256, 3
 
@@ -85,22 +89,25 @@ def _unit(column: pa.ChunkedArray | pa.Array, kind: str = "<f8") -> np.ndarray:
 
 
 def seed_pairs(classes: DataFrame, draw: int) -> DataFrame:
-    """Pairs ``a``, ``b``, ``alike`` that stand close to each other in one of the orders."""
+    """Pairs ``a``, ``b``, ``alike`` that stand close to each other in one of the orders, of which larger places have more."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, ids = batch.column("place").to_pylist(), batch.column("id").to_pylist()
+            places, ids, orders = (batch.column(c).to_pylist() for c in ("place", "id", "orders"))
             rows: list[tuple] = []
             for i, raw in enumerate(batch.column("unit").to_pylist()):
                 x = np.frombuffer(raw, dtype="<f8")
-                for order in range(ORDERS):
-                    side = planes.setdefault((order, len(x)), _direction(draw, order, len(x), rows=BITS + 1)) @ x
-                    sign = int("".join("1" if s > 0 else "0" for s in side[1:]), 2)
-                    rows.append((order, places[i], sign, float(side[0]), ids[i], x.astype("<f4").tobytes()))
+                short = x.astype("<f4").tobytes()
+                for order in range(orders[i]):
+                    if (order, len(x)) not in planes:
+                        planes[order, len(x)] = _direction(draw, order, len(x), rows=BITS + 1)
+                    side = planes[order, len(x)] @ x
+                    rows.append((order, places[i], int((side[1:] > 0) @ powers), float(side[0]), ids[i], short))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     planes: dict[tuple[int, int], np.ndarray] = {}
+    powers = 1 << np.arange(BITS, dtype=np.int64)[::-1]
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
     names = ["turn", "place", "code", "side", "id", "vector"]
 
@@ -113,20 +120,21 @@ def seed_pairs(classes: DataFrame, draw: int) -> DataFrame:
             old = sum(b.num_rows for b in held)
             marks, ids = list(zip(table["turn"].to_pylist(), table["place"].to_pylist())), table["id"].to_numpy()
             starts = [0, *[i for i in range(1, len(marks)) if marks[i] != marks[i - 1]], len(marks)]
-            found: list[tuple] = []
+            found: list[tuple[np.ndarray, ...]] = []
             for lo, hi in zip(starts, starts[1:]):
                 x = _unit(table["vector"].slice(lo, hi - lo), "<f4")
                 for step in range(1, min(REACH, hi - lo - 1) + 1):
                     alike = np.einsum("ij,ij->i", x[:-step], x[step:])
-                    for i in np.flatnonzero(alike >= FLOOR):
-                        if lo + i + step >= old:
-                            found.append((int(ids[lo + i]), int(ids[lo + i + step]), float(alike[i])))
+                    first = max(0, old - lo - step)
+                    found.append((ids[lo + first : hi - step], ids[lo + first + step : hi], alike[first:]))
             held = table.slice(max(0, table.num_rows - REACH)).combine_chunks().to_batches()
-            columns = list(zip(*found)) if found else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64()])], names=["a", "b", "alike"])
+            columns = [np.concatenate(c) for c in zip(*found)] if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64()])], names=["a", "b", "alike"])
 
     order = ["turn", "place", "code", "side", "id"]
-    coded = short_batches(classes).select("place", "id", "unit").mapInArrow(code, "turn int, place string, code bigint, side double, id bigint, vector binary")
+    doublings = F.greatest(F.lit(0.0), F.log2(F.count(F.lit(1)) / CROWD))
+    sizes = classes.groupBy("place").agg(F.ceil(ORDERS * (1 + doublings)).cast("int").alias("orders"))
+    coded = short_batches(classes.join(sizes, "place")).select("place", "id", "unit", "orders").mapInArrow(code, "turn int, place string, code bigint, side double, id bigint, vector binary")
     dealt = coded.repartitionByRange(shuffle_width(classes.sparkSession), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(meet, "a bigint, b bigint, alike double")
 
@@ -162,12 +170,12 @@ def descend(lists: DataFrame, classes: DataFrame) -> DataFrame:
             ids, first = np.unique(group["id"].to_numpy(), return_index=True)
             bars, x = group["bar"].to_numpy()[first], _unit(group["unit"])[first]
             alike = x @ x.T
-            better = np.triu((alike > np.minimum(bars[:, None], bars[None, :])) & (alike >= FLOOR), 1)
+            better = np.triu(alike > np.minimum(bars[:, None], bars[None, :]), 1)
             i, j = np.nonzero(better | _tree(alike >= CLOSE))
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(alike[i, j])], names=["a", "b", "alike"])
 
     lists = lists.filter(F.col("rank") <= LIST)
-    bars = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("alike")).otherwise(F.lit(0.0)).alias("bar"))
+    bars = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("alike")).otherwise(F.lit(-2.0)).alias("bar"))
     known = settle(bars.join(classes.select(F.col("id").alias("u"), "unit"), "u").select(F.col("u").alias("id"), "bar", "unit"))
     widths = settle(lists.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")).select(F.col("v").alias("middle"), "chunks"))
     listing = lists.select(F.col("v").alias("middle"), F.col("u").alias("id")).join(widths, "middle").select("middle", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id")
@@ -177,11 +185,11 @@ def descend(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a bigint, b bigint, alike double")
 
 
-def exact_links(members: DataFrame) -> DataFrame:
+def exact_links(members: DataFrame, size: int = BLOCK) -> DataFrame:
     """For classes of clusters (``id``, ``copies``, ``unit``, ``cell``, ``cluster``): ``id``, ``label`` (joins what is linked), ``n`` (linked vectors met).
 
-    Linked vectors lie in the same or neighbouring cells. Cells are cut in blocks, and each two blocks
-    of such cells meet once.
+    Linked vectors lie in the same or neighbouring cells. Cells are cut in blocks of about ``size``, and each
+    two blocks of such cells meet once.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +204,7 @@ def exact_links(members: DataFrame) -> DataFrame:
             label = dict(spanning(ids, links))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([label.get(int(i), int(i)) for i in ids], pa.int64()), pa.array(links @ copies)], names=["id", "label", "n"])
 
-    sizes = settle(members.groupBy("cluster", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    sizes = settle(members.groupBy("cluster", "cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")))
     placed = members.join(sizes, ["cluster", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def beside(shift: int) -> DataFrame:
@@ -216,8 +224,8 @@ def exact_links(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "id bigint, label bigint, n bigint")
 
 
-def audit(classes: DataFrame, counts: DataFrame, size: int = AUDITED) -> tuple[int, int]:
-    """Links found and links there are for ``size`` classes, half of them with links; the classes are compared with all others."""
+def audit(classes: DataFrame, counts: DataFrame, size: int = AUDITED) -> list[str]:
+    """Places in which one of ``size`` classes, half of them with links, has more links than found; the classes are compared with all others."""
     half = size // 2
     with_links = counts.filter("n > 0").orderBy(F.xxhash64("id"), "id").limit(half).select("id")
     asked = classes.select("id").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(half).unionByName(with_links).distinct()
@@ -239,8 +247,10 @@ def audit(classes: DataFrame, counts: DataFrame, size: int = AUDITED) -> tuple[i
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["id", "true_n"])
 
     true = short_batches(classes).select("place", "id", "copies", "unit").mapInArrow(compare, "id bigint, true_n bigint").groupBy("id").agg(F.sum("true_n").alias("true_n"))
-    row = true.join(counts, "id", "left").agg(F.sum(F.least("true_n", F.coalesce("n", F.lit(0)))).alias("found"), F.sum("true_n").alias("there")).first()
-    return int(row["found"] or 0), int(row["there"] or 0)
+    # One row per audited class.
+    short = true.join(counts, "id", "left").filter(F.col("true_n") > F.coalesce("n", F.lit(0))).select("id").collect()
+    missed = {r["id"] for r in short}
+    return sorted({r["place"] for r in rows if r["id"] in missed})
 
 
 def near_embeddings(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -266,11 +276,17 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
         pairs = lists.select(F.col("u").alias("a"), F.col("v").alias("b"), "alike")
         below = connected(pairs.filter(F.col("alike") >= CLOSE - 1e-5), "a", "b")
         members = below.unionByName(below.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "cluster")
-        met = settle(exact_links(classes.join(members, "id")))
+        met = settle(exact_links(classes.join(members, "id"), BLOCK))
         counts = settle(met.groupBy("id").agg(F.sum("n").alias("n")))
-        found, there = audit(classes, counts)
-        if found >= there:
+        missed = audit(classes, counts)
+        if not missed:
             break
+    else:  # the audit is not met: the places it names are compared as a whole
+        whole = classes.filter(F.col("place").isin(missed))
+        named = whole.groupBy("place").agg(F.min("id").alias("cluster"))
+        others = classes.filter(~F.col("place").isin(missed)).join(members, "id")
+        met = settle(exact_links(others, BLOCK).unionByName(exact_links(whole.join(named, "place"), WIDE)))
+        counts = settle(met.groupBy("id").agg(F.sum("n").alias("n")))
     joined = connected(met.filter(F.col("id") != F.col("label")), "id", "label").withColumnRenamed("id", "__id")
     full = classes.join(counts, "id", "left").join(joined, F.col("id") == F.col("__id"), "left")
     named = settle(full.select(F.col("print").alias("__print"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")))

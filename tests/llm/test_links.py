@@ -115,6 +115,23 @@ def test_embeddings_joins_families_larger_than_a_list(spark):
     assert {(r["n_links"], r["component_id"], r["kept"]) for r in got} == {(39, 0, True), (39, 0, False)}
 
 
+def test_embeddings_missed_by_seeds_are_found_exactly(spark, monkeypatch):
+    for name, value in (("ORDERS", 1), ("REACH", 1), ("ROUNDS", 0), ("DRAWS", 1)):
+        monkeypatch.setattr(embeddings, name, value)
+    random = np.random.default_rng(9)
+    topic = random.standard_normal(64) * 1.4
+    rows = []
+    for i in range(60):
+        center = topic + random.standard_normal(64)
+        rows += [(i, center), (100 + i, center + random.standard_normal(64) * 0.2)]
+    units = {i: v / np.linalg.norm(v) for i, v in rows}
+    links = [(a, b) for a, b in combinations(sorted(units), 2) if units[a] @ units[b] >= 0.98]
+    got = {r["vec_id"]: r for r in embeddings.near_embeddings(spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert len(links) > 50
+    for i, label in plain_components(units, links).items():
+        assert (got[i]["n_links"], got[i]["component_id"]) == (sum(i in p for p in links), label)
+
+
 def plain_line_dedup(texts, run_words):
     seen, gone = {}, {}
     for i, text in texts:
