@@ -13,7 +13,9 @@ the cluster's first member, then only members that are not yet joined to that on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -28,18 +30,29 @@ from assayloom.llm.components import connected
 from assayloom.session import settle, shuffle_width
 
 SHINGLE = 5
-#: A pair is linked if 100 * intersection >= LINK_PERCENT * union.
+#: A pair is linked if 100 * intersection >= percent * union; this is the percent unless another is asked for.
 LINK_PERCENT = 85
-#: At similarity 0.85 all bands differ for 4 pairs in 10 million.
-BANDS, ROWS = 20, 4
+#: Rows of a band, and the chance that a pair at the link differs in all bands: it sets their number, 20 at 85 percent.
+ROWS, MISSED = 4, 4e-7
 #: Base and rate of the registers, and the largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: Estimates below this, about nine deviations under the link, are not confirmed.
-LEAST_ESTIMATE = 0.5
+#: Estimates lower than the link by more than this, about nine deviations, are not confirmed.
+BELOW = 0.35
 BLOCK = 64
 
 _GOLD = 0x9E3779B97F4A7C15
-_SEEDS = np.array([(xxhash.xxh64_intdigest(b"register", seed=i) | 1) for i in range(BANDS * ROWS)], dtype=np.uint64)
+
+
+def bands_for(percent: int) -> int:
+    """Bands that a pair at the link shares one of but for a chance of ``MISSED``."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    return 1 if percent == 100 else math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+@lru_cache
+def _seeds(bands: int) -> np.ndarray:
+    return np.array([(xxhash.xxh64_intdigest(b"register", seed=i) | 1) for i in range(bands * ROWS)], dtype=np.uint64)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -57,12 +70,13 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def registers(shingles: np.ndarray, bands: int = bands_for(LINK_PERCENT)) -> np.ndarray:
     """SetSketch registers of a set of hashes: 16-bit numbers, larger for smaller minima."""
-    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    seeds = _seeds(bands)
+    least = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for start in range(0, len(shingles), 512):
-            x = shingles[start : start + 512, None] * _SEEDS
+            x = shingles[start : start + 512, None] * seeds
             x ^= x >> np.uint64(31)
             x *= np.uint64(_GOLD)
             least = np.minimum(least, x.min(axis=0))
@@ -135,13 +149,15 @@ def spanning(ids: np.ndarray, links: np.ndarray, label: np.ndarray | None = None
     return [(int(i), int(m)) for i, m in zip(ids, label) if i != m]
 
 
-def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """``id``, ``n_shingles``, ``print`` (of the exact set) and ``registers`` of each row."""
 
+    bands = bands_for(percent)
+
     def make():
         def work(keys, texts):
             sets = [shingle_set(t) for t in texts]
-            return [keys, [len(s) for s in sets], [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [registers(s).tobytes() if len(s) else None for s in sets]]
+            return [keys, [len(s) for s in sets], [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [registers(s, bands).tobytes() if len(s) else None for s in sets]]
 
         return work
 
@@ -149,12 +165,12 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return map_rows(docs, columns, make, "id bigint, n_shingles bigint, print binary, registers binary")
 
 
-def likely_links(classes: DataFrame, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
+def likely_links(classes: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """Pairs of classes (``a``, ``b``) that share a band bucket's pick and whose registers allow a link."""
     salt = F.xxhash64("band", F.lit("salt"))
     width = 2 * ROWS
     pieces = classes.select(
-        F.col("rep"), F.posexplode(F.array(*[F.substring("registers", 1 + i * width, width) for i in range(BANDS)])).alias("band", "piece")
+        F.col("rep"), F.posexplode(F.array(*[F.substring("registers", 1 + i * width, width) for i in range(bands_for(percent))])).alias("band", "piece")
     ).withColumn("place", F.col("rep").bitwiseXOR(salt))
     picks = settle(pieces.groupBy("band", "piece").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("first") != F.col("last")))
     met = pieces.join(picks, ["band", "piece"]).select("rep", F.explode(F.array(F.col("first").bitwiseXOR(salt), F.col("last").bitwiseXOR(salt))).alias("pick"))
@@ -171,27 +187,27 @@ def likely_links(classes: DataFrame, least_estimate: float = LEAST_ESTIMATE) ->
         return classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}"))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = 100 * F.least("n_a", "n_b") >= LINK_PERCENT * F.greatest("n_a", "n_b")
-    return sized.filter(near).withColumn("estimate", estimate("r_a", "r_b", "n_a", "n_b")).filter(F.col("estimate") >= least_estimate).select("a", "b")
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sized.filter(near).withColumn("estimate", estimate("r_a", "r_b", "n_a", "n_b")).filter(F.col("estimate") >= percent / 100 - BELOW).select("a", "b")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each group of (cluster, block, chunk): links within it, without those inside a known part."""
     for group in groups_of(batches, 3):
         ids, parts = group.column("id").to_numpy(), group.column("part").to_numpy()
         sets = [np.frombuffer(s, dtype="<u8") for s in group.column("shingles").to_pylist()]
-        out = [] if len(np.unique(parts)) < 2 else spanning(ids, linked(sets), parts)
+        out = [] if len(np.unique(parts)) < 2 else spanning(ids, linked(sets, percent), parts)
         a, b = zip(*out) if out else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _in_groups(rows: DataFrame) -> DataFrame:
+def _in_groups(rows: DataFrame, percent: int) -> DataFrame:
     keys = ["cluster", "block", "chunk"]
     dealt = short_batches(rows).select(*keys, "id", "part", "shingles").repartition(shuffle_width(rows.sparkSession), *keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(_compare, "a bigint, b bigint")
+    return dealt.sortWithinPartitions(*keys).mapInArrow(lambda batches: _compare(batches, percent), "a bigint, b bigint")
 
 
-def confirmed_links(docs: DataFrame, links: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def confirmed_links(docs: DataFrame, links: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """Pairs (``a``, ``b``) of confirmed links that join what all true links inside the likely clusters join."""
     below = connected(links, "a", "b")
     members = settle(below.unionByName(below.select(F.col("component").alias("id"), "component").distinct()))
@@ -207,7 +223,7 @@ def confirmed_links(docs: DataFrame, links: DataFrame, key: str = "doc_id", text
 
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = sets.withColumn("block", F.explode(F.when(F.col("id") == F.col("cluster"), everywhere).otherwise(F.array("block"))))
-    first = settle(_in_groups(own.select("cluster", "block", F.lit(0).alias("chunk"), "id", F.col("id").alias("part"), "shingles")))
+    first = settle(_in_groups(own.select("cluster", "block", F.lit(0).alias("chunk"), "id", F.col("id").alias("part"), "shingles"), percent))
 
     parts = connected(first, "a", "b").select(F.col("id").alias("__id"), "component")
     split = sets.filter(F.col("blocks") > 1).join(parts, F.col("id") == F.col("__id"), "left").withColumn("part", F.coalesce("component", "id")).drop("__id", "component")
@@ -219,20 +235,22 @@ def confirmed_links(docs: DataFrame, links: DataFrame, key: str = "doc_id", text
     rows = facing.withColumn("chunk", F.explode(all_chunks)).unionByName(
         facing.filter(outside).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")).withColumn("block", F.explode(everywhere))
     )
-    return first.unionByName(_in_groups(rows))
+    return first.unionByName(_in_groups(rows, percent))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest linked key, itself included) and ``kept`` for each row.
 
+    Texts link if their common shingles are ``percent`` of all of both, or more.
+
     Words are lower-cased in A-Z only. Null texts and texts without words have an empty set and link
     with nothing. Rows with a null key are kept and link with nothing. A key that repeats with
     different texts is one document that is linked if one of its texts is; equal rows are equal results.
     """
-    sketches = settle(sketch_documents(docs, key, text))
+    sketches = settle(sketch_documents(docs, key, text, percent))
     usable = sketches.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = settle(usable.groupBy("print").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
-    found = connected(confirmed_links(docs, settle(likely_links(classes)), key, text), "a", "b")
+    found = connected(confirmed_links(docs, settle(likely_links(classes, percent)), key, text, percent), "a", "b")
     named = settle(classes.join(found, F.col("rep") == F.col("id"), "left").select(F.col("print").alias("__print"), F.coalesce("component", "rep").alias("component")))
     linked_rows = sketches.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("print")).alias("print"))
     joined = linked_rows.join(named, F.col("print") == F.col("__print"), "left")

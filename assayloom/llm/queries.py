@@ -131,7 +131,7 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from assayloom.llm import near_duplicates as near
 
-    return near.near_duplicates(table(spark, folder, "documents"))
+    return near.near_duplicates(table(spark, folder, "documents"), percent=85)
 
 
 @query("op4_toxicity")

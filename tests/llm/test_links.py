@@ -75,6 +75,17 @@ def test_registers_merge_and_estimate():
     assert counts[0, 1] == len(np.intersect1d(a, b)) and counts[0, 2] == 10
 
 
+def test_near_duplicates_at_another_percent(spark):
+    random = np.random.default_rng(10)
+    words = [[f"v{x}" for x in random.integers(0, 9000, 100)] for _ in range(8)]
+    # Two words in the middle touch ten of 96 shingles: 86 common ones of 106 in all, 0.81.
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join([*w[:30], "x", *w[31:60], "y", *w[61:]])) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {percent: {r["doc_id"] for r in near_duplicates.near_duplicates(docs, percent=percent).filter("kept").collect()} for percent in (80, 85)}
+    assert kept == {80: set(range(8)), 85: {i for i, _ in rows}}
+    assert (near_duplicates.bands_for(85), near_duplicates.bands_for(80)) == (20, 28)
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = cases.edges(spark)
     rows = near_duplicates.near_duplicates(docs).collect()
