@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,6 +191,82 @@ def mix_to_targets(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.rate_documents(docs, docs, "lang")
 
 
+@query("op11_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files go to a new folder beside the checkpoints and are read back from there."""
+    from assayloom.llm import token_files as files
+    from assayloom.session import shared_folder
+
+    target = shared_folder(spark, "tokens")
+    files.write_tokens(table(spark, folder, "documents"), target, tokenizer_path())
+    read = files.read_tokens(spark, target)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH base AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    tested AS (SELECT doc_id, part, CAST(len(words) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT)
+                      + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS mask FROM base),
+    marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+    masks AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM tested LEFT JOIN marks ON marks.doc_id = tested.doc_id GROUP BY ALL),
+    letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+    steps AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, range(1, 6) t(step)),
+    summed AS (
+      SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM masks, steps GROUP BY ALL)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM summed
+    """,
+)
+def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import filter_audit as audit
+
+    return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op13_conversation_repair",
+    r"""
+    WITH RECURSIVE bytes AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) t(i)),
+    told AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS signs FROM conversations),
+    drawn AS (SELECT told.*, xor(list_reduce(list_concat([4294967295], list_transform(signs, lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: xor(crc[CAST((xor(c, b) & 255) + 1 AS INT)], c >> 8)), 4294967295) % 20 AS draw FROM told, bytes),
+    damaged AS (SELECT conv_id AS conv, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE draw WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE draw <> 0),
+    numbered AS (SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM damaged),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 AS again, ini || lead(ini) OVER (PARTITION BY conv ORDER BY k) AS pair FROM numbered),
+    rows AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN again THEN 2 WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM seen),
+    ins(f, t, price, letters, lines) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'),
+      (2, 3, 5, 'I', chr(10) || 'assistant:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+    edits(f, t, kind, ini, given) AS (VALUES (0, 0, 'D', '', ''), (1, 1, 'D', '', ''), (2, 2, 'D', '', ''), (3, 3, 'D', '', ''), (0, 1, 'K', 's', ''), (0, 2, 'K', 'u', ''), (1, 2, 'K', 'u', ''), (2, 3, 'K', 'a', ''), (3, 2, 'K', 'u', ''),
+      (0, 2, 'R', 'u', 'user'), (1, 2, 'R', 'u', 'user'), (2, 3, 'R', 'a', 'assistant'), (3, 2, 'R', 'u', 'user')),
+    convs AS (SELECT DISTINCT conv_id AS conv FROM conversations),
+    reach AS (
+      SELECT conv, CAST(0 AS BIGINT) AS k, 0 AS state, {'cost': 0, 'audit': '', 'text': ''} AS best FROM convs
+      UNION ALL
+      SELECT r.conv, d.k, e.t, min({'cost': r.best.cost + i.price + CASE e.kind WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN d.fault = 3 AND e.kind <> 'D' THEN 5 ELSE 0 END, 'audit': r.best.audit || i.letters || e.kind,
+                                   'text': r.best.text || i.lines || CASE e.kind WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || d.role || ':' || d.text ELSE chr(10) || e.given || ':' || d.text END})
+      FROM reach r JOIN rows d ON d.conv IS NOT DISTINCT FROM r.conv AND d.k = r.k + 1 JOIN ins i ON i.f = r.state
+      JOIN edits e ON e.f = i.t AND (e.kind = 'D' OR d.fault IN (0, 3) AND (e.kind = 'K' AND e.ini = d.ini OR e.kind = 'R' AND e.ini <> d.ini))
+      GROUP BY r.conv, d.k, e.t),
+    counts AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+                      count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv),
+    ends AS (SELECT c.conv, min({'cost': r.best.cost + i.price, 'audit': r.best.audit || i.letters, 'text': r.best.text || i.lines}) AS best
+             FROM convs c LEFT JOIN counts n ON n.conv IS NOT DISTINCT FROM c.conv JOIN reach r ON r.conv IS NOT DISTINCT FROM c.conv AND r.k = coalesce(n.n, 0) JOIN ins i ON i.f = r.state AND i.t IN (0, 3) GROUP BY c.conv)
+    SELECT e.conv AS conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(substr(best.text, 2)) AS repaired_sha256
+    FROM ends e LEFT JOIN counts n ON n.conv IS NOT DISTINCT FROM e.conv
+    """,
+)
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from assayloom.llm import conversations
+
+    return conversations.repair_damaged(table(spark, folder, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

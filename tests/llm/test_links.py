@@ -266,4 +266,4 @@ def test_pipeline_decisions(spark):
 
 def test_entry_registers_all():
     numbers = {int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
