@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -37,13 +38,26 @@ MARK = b"IDFRAME1"
 MANIFEST, DICTIONARY = "manifest.json", "dictionary.zstd"
 #: Id appended to each document.
 END_ID = 1
-#: Chunks remembered in a task before the memory starts anew.
-KNOWN_CHUNKS = 300_000
+#: Words of lower-case ASCII as the tokenizer's pattern cuts them.
+ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\s]+")
+#: Chunks and words remembered in a task before the memory starts anew.
+KNOWN_PIECES = 800_000
 #: Documents the dictionary is trained on, the longest text among them, and the size of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 1 << 15
 LEVEL = 3
 
 
+class _Memo(dict):
+    """Values made when they are first asked for."""
+
+    def __init__(self, make: Callable[[bytes], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
     """Encodes texts piece by piece with the tokenizers library, each distinct piece once.
 
@@ -55,45 +69,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition).model
+        self.width = width
         added = {t["content"]: t["id"] for t in json.loads(definition)["added_tokens"]}
-        self.special = {k: self._pack([v], width) for k, v in added.items()}
-        self.splitter = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
+        self.special = {k.encode(): pack([v], width) for k, v in added.items()}
+        self.splitter = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if added else None
         self.letters = dict(enumerate(byte_letters()))
-        self.width = width
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = _Memo(self._chunk), _Memo(self._word)
 
-    @staticmethod
-    def _pack(ids: Sequence[int], width: int) -> bytes:
-        return np.array(ids, dtype=f"<u{width}").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        lettered = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = self.words[word] = self._pack([t.id for t in self.model.tokenize(lettered)], self.width)
-        return ids
+    def _word(self, word: bytes) -> bytes:
+        lettered = word.decode("latin-1")
+        if not word.isalnum():  # letters and digits of ASCII stand for themselves
+            lettered = lettered.translate(self.letters)
+        return pack([t.id for t in self.model.tokenize(lettered)], self.width)
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "surrogatepass")
-        out = []
-        for part in self.splitter.split(text) if self.splitter else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += [self.words.get(w) or self._word(w) for w in Bpe._words(part)]
-        ids = self.chunks[chunk] = b"".join(out)
-        return ids
+        if chunk.isalpha():
+            return self.words[chunk.lower()]
+        if chunk.isascii():
+            words = ASCII_WORD.findall(chunk.lower())
+        else:
+            words = [w.encode("utf-8", "surrogatepass") for w in Bpe._words(chunk.decode("utf-8", "surrogatepass"))]
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
-        if len(self.chunks) > KNOWN_CHUNKS or len(self.words) > KNOWN_CHUNKS:
+        if len(self.chunks) + len(self.words) > KNOWN_PIECES:
             self.chunks.clear()
             self.words.clear()
-        known, new, out = self.chunks.get, self._chunk, []
-        for chunk in (text or "").encode("utf-8", "surrogatepass").split():
-            ids = known(chunk)
-            out.append(new(chunk) if ids is None else ids)
+        content = (text or "").encode("utf-8", "surrogatepass")
+        if not any(s in content for s in self.special):
+            return b"".join(map(self.chunks.__getitem__, content.split()))
+        out = []
+        for part in self.splitter.split(content):
+            out += [self.special[part]] if part in self.special else map(self.chunks.__getitem__, part.split())
         return b"".join(out)
 
 
+def pack(ids: Sequence[int], width: int) -> bytes:
+    """Ids as little-endian unsigned numbers of two or four bytes."""
+    return struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
+
+
 def train_dictionary(samples: Sequence[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary of the samples; few or alike samples cannot be trained on and are the dictionary themselves."""
     try:
@@ -131,7 +146,7 @@ def _key_text(value) -> str:
 
 def _shard_writer(folder: str, content: bytes, width: int, end_id: int | None, key_type: pa.DataType, make: Callable[[], Encoder]):
     """A task that writes its sorted rows (key, text) as one shard and returns one row about it."""
-    end = b"" if end_id is None else Encoder._pack([end_id], width)
+    end = b"" if end_id is None else pack([end_id], width)
     shape = pa.schema([("key", key_type), ("offset", pa.int64()), ("size", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +218,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, key: str = "
     rows = short_batches(docs).select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
     if rows.schema["__key"].dataType.typeName() not in ("byte", "short", "integer", "long", "string"):
         raise ValueError("keys must be integers or strings")
-    digest = F.xxhash64("__text")
-    short = rows.filter(F.length("__text").between(1, SAMPLE_CHARS)).select("__text", digest.alias("__hash")).orderBy("__hash", "__text").limit(sample_docs)
+    # Twice the sample is expected below this hash, so what tasks send to the driver does not grow with their number.
+    share = min(1.0, 2 * sample_docs / max(1, docs.count()))
+    draw = F.xxhash64("__text", "__key")
+    short = rows.filter(F.length("__text").between(1, SAMPLE_CHARS)).select("__text", draw.alias("__hash")).filter(F.col("__hash") <= int(2.0**63 * (2 * share - 1)) - (share == 1)).orderBy("__hash", "__text").limit(sample_docs)
     encoder = Encoder(definition, width)
     content = train_dictionary([encoder.encode(r["__text"]) for r in short.collect()])
 
@@ -215,7 +232,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, key: str = "
     run = _shard_writer(folder, content, width, end_id, key_type, make)
     order = [F.col("__key").asc_nulls_first(), F.col("__hash")]
     # The row number splits a key or text that fills much of the table; it is no part of the result.
-    dealt = rows.select("__key", "__text", digest.alias("__hash"), F.monotonically_increasing_id().alias("__row")).repartitionByRange(*order, "__row")
+    dealt = rows.select("__key", "__text", F.xxhash64("__text").alias("__hash"), F.monotonically_increasing_id().alias("__row")).repartitionByRange(*order, "__row")
     shards = dealt.sortWithinPartitions(*order, "__row").select("__key", "__text").mapInArrow(run, _SHARD_DDL).collect()
     shards = sorted((r.asDict() for r in shards), key=lambda r: r["part"])
     before = 0
