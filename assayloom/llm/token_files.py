@@ -40,8 +40,8 @@ MANIFEST, DICTIONARY = "manifest.json", "dictionary.zstd"
 END_ID = 1
 #: Words of lower-case ASCII as the tokenizer's pattern cuts them.
 ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\s]+")
-#: Chunks and words remembered in a task before the memory starts anew.
-KNOWN_PIECES = 800_000
+#: Chunks and words remembered in a worker before the memory starts anew.
+KNOWN_PIECES = 1_000_000
 #: Documents the dictionary is trained on, the longest text among them, and the size of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 8192, 1 << 15
 LEVEL = 3
@@ -210,10 +210,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, key: str = "
     model = json.loads(definition)
     top = max([*model["model"]["vocab"].values(), *[t["id"] for t in model["added_tokens"]], end_id or 0])
     width = 2 if top < 1 << 16 else 4
-    shared = spark.sparkContext.broadcast(definition)
+    shared = spark.sparkContext.broadcast({"definition": definition})
 
     def make() -> Encoder:
-        return Encoder(shared.value, width)
+        # A worker that runs several tasks keeps the value, and with it the pieces that it has met.
+        held = shared.value
+        if "encoder" not in held:
+            held["encoder"] = Encoder(held["definition"], width)
+        return held["encoder"]
 
     rows = short_batches(docs).select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
     if rows.schema["__key"].dataType.typeName() not in ("byte", "short", "integer", "long", "string"):
