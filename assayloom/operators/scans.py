@@ -1,44 +1,37 @@
 """Pattern work on many sequences: motifs, weight matrices, mismatches, restriction sites, primers, guides.
 
-Hits are marked inside tiles by one look-ahead search per pattern, so only hits become rows.
+Each tile is searched once for all patterns and strands together, and only hits become rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+import string
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.sequence import as_dna, count_any, hamming, iupac_regex, matching_symbols, reverse_complement, reverse_complement_text
+from assayloom.functions.sequence import IUPAC_BASES, as_dna, count_any, hamming, iupac_regex, matching_symbols, reverse_complement, reverse_complement_text
 from assayloom.operators.intervals import extract_regions, range_join
 from assayloom.operators.ladder import numbered
-from assayloom.operators.once import explode_once
-from assayloom.operators.sequences import CHUNK, cut_tiles, words
-from assayloom.operators.text import OPEN
+from assayloom.operators.patterns import regex_hits, tile_hits, tile_scores
+from assayloom.operators.sequences import CHUNK, cut_tiles
 from assayloom.operators.tiles import next_position
 
 
-def look_ahead_starts(text: Column, pattern: str) -> Column:
-    """1-based places in ``text`` where ``pattern`` matches, overlaps included."""
-    pieces = F.split(F.regexp_replace(text, f"(?={pattern})", OPEN), OPEN)
-    first = F.struct(F.length(F.element_at(pieces, 1)).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + 1)).alias("out"))
-    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda acc: acc["out"])
-
-
-def _union(hits: Sequence[Column]) -> Column:
-    return hits[0] if len(hits) == 1 else F.concat(*hits)
-
-
 # Protein letters that stand for several residues.
 PROTEIN_SETS = {"B": "BDN", "Z": "ZEQ", "J": "JIL"}
 
 
-def protein_regex(pattern: str) -> str:
-    """A motif with ambiguous residues: B is D or N, Z is E or Q, J is I or L, X is any residue."""
-    return "".join("[A-Z]" if c == "X" else f"[{PROTEIN_SETS[c]}]" if c in PROTEIN_SETS else re.escape(c) for c in pattern)
+def _protein_places(pattern: str) -> list[str]:
+    """Accepted residues: B is D or N, Z is E or Q, J is I or L, X is any."""
+    return [string.ascii_uppercase if c == "X" else PROTEIN_SETS.get(c, c) for c in pattern]
+
+
+def _dna_places(pattern: str) -> list[str]:
+    """Accepted symbols; ambiguous sequence symbols match what they may stand for."""
+    return [matching_symbols(c) if c in IUPAC_BASES else c for c in pattern.upper()]
 
 
 def scan_motifs(
@@ -61,40 +54,32 @@ def scan_motifs(
     if fixed:
         longest = max(len(m["pattern"]) for m in fixed)
         tiles = cut_tiles(source, before=flank, after=longest - 1 + flank, spread=spread)
-        hits = []
+        places, labels = [], {"motif_id": [], "motif_name": [], "strand": []}
         for motif in fixed:
             pattern = motif["pattern"].upper() if protein else motif["pattern"].upper().replace("U", "T")
             sides = [("+", pattern), ("-", reverse_complement_text(pattern))] if both_strands else [("+", pattern)]
             for strand, text in sides:
-                regex = (protein_regex(text) if protein else iupac_regex(text)) if motif.get("syntax", "iupac") == "iupac" else "\\Q" + text + "\\E"
-                hits.append(F.transform(
-                    F.filter(look_ahead_starts(F.col("text"), regex), lambda p: (p > F.col("lead")) & (p <= F.col("lead") + CHUNK)),
-                    _hit(motif, strand),
-                ))
-        rows = explode_once(tiles, _union(hits), "h", "record", "offset", "lead", "text").select("record", "offset", "lead", "text", "h.*")
-        around = lambda start, size: F.col("text").substr(start.cast("int"), size.cast("int"))
-        before = F.least(F.lit(flank), F.col("p") - 1)
+                places.append((_protein_places(text) if protein else _dna_places(text)) if motif.get("syntax", "iupac") == "iupac" else list(text))
+                for name, value in zip(labels, (str(motif["id"]), motif.get("name", str(motif["id"])), strand)):
+                    labels[name].append(value)
+        rows = tile_hits(tiles, ["record", "offset", "lead"], places, labels, flank=flank).filter((F.col("p") > F.col("lead")) & (F.col("p") <= F.col("lead") + CHUNK))
+        start = F.col("offset") - F.col("lead") + F.col("p")
         frames.append(rows.select(
-            "record", "motif_id", "motif_name", "strand", (F.col("offset") - F.col("lead") + F.col("p")).alias("start"),
-            (F.col("offset") - F.col("lead") + F.col("p") + F.col("n") - 1).alias("end"), F.col("n").alias("length"),
-            around(F.col("p") - before, before).alias("__l"), around(F.col("p"), F.col("n")).alias("__m"), around(F.col("p") + F.col("n"), F.lit(flank)).alias("__r"),
+            "record", *labels, start.alias("start"), (start + F.col("n") - 1).alias("end"), F.col("n").alias("length"), F.col("left").alias("__l"), F.col("matched").alias("__m"), F.col("right").alias("__r"),
         ))
     for strand in ("+", "-") if both_strands else ("+",):
         for motif in free:
             text = F.col("sequence") if strand == "+" else reverse_complement(F.col("sequence"))
             # Letters after a backslash are classes; all others may be read as T for U.
             regex = "(?i)" + (motif["pattern"] if protein else re.sub(r"(?<!\\)[uU]", "T", motif["pattern"]))
-            whole = source.select("record", F.length("sequence").cast("bigint").alias("L"), text.alias("text"))
-            placed = explode_once(whole, look_ahead_starts(F.col("text"), regex), "p", "record", "L", "text")
-            found = placed.withColumn("m", F.regexp_extract(F.col("text").substr(F.col("p").cast("int"), F.length("text")), f"^(?:{regex})", 0)).filter("m <> ''")
-            n = F.length("m").cast("bigint")
+            found = regex_hits(source.select("record", F.length("sequence").cast("bigint").alias("L"), text.alias("text")), ["record", "L"], regex, flank)
+            n = F.length("matched").cast("bigint")
             low = F.col("p") if strand == "+" else F.col("L") - (F.col("p") + n - 1) + 1
-            left = F.col("text").substr(F.greatest(F.lit(1), F.col("p") - flank).cast("int"), F.least(F.lit(flank), F.col("p") - 1).cast("int"))
-            right = F.col("text").substr((F.col("p") + n).cast("int"), F.lit(flank))
             turn = (lambda c: c) if strand == "+" else reverse_complement
+            before, after = ("left", "right") if strand == "+" else ("right", "left")
             frames.append(found.select(
                 "record", F.lit(str(motif["id"])).alias("motif_id"), F.lit(motif.get("name", str(motif["id"]))).alias("motif_name"), F.lit(strand).alias("strand"),
-                low.alias("start"), (low + n - 1).alias("end"), n.alias("length"), turn(left if strand == "+" else right).alias("__l"), turn(F.col("m")).alias("__m"), turn(right if strand == "+" else left).alias("__r"),
+                low.alias("start"), (low + n - 1).alias("end"), n.alias("length"), turn(F.col(before)).alias("__l"), turn(F.col("matched")).alias("__m"), turn(F.col(after)).alias("__r"),
             ))
     out = frames[0]
     for frame in frames[1:]:
@@ -106,34 +91,14 @@ def scan_motifs(
     )
 
 
-def _hit(motif: Mapping, strand: str) -> Callable[[Column], Column]:
-    return lambda p: F.struct(
-        F.lit(str(motif["id"])).alias("motif_id"), F.lit(motif.get("name", str(motif["id"]))).alias("motif_name"), F.lit(strand).alias("strand"), p.alias("p"),
-        F.lit(len(motif["pattern"])).cast("bigint").alias("n"),
-    )
-
-
 def scan_pwm(seqs: DataFrame, motif_id: str, weights: Sequence[Mapping[str, float]], *, threshold: float = 80.0, both_strands: bool = True, spread: bool = False) -> DataFrame:
     """Windows whose relative weight-matrix score reaches ``threshold`` percent."""
-    low, high = sum(min(c.values()) for c in weights), sum(max(c.values()) for c in weights)
-    rows = words(seqs.select("record", as_dna(F.col("sequence")).alias("sequence")), len(weights), spread=spread)
-    if both_strands:
-        rows = rows.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
-        rows = rows.withColumn("word", F.when(F.col("strand") == "-", reverse_complement(F.col("word"))).otherwise(F.col("word")))
-    else:
-        rows = rows.withColumn("strand", F.lit("+"))
-    score = F.lit(0.0)
-    for i, column in enumerate(weights):
-        base = F.substring("word", i + 1, 1)
-        value = F.lit(None).cast("double")
-        for symbol, weight in column.items():
-            value = F.when(base == symbol, F.lit(float(weight))).otherwise(value)
-        score = score + value
-    relative = F.lit(100.0) if high == low else (score - low) / (high - low) * 100
-    scored = rows.withColumn("relative", relative).filter(F.col("relative") >= threshold)
+    tiles = cut_tiles(seqs.select("record", as_dna(F.col("sequence")).alias("sequence")), after=len(weights) - 1, spread=spread)
+    scored = tile_scores(tiles, ["record", "offset"], weights, threshold, both_strands).filter(F.col("p") <= CHUNK)
+    start, minus = F.col("offset") + F.col("p"), F.col("strand") == "-"
     return scored.select(
-        "record", F.lit(motif_id).alias("motif_id"), "strand", F.col("position").alias("start"), (F.col("position") + len(weights) - 1).alias("end"),
-        F.lit(len(weights)).cast("bigint").alias("length"), F.col("word").alias("matched_text"), F.round("relative", 2).alias("score"),
+        "record", F.lit(motif_id).alias("motif_id"), "strand", start.alias("start"), (start + len(weights) - 1).alias("end"),
+        F.lit(len(weights)).cast("bigint").alias("length"), F.when(minus, reverse_complement(F.col("matched"))).otherwise(F.col("matched")).alias("matched_text"), F.round("relative", 2).alias("score"),
     )
 
 
@@ -147,11 +112,9 @@ def _segments(size: int, parts: int) -> list[tuple[int, int]]:
 def scan_mismatches(
     seqs: DataFrame, motifs: Sequence[Mapping], *, max_mismatches: int = 1, exact_three_prime: int = 0, both_strands: bool = True, spread: bool = False, circular: bool = False,
 ) -> DataFrame:
-    """Sites with at most ``max_mismatches``.
+    """Sites with at most ``max_mismatches``, all patterns and both strands searched in one pass.
 
-    A pattern cut into ``max_mismatches + 1`` segments has one that matches exactly: those places are the
-    only candidates, and each is then compared symbol by symbol. The last ``exact_three_prime`` pattern
-    symbols must match. On a circular record a site may run over the end.
+    The last ``exact_three_prime`` pattern symbols must match. On a circular record a site may run over the end.
     """
     longest = max(len(m["pattern"]) for m in motifs)
     source = seqs.select("record", as_dna(F.col("sequence")).alias("sequence"))
@@ -160,40 +123,28 @@ def scan_mismatches(
         lengths = source.select("record", F.col("__L").cast("bigint").alias("__L"))
         source = source.drop("__L")
     tiles = cut_tiles(source, after=longest - 1, spread=spread)
-    frames = []
+    places, exact, labels = [], [], {"motif_id": [], "strand": []}
     for motif in motifs:
         pattern = motif["pattern"].upper().replace("U", "T")
-        m = len(pattern)
         for strand in ("+", "-") if both_strands else ("+",):
-            text = pattern if strand == "+" else reverse_complement_text(pattern)
-            near = [_shift(look_ahead_starts(F.col("text"), iupac_regex(text[a:b])), a) for a, b in _segments(m, min(m, max_mismatches + 1))]
-            candidates = F.filter(F.array_distinct(_union(near)), lambda p: (p >= 1) & (p <= CHUNK) & (p + m - 1 <= F.length("text")))
-            cut = F.transform(candidates, lambda p: F.struct(p.alias("p"), F.col("text").substr(p.cast("int"), F.lit(m)).alias("w")))
-            placed = explode_once(tiles, cut, "c", "record", "offset").select("record", (F.col("offset") + F.col("c.p")).alias("start"), F.col("c.w").alias("w"))
-            wrong = [
-                F.when(~F.substring("w", i + 1, 1).isin(*matching_symbols(s)), F.lit(i + 1 if strand == "+" else m - i)) for i, s in enumerate(text)
-            ]
-            found = placed.withColumn("bad", F.array_sort(F.array_compact(F.array(*wrong)))).filter(F.size("bad") <= max_mismatches)
-            if exact_three_prime:
-                found = found.filter(F.coalesce(F.array_max("bad"), F.lit(0)) <= m - exact_three_prime)
-            n = F.size("bad").cast("bigint")
-            frames.append(found.select(
-                "record", F.lit(str(motif["id"])).alias("motif_id"), F.lit(strand).alias("strand"), "start", (F.col("start") + m - 1).alias("end"), F.lit(m).cast("bigint").alias("length"),
-                (F.col("w") if strand == "+" else reverse_complement(F.col("w"))).alias("matched_text"), n.alias("mismatches"), F.array_join(F.col("bad").cast("array<string>"), ",").alias("mismatch_positions"),
-                F.round((F.lit(m) - n) / m * 100, 3).alias("identity_percent"),
-            ))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
+            places.append(_dna_places(pattern if strand == "+" else reverse_complement_text(pattern)))
+            ends = range(min(exact_three_prime, len(pattern)))
+            exact.append([len(pattern) - 1 - i if strand == "+" else i for i in ends])
+            labels["motif_id"].append(str(motif["id"]))
+            labels["strand"].append(strand)
+    hits = tile_hits(tiles, ["record", "offset"], places, labels, most=max_mismatches, must_match=exact).filter(F.col("p") <= CHUNK)
+    start, wrong, plus = F.col("offset") + F.col("p"), F.size("bad").cast("bigint"), F.col("strand") == "+"
+    turned = F.array_sort(F.transform("bad", lambda i: F.col("n") + 1 - i))
+    out = hits.select(
+        "record", "motif_id", "strand", start.alias("start"), (start + F.col("n") - 1).alias("end"), F.col("n").alias("length"),
+        F.when(plus, F.col("matched")).otherwise(reverse_complement(F.col("matched"))).alias("matched_text"), wrong.alias("mismatches"),
+        F.array_join(F.when(plus, F.col("bad")).otherwise(turned).cast("array<string>"), ",").alias("mismatch_positions"), F.round((F.col("n") - wrong) / F.col("n") * 100, 3).alias("identity_percent"),
+    )
     if circular:
         out = out.join(lengths, "record").filter(F.col("start") <= F.col("__L")).drop("__L")
     return out
 
 
-def _shift(starts: Column, by: int) -> Column:
-    return F.transform(starts, lambda p: p - by)
-
-
 def scan_partial_ends(seqs: DataFrame, motifs: Sequence[Mapping], *, minimum: int = 12, both_strands: bool = True) -> DataFrame:
     """Adapter remains: the longest motif suffix at the 5' end, or motif prefix at the 3' end, of each record."""
     frames = []
@@ -316,20 +267,15 @@ def guide_sites(
     five_prime_g: bool = False, spread: bool = False,
 ) -> DataFrame:
     """Unambiguous guide sequences next to a PAM on both strands, with the cut position on the record."""
-    bases = f"[ACGT]{{{guide_length}}}"
-    pam_regex = "".join("[" + "".join(b for b in "ACGT" if b in matching_symbols(s)) + "]" for s in pam.upper())
-    regex = bases + pam_regex if pam_side == "3prime" else pam_regex + bases
-    turned = "".join("[" + "".join(b for b in "ACGT" if b in matching_symbols(s)) + "]" for s in reverse_complement_text(pam.upper()))
-    back = turned + bases if pam_side == "3prime" else bases + turned
+    known = lambda pattern: ["".join(b for b in "ACGT" if b in matching_symbols(s)) for s in pattern.upper()]
+    bases, front = ["ACGT"] * guide_length, pam_side == "3prime"
+    turned = known(reverse_complement_text(pam.upper()))
+    sides = [bases + known(pam), turned + bases] if front else [known(pam) + bases, bases + turned]
     size = guide_length + len(pam)
     tiles = cut_tiles(seqs.select("record", as_dna(F.col("sequence")).alias("sequence")), after=size - 1, spread=spread)
-    side = lambda strand, pattern: F.transform(
-        F.filter(look_ahead_starts(F.col("text"), pattern), lambda p: p <= CHUNK),
-        lambda p: F.struct(F.lit(strand).alias("strand"), p.alias("p"), F.col("text").substr(p.cast("int"), F.lit(size)).alias("w")),
-    )
-    rows = explode_once(tiles, F.concat(side("+", regex), side("-", back)), "h", "record", "offset").select("record", (F.col("offset") + F.col("h.p")).alias("low"), F.col("h.strand").alias("strand"), F.col("h.w").alias("w"))
+    hits = tile_hits(tiles, ["record", "offset"], sides, {"strand": ["+", "-"]}).filter(F.col("p") <= CHUNK)
+    rows = hits.select("record", (F.col("offset") + F.col("p")).alias("low"), "strand", F.col("matched").alias("w"))
     site = F.when(F.col("strand") == "-", reverse_complement(F.col("w"))).otherwise(F.col("w"))
-    front = pam_side == "3prime"
     guide_at, pam_at = (0, guide_length) if front else (len(pam), 0)
     rows = rows.select("record", "strand", "low", site.substr(F.lit(guide_at + 1), F.lit(guide_length)).alias("guide_dna"), site.substr(F.lit(pam_at + 1), F.lit(len(pam))).alias("pam_sequence"))
     gc = count_any(F.col("guide_dna"), "GC") / guide_length * 100

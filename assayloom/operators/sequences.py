@@ -31,21 +31,46 @@ from assayloom.operators.tiles import last_known
 CHUNK = 8190  # divisible by 3, so codon frames line up across chunks
 
 
+#: Tiles in a slab.
+SLAB_TILES = 256
+
+
+def _piece(name: str, start: Column, size: Column) -> Column:
+    """Symbols of a text; a ``plain`` one (ASCII) is cut as bytes, which needs no walk to the first one."""
+    text = F.col(name)
+    as_bytes = text.cast("binary").substr(start.cast("int"), size.cast("int")).cast("string")
+    return F.when(F.col("plain"), as_bytes).otherwise(text.substr(start.cast("int"), size.cast("int")))
+
+
+def _tile(offset: Column, i: Column, chunk: int, before: int, after: int) -> Column:
+    lead = F.least(offset, F.lit(before).cast("bigint"))
+    text = _piece("slab", F.col("ahead") + i * chunk - lead + 1, F.lit(chunk + after) + lead)
+    return F.struct(offset.alias("offset"), lead.alias("lead"), text.alias("text"))
+
+
 def cut_tiles(seqs: DataFrame, *, before: int = 0, after: int = 0, chunk: int = CHUNK, spread: bool = False) -> DataFrame:
     """Sequences as overlapping tiles ``(record, length, offset, lead, text)``.
 
     ``offset`` counts the symbols before the tile, ``lead`` the borrowed symbols at its front.
     ``spread`` shuffles the tiles, for tables with a few chromosome-sized records.
     """
-    length = F.length("sequence")
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(length / chunk).cast("int") - 1, F.lit(0))),
-        lambda i: F.struct(
-            (i * chunk).cast("bigint").alias("offset"), F.least(i * chunk, F.lit(before)).cast("bigint").alias("lead"),
-            F.col("sequence").substr(F.greatest(i * chunk - before, F.lit(0)) + 1, F.lit(chunk + after) + F.least(i * chunk, F.lit(before))).alias("text"),
+    # A cut costs a pass over what it is taken from, so long records are cut into slabs first, and slabs into tiles.
+    slab, length, symbols = chunk * SLAB_TILES, F.col("length"), F.length("sequence").cast("bigint")
+    whole = compute_once(seqs.select("record", "sequence"), sequence=F.col("sequence"), length=symbols, plain=F.octet_length("sequence") == symbols)
+    slabs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(length / slab).cast("int") - 1, F.lit(0))),
+        lambda j: F.struct(
+            (j * slab).cast("bigint").alias("base"), F.least(j * slab, F.lit(before)).alias("ahead"),
+            _piece("sequence", F.greatest(j * slab - before, F.lit(0)) + 1, F.lit(slab + after) + F.least(j * slab, F.lit(before))).alias("slab"),
         ),
     )
-    tiles = explode_once(seqs.filter(length > 0), pieces, "t", "record", length.cast("bigint").alias("length")).select("record", "length", "t.*")
+    cut = explode_once(whole.filter(length > 0), slabs, "s", "record", "length", "plain").select("record", "length", "plain", "s.*")
+    left = F.col("length") - F.col("base")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.least(F.greatest(F.ceil(left / chunk).cast("int"), F.lit(1)), F.lit(SLAB_TILES)) - 1),
+        lambda i: _tile(F.col("base") + i * chunk, i, chunk, before, after),
+    )
+    tiles = explode_once(cut, pieces, "t", "record", "length").select("record", "length", "t.*")
     return tiles.repartition("record", "offset") if spread else tiles
 
 

@@ -364,17 +364,17 @@ PRIMERS = [{"name": "p1", "sequence": "ACGTCAGT"}, {"name": "p2", "sequence": "G
 
 def _pcr_sql(circular: bool) -> str:
     source = "seqs2 AS (SELECT record, sequence || substr(sequence, 1, 7) AS sequence FROM seqs)" if circular else "seqs2 AS (SELECT record, sequence FROM seqs)"
-    sides = []
+    near = []
     for p in PRIMERS:
         q = p["sequence"]
         back = q.translate(str.maketrans("ACGT", "TGCA"))[::-1]
         for strand, pattern in (("+", q), ("-", back)):
             end = f"w[6:8] = '{pattern[5:]}'" if strand == "+" else f"w[1:3] = '{pattern[:3]}'"
-            sides.append(f"SELECT record, '{p['name']}' AS primer, '{strand}' AS strand, p, hamming(w, '{pattern}') AS mm FROM k WHERE {end}")
+            near.append(f"SELECT w, '{p['name']}' AS primer, '{strand}' AS strand, hamming(w, '{pattern}') AS mm FROM d WHERE hamming(w, '{pattern}') <= 2 AND {end}")
     size = "CASE WHEN r.p + 7 - f.p + 1 <= 0 THEN r.p + 7 - f.p + 1 + 128 ELSE r.p + 7 - f.p + 1 END" if circular else "r.p + 7 - f.p + 1"
     rule = "true" if circular else "f.p <= r.p"
     text = "substr(sequence || sequence, f.p, n)" if circular else "substr(sequence, f.p, n)"
-    return f"""WITH {fx.SEQS}, {source}, {_words_sql('k', 'seqs2', 8)}, s0 AS ({" UNION ALL ".join(sides)}), s AS MATERIALIZED (SELECT * FROM s0 WHERE mm <= 2 AND p <= 128),
+    return f"""WITH {fx.SEQS}, {source}, {_words_sql('k', 'seqs2', 8)}, d AS MATERIALIZED (SELECT DISTINCT w FROM k), near AS MATERIALIZED ({" UNION ALL ".join(near)}), s AS MATERIALIZED (SELECT record, primer, strand, p, mm FROM k JOIN near USING (w) WHERE p <= 128),
     j AS (SELECT f.record, f.primer AS fp, r.primer AS rp, f.p AS fs, r.p AS rs, f.mm AS fm, r.mm AS rm, {size} AS n FROM s f JOIN s r ON f.record = r.record AND f.strand = '+' AND r.strand = '-' AND {rule})
     SELECT record AS template, fp AS forward_primer, rp AS reverse_primer, n AS length, '{"circular" if circular else "linear"}' AS topology, fs AS forward_start, (fs + 6) % 128 + 1 AS forward_end, rs AS reverse_start, (rs + 6) % 128 + 1 AS reverse_end, fm AS forward_mismatches, rm AS reverse_mismatches,
       {text.replace("f.p", "fs")} AS product_sequence FROM j JOIN seqs USING (record) WHERE n BETWEEN 20 AND 110"""
