@@ -14,6 +14,10 @@ from assayloom.llm.queries import tokenizer_path
 from assayloom.session import shared_folder
 
 
+#: Texts of which so many percent of the shingles are common are near-duplicates.
+NEAR_PERCENT = 80
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is taught by ``labels``. Rejected ones go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,11 +34,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; rows with a null id stay.
 
-    Of several rows with one id, that with the smallest text stays, then that with the smallest hash.
+    Rows that share an id are one document: it stays with all its different texts, each once, in the row with the smallest hash.
     """
-    kept = near_duplicates.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
     plain = [f"`{f.name}`" for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*plain)))
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(F.xxhash64(*plain)))
     named = docs.join(kept, F.col("doc_id") == F.col("__kept")).withColumn("__first", first).filter("__first = 1")
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
