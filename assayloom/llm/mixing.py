@@ -9,6 +9,7 @@ needs one number per domain from the cluster; the rates stay there.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ TRAIN_ROWS, WORDS, DOMAINS = 8_000, 4_096, 200
 EVIDENCE = 50
 #: Steps at most, steps between writes of the rates, and the distance from the targets to stop at.
 STEPS, WRITE_EVERY, TOLERANCE = 60, 10, 1e-4
+#: Least share of the tokens with which a domain limits the budget "once".
+LEAST_SHARE = 0.01
 #: Default targets: shares of the domains to this power.
 TEMPERATURE = 0.5
 SCALE = 1_000_000
@@ -78,12 +81,15 @@ def memberships(docs: DataFrame, names: Sequence[str], model: DataFrame, text: s
     return powers.select("__id", "t1", "t2", "tokens", F.array(*[F.get("e", F.lit(i)) / total for i in range(len(names))]).alias("p"))
 
 
-def target_totals(expected: Sequence[float], names: Sequence[str], targets: Mapping[str, float] | None, budget: str | float, temperature: float = TEMPERATURE) -> list[float]:
+def target_totals(
+    expected: Sequence[float], names: Sequence[str], targets: Mapping[str, float] | None, budget: str | float, temperature: float = TEMPERATURE, least_share: float = LEAST_SHARE,
+) -> list[float]:
     """Tokens wanted of each domain.
 
     Weights are ``targets`` (domains left out get none), or the shares to the power ``temperature``;
     domains without tokens cannot be met and count nothing. ``budget`` is a number of tokens,
-    ``"all"`` (as many as there are) or ``"once"`` (as many as no domain's tokens must repeat for).
+    ``"all"`` (as many as there are) or ``"once"`` (as many as no domain's tokens must repeat for). A domain with less than ``least_share`` of
+    the tokens, such as a few stray labels, does not set that budget: it is wanted once, as it is, if its target is above that.
     """
     share = sum(expected) or 1.0
     weights = [(targets.get(n, 0.0) if targets is not None else (x / share) ** temperature) if x > 0 else 0.0 for n, x in zip(names, expected)]
@@ -91,8 +97,12 @@ def target_totals(expected: Sequence[float], names: Sequence[str], targets: Mapp
     if total <= 0:
         raise ValueError("no domain with tokens has a target weight")
     weights = [w / total for w in weights]
-    size = {"all": share, "once": min((x / w for x, w in zip(expected, weights) if w > 0))}[budget] if isinstance(budget, str) else float(budget)
-    return [w * size for w in weights]
+    if budget != "once":
+        size = {"all": share}[budget] if isinstance(budget, str) else float(budget)
+        return [w * size for w in weights]
+    pairs = [(x, w) for x, w in zip(expected, weights) if w > 0]
+    size = min(x / w for x, w in [p for p in pairs if p[0] >= least_share * share] or pairs)
+    return [min(w * size, x) for x, w in zip(expected, weights)]
 
 
 def fit_rates(soft: DataFrame, names: Sequence[str], targets: Mapping[str, float] | None = None, budget: str | float = "all", temperature: float = TEMPERATURE) -> DataFrame:
@@ -100,6 +110,7 @@ def fit_rates(soft: DataFrame, names: Sequence[str], targets: Mapping[str, float
 
     The squares are weighted by 1 / T, with T a domain's tokens at rate 1, and rates are scaled by
     their tokens. As memberships sum to 1, the largest curvature is then exactly 1 and steps of 1 are safe.
+    Targets that the memberships cannot meet, or not within ``STEPS``, are reported in a warning.
     """
     size = range(len(names))
 
@@ -112,8 +123,12 @@ def fit_rates(soft: DataFrame, names: Sequence[str], targets: Mapping[str, float
     if sum(expected) <= 0:
         return rated
     wanted = target_totals(expected, names, targets, budget, temperature)
+
+    def met() -> bool:
+        return max(abs(x - t) for x, t in zip(have, wanted)) <= TOLERANCE * sum(wanted)
+
     for step in range(1, STEPS + 1):
-        if max(abs(x - t) for x, t in zip(have, wanted)) <= TOLERANCE * sum(wanted):
+        if met():
             break
         slope = [(x - t) / e if e > 0 else 0.0 for x, t, e in zip(have, wanted, expected)]
         move = sum((F.get("p", F.lit(i)) * F.lit(slope[i]) for i in size), F.lit(0.0))
@@ -121,6 +136,8 @@ def fit_rates(soft: DataFrame, names: Sequence[str], targets: Mapping[str, float
         if step % WRITE_EVERY == 0:
             rated = settle(rated)
         have = totals(rated)
+    if not met():
+        warnings.warn(f"after {STEPS} steps the tokens of {dict(zip(names, have))} still differ from {dict(zip(names, wanted))}", stacklevel=2)
     return rated
 
 
