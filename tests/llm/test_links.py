@@ -35,6 +35,19 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
 
 
+def test_components_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(components, "RUN", 64)
+    random = np.random.default_rng(12)
+    links = [(int(a), int(b)) for a, b in random.integers(0, 900, (700, 2))] + [(2000 + i, 2001 + i) for i in range(300)] + [(5000, 5000 + i) for i in range(1, 400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few links would be one run
+    try:
+        found = {r["id"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for node, label in plain_components({x for p in links for x in p}, links).items():
+        assert found.get(node, node) == label
+
+
 def plain_sets(texts):
     out = []
     for text in texts:
@@ -237,6 +250,26 @@ def test_mixing_odd_rows(spark):
     assert mixing.rate_documents(cases.empty(spark), cases.empty(spark), "lang").count() == 0
 
 
+def test_a_stray_label_does_not_set_the_budget(spark):
+    random = np.random.default_rng(11)
+    words = {lang: [f"{lang}{i}" for i in range(200)] for lang in ("aa", "bb", "zz")}
+    rows = [(i, " ".join(random.choice(words["aa" if i % 3 else "bb"], 40)), "aa" if i % 3 else "bb") for i in range(1500)] + [(9000, " ".join(words["zz"][:40]), "zz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    with_stray = mixing.mix_documents(docs, docs, "lang", budget="once", temperature=0.9).count()
+    without = docs.filter("lang <> 'zz'")
+    assert with_stray >= 0.99 * mixing.mix_documents(without, without, "lang", budget="once", temperature=0.9).count() > 1300
+    assert mixing.target_totals([80.0, 19.9, 0.1], ["a", "b", "c"], {"a": 1, "b": 1, "c": 1}, "once") == [19.9, 19.9, 0.1]
+    with pytest.warns(UserWarning, match="still differ"):
+        mixing.fit_rates(spark.createDataFrame([(1, [0.5, 0.5])], "tokens bigint, p array<double>"), ["a", "b"], {"a": 1.0})
+
+
+def test_equal_ids_keep_their_texts(spark):
+    rows = [(1, None), (1, cases.PROSE), (1, cases.PROSE), (2, cases.PROSE * 2), (3, "other words altogether, as many as are needed here")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], cases.SCHEMA)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted([(1, ""), (1, cases.PROSE), (3, rows[-1][1])])
+
+
 def test_pipeline_stages_keep_columns_and_stand_odd_rows(spark, tmp_path):
     cases.labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     for start in (cases.edges(spark), cases.edges(spark).limit(0)):
@@ -260,7 +293,7 @@ def test_pipeline_decisions(spark):
     assert {r["doc_id"]: r["text"] for r in lines} == {i: t for i, t in want.items() if re.search(line_dedup.WORD, t) or t == docs.filter(f"doc_id = {i}").first()["text"]}
     near = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(lines), folder).collect()
     sets = dict(zip([r["doc_id"] for r in lines], plain_sets([r["text"] for r in lines])))
-    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= corpus_pipeline.NEAR_PERCENT * len(sets[a] | sets[b])]
     assert {r["doc_id"] for r in near} == {i for i, label in plain_components(sets, links).items() if i == label}
 
 
