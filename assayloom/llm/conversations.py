@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -49,7 +48,6 @@ WORD_SIGN = re.compile(r"[^\x20\x09-\x0D]")
 Row = tuple[str, int]
 
 
-@lru_cache(10_000)
 def row_edges(state: int, row: Row) -> list[tuple[int, int, str]]:
     """Next state, cost and letter of each edit of a row."""
     initial, fault = row
@@ -65,7 +63,6 @@ def row_edges(state: int, row: Row) -> list[tuple[int, int, str]]:
     return out
 
 
-@lru_cache(10_000)
 def edges_into(state: int, row: Row) -> list[tuple[int, int, str]]:
     """State before, cost and letter of each edit of a row that leads to ``state``."""
     return [(before, cost, letter) for before in STATES for after, cost, letter in row_edges(before, row) if after == state]
@@ -85,13 +82,20 @@ def cheapest(rows: list[Row], start: int, ends: Iterable[int]) -> tuple[int, str
     for heap in heaps:
         heapq.heapify(heap)
     meet = min((0 for e in ends if size == 0 and e == start), default=None)
+    # Few kinds of rows occur; the edges of each are worked out once.
+    edges: list[dict] = [{}, {}]
+
+    def edges_of(side: int, state: int, row: Row) -> list[tuple[int, int, str]]:
+        if (state, row) not in edges[side]:
+            edges[side][state, row] = (edges_into if side else row_edges)(state, row)
+        return edges[side][state, row]
 
     def steps(side: int, at: int, state: int) -> list[tuple[int, int, int, str]]:
         if side == 0:
             out = [(at, INSERTED[state], COSTS[INSERT], INSERT)]
-            return out + [(at + 1, *edge) for edge in row_edges(state, rows[at])] if at < size else out
+            return out + [(at + 1, *edge) for edge in edges_of(0, state, rows[at])] if at < size else out
         out = [(at, before, COSTS[INSERT], INSERT) for before in INSERTED_FROM[state]]
-        return out + [(at - 1, *edge) for edge in edges_into(state, rows[at - 1])] if at else out
+        return out + [(at - 1, *edge) for edge in edges_of(1, state, rows[at - 1])] if at else out
 
     while heaps[0] and heaps[1]:
         if meet is not None and heaps[0][0][0] + heaps[1][0][0] > meet:

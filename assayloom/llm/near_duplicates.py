@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -50,9 +49,13 @@ def bands_for(percent: int) -> int:
     return 1 if percent == 100 else math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
 
 
-@lru_cache
+_SEEDS: dict[int, np.ndarray] = {}
+
+
 def _seeds(bands: int) -> np.ndarray:
-    return np.array([(xxhash.xxh64_intdigest(b"register", seed=i) | 1) for i in range(bands * ROWS)], dtype=np.uint64)
+    if bands not in _SEEDS:
+        _SEEDS[bands] = np.array([(xxhash.xxh64_intdigest(b"register", seed=i) | 1) for i in range(bands * ROWS)], dtype=np.uint64)
+    return _SEEDS[bands]
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
