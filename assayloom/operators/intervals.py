@@ -31,19 +31,17 @@ def _width(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(BASE_WIDTH).cast("bigint"), level * LEVEL_BITS)
 
 
-def _levels_of(left: DataFrame, right: DataFrame) -> tuple[list[int], list[int]]:
-    """The levels (a dozen at most) that occur on each side, from one aggregate."""
-    level = _level(F.col("end") - F.col("start") + 1).alias("k")
-    both = left.select(level, F.lit(0).alias("side")).unionByName(right.select(level, F.lit(1).alias("side")))
-    found = both.filter("k IS NOT NULL").distinct().collect()
-    return tuple(sorted(r["k"] for r in found if r["side"] == side) for side in (0, 1))
+def _levels_of(side: DataFrame) -> Column:
+    """The levels (a dozen at most) that occur on a side: a subquery of the join, so nothing runs before it."""
+    return side.select(_level(F.col("end") - F.col("start") + 1).alias("k")).agg(F.collect_set("k").alias("ks")).scalar()
 
 
-def _binned(df: DataFrame, start: str, end: str, other_levels: Sequence[int], prefix: str) -> DataFrame:
+def _binned(df: DataFrame, start: str, end: str, other_levels: Column, prefix: str) -> DataFrame:
     own = _level(F.col(end) - F.col(start) + 1)
-    coarser = F.filter(F.array(*[F.lit(k) for k in other_levels]).cast("array<int>"), lambda k: k > F.col(f"{prefix}_level"))
-    own_level = df.withColumn(f"{prefix}_level", own)
-    levelled = explode_once(own_level, F.concat(F.array(f"{prefix}_level"), coarser), "__k", *own_level.columns)
+    kept = [*df.columns, f"{prefix}_level"]
+    own_level = df.withColumn(f"{prefix}_level", own).withColumn("__others", other_levels)
+    coarser = F.filter("__others", lambda k: k > F.col(f"{prefix}_level"))
+    levelled = explode_once(own_level, F.concat(F.array(f"{prefix}_level"), coarser), "__k", *kept)
     width = _width(F.col("__k"))
     return explode_once(levelled, F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)), "__bin", *levelled.columns)
 
@@ -53,7 +51,7 @@ def range_join(left: DataFrame, right: DataFrame, *, prefixes: tuple[str, str] =
     pa, pb = prefixes
     a = left.select(*[F.col(c).alias(f"{pa}_{c}") for c in left.columns])
     b = right.select(*[F.col(c).alias(f"{pb}_{c}") for c in right.columns])
-    levels_a, levels_b = _levels_of(left, right)
+    levels_a, levels_b = _levels_of(left), _levels_of(right)
     ab = _binned(a, f"{pa}_start", f"{pa}_end", levels_b, f"__{pa}").withColumnRenamed("__k", "__ka").withColumnRenamed("__bin", "__bina")
     bb = _binned(b, f"{pb}_start", f"{pb}_end", levels_a, f"__{pb}").withColumnRenamed("__k", "__kb").withColumnRenamed("__bin", "__binb")
     first_shared = F.floor(F.greatest(f"{pa}_start", f"{pb}_start") / _width(F.col("__ka")))
@@ -162,13 +160,14 @@ def subtract(query: DataFrame, reference: DataFrame) -> DataFrame:
 def nearest(query: DataFrame, reference: DataFrame, *, query_id: str, order: str) -> DataFrame:
     """The closest reference interval of each query on its record; ties go to the lowest ``order``.
 
-    Overlap is distance 0 and touching is 1. Neighbours are looked up once per distinct position.
+    Overlap is distance 0 and touching is 1. Neighbours are looked up once per distinct position, and overlaps once
+    per distinct range: of equal reference ranges only the lowest ``order`` can be an answer, so pile-ups are one row each.
     """
     ref = reference.select("record", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "name", order)
     who = F.struct(F.col(order).alias("order"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("name").alias("name"))
-    hits = range_join(query.select("record", "start", "end", query_id), ref).groupBy(f"a_{query_id}").agg(
-        F.min(F.struct(F.col(f"b_{order}").alias("order"), F.col("b_start").alias("start"), F.col("b_end").alias("end"), F.col("b_name").alias("name"))).alias("hit")
-    ).withColumnRenamed(f"a_{query_id}", query_id)
+    asked = query.select("record", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")).distinct()
+    lowest = ref.groupBy("record", "start", "end").agg(F.min(who).alias("who"))
+    hits = range_join(asked, lowest).groupBy(F.col("a_record").alias("record"), F.col("a_start").alias("__s"), (-F.col("a_end")).alias("__e")).agg(F.min("b_who").alias("hit"))
     ends = ref.withColumn("who", who).groupBy("record", F.col("end").alias("position")).agg(F.min("who").alias("who"))
     starts = ref.withColumn("who", who).groupBy("record", (-F.col("start")).alias("position")).agg(F.min("who").alias("who"))
     q = query.withColumn("__s", F.col("start").cast("bigint")).withColumn("__e", -F.col("end").cast("bigint"))
@@ -187,7 +186,7 @@ def nearest(query: DataFrame, reference: DataFrame, *, query_id: str, order: str
         choice(F.col("__after.value.start") - F.col("end"), F.col("__after.value")),
     )))
     found = (
-        q.join(before, ["record", "__s"], "left").join(after, ["record", "__e"], "left").join(hits, query_id, "left")
+        q.join(before, ["record", "__s"], "left").join(after, ["record", "__e"], "left").join(hits, ["record", "__s", "__e"], "left")
         .withColumn("__best", best).filter(F.col("__best").isNotNull())
     )
     overlap = F.least("end", "__best.end") - F.greatest("start", "__best.start") + 1

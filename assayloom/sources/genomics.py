@@ -94,7 +94,10 @@ def line_format(line: Column) -> Column:
     notes = F.get(f, F.lit(8))
     feature = (F.size(f) >= 9) & whole(3) & whole(4)
     gtf = notes.contains('"') & ~F.substring_index(notes, '"', 1).contains("=")
-    kind = F.when(feature & gtf, "gtf").when(feature, "gff").when((F.size(f) >= 8) & whole(1) & ~whole(2), "vcf").otherwise("bed")
+    # An identifier may be all digits; bases, alleles and a quality then tell a variant from a BED row.
+    fits = lambda i, pattern: F.coalesce(F.get(f, F.lit(i)).rlike(pattern), F.lit(False))
+    alleles = fits(3, r"(?i)^[ACGTUN]+$") & fits(4, r"(?i)^([ACGTUN*]+|\.|<[^>]+>)(,([ACGTUN*]+|<[^>]+>))*$") & fits(5, r"^(\.|\d+(\.\d+)?([eE][-+]?\d+)?)$") & ~whole(6)
+    kind = F.when(feature & gtf, "gtf").when(feature, "gff").when((F.size(f) >= 8) & whole(1) & (~whole(2) | alleles), "vcf").otherwise("bed")
     return F.when((F.trim(line) != "") & ~line.startswith("#"), kind)
 
 

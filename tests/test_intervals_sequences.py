@@ -62,6 +62,33 @@ def test_nearest_ties_and_touching(spark):
     assert got == {"q1": ("left", 1), "q2": ("right", 99_880)}
 
 
+def test_nearest_equals_plain_search(spark):
+    a, b = _random_intervals(21, 80, 2_000), _random_intervals(22, 50, 2_000)
+    reference = spark.createDataFrame([(*r, i) for i, r in enumerate(b)], SCHEMA + ", row_id bigint")
+    rows = [(r[0], r[1], r[2], f"q{i}", r[4]) for i, r in enumerate(a)]
+    got = {r["name"]: (r["distance_bp"], r["partner_start"], r["partner_end"], r["partner_name"]) for r in iv.nearest(spark.createDataFrame(rows, SCHEMA), reference, query_id="name", order="row_id").collect()}
+    want = {}
+    for record, start, end, name, _ in rows:
+        found = [(max(s - end, start - e, 0), i, s, e, n) for i, (r, s, e, n, _) in enumerate(b) if r == record]
+        if found:
+            best = min(found)
+            want[name] = (best[0], *best[2:])
+    assert got == want and any(d == 0 for d, *_ in want.values())
+
+
+def test_pile_ups_are_joined_once(spark):
+    pile = spark.range(100_000).selectExpr("'c' AS record", "10L AS start", "20L AS end", "concat('n', id) AS name", "'+' AS strand", "id AS row_id")
+    assert iv.nearest(pile, pile, query_id="name", order="row_id").groupBy("partner_name", "distance_bp").count().collect() == [("n0", 0, 100_000)]
+
+
+def test_joins_run_nothing_before_they_are_asked(spark):
+    a, b = spark.createDataFrame(_random_intervals(23, 30, 9_000), SCHEMA), spark.createDataFrame(_random_intervals(24, 30, 9_000), SCHEMA)
+    next_job = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = next_job()
+    joined = iv.intersect(a, b, min_overlap_bp=2)
+    assert next_job() == before and joined.count() > 0
+
+
 def test_regions_across_chunks(spark):
     rng = random.Random(5)
     text = "".join(rng.choice("ACGT") for _ in range(200_000))

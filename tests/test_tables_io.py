@@ -110,7 +110,8 @@ def test_tail_trim_and_filter(spark):
 def test_interval_format_by_line(spark):
     lines = {
         "c\tl\texon\t1\t5\t.\t+\t.\tID=a": "gff", "c\tl\texon\t1\t5\t.\t+\t.\tgene_id \"g\";": "gtf", "c\t10\t20": "bed", "c\t10\trs1\tA\tG\t.\tPASS\tDP=1": "vcf",
-        "##gff-version 3": None, "  ": None, "c\t10\t20\tx\t0\t+\t10\t20\t0": "bed",
+        "##gff-version 3": None, "  ": None, "c\t10\t20\tx\t0\t+\t10\t20\t0": "bed", "1\t100\t12345\tA\tG\t.\tPASS\tDP=1": "vcf", "1\t100\t12345\tac\t<DEL>,T\t3.5\t.\tEND=120": "vcf",
+        "1\t100\t200\tA\t.\t.\t100\t200\t0": "bed", "1\t100\t200\tA\t960\t+\t100\t200": "bed",
     }
     frame = spark.createDataFrame([(x,) for x in lines], "line string")
     assert {r["line"]: r["kind"] for r in frame.select("line", ge.line_format(F.col("line")).alias("kind")).collect()} == lines
