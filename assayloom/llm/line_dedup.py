@@ -4,8 +4,11 @@ Lines are told apart by a 128-bit hash; lines without a word only separate. A gr
 lines from a line on that hold ``GRAM_WORDS`` words. Of the grams that begin within ``WINDOW_WORDS``
 words, the one with the smallest hash is a fingerprint. So two equal runs of lines with at least
 ``GRAM_WORDS + WINDOW_WORDS - 1`` words share a fingerprint wherever they stand, and a long line is one
-by itself. Positions of fingerprints that occur again are joined, stretched to both sides over the
-stretches of ``GRAM_WORDS + WINDOW_WORDS - 1`` words that hold them, and every stretch but the first of its kind goes.
+by itself. Positions of fingerprints that occur again are joined and the matches extended to both sides, line
+by line, to maximal runs. A run of at least ``GRAM_WORDS + WINDOW_WORDS - 1`` words is the union of two kinds
+of stretches of just that many words or a line more: those that begin at a line of it (they reach its first line)
+and those that end at one (they reach its last). Every stretch but the first of its kind goes, so whole runs
+go, without a pair of copies being built.
 """
 
 from __future__ import annotations
@@ -46,6 +49,15 @@ def _stretch(words: int) -> Window:
     return Window.partitionBy("__id", "t1", "t2").orderBy("start").rangeBetween(0, words - 1)
 
 
+def _back_stretch(words: int) -> Window:
+    """Up to a line, the fewest lines that hold so many words."""
+    return Window.partitionBy("__id", "t1", "t2").orderBy("stop").rangeBetween(1 - words, 0)
+
+
+def _list_hashes(over: Window) -> list[Column]:
+    return [F.xxhash64(F.collect_list(h).over(over)) for h in ("h1", "h2")]
+
+
 def _grams(lines: DataFrame, words: int) -> DataFrame:
     """Add hashes ``g1``, ``g2`` of the stretch at each line and its last line ``last``; they are null where the text ends before."""
     over = _stretch(words)
@@ -63,9 +75,19 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gra
     document = ["__id", "t1", "t2"]
     grams = _grams(lines, gram_words).withColumnsRenamed({"g1": "f1", "g2": "f2"}).drop("last")
     least = F.min(F.when(F.col("f1").isNotNull(), F.struct("f1", "f2", "pos"))).over(_stretch(window_words))
-    runs = _grams(grams.withColumn("__least", least), run_words).filter(F.col("__least").isNotNull())
-    fingerprint = [F.col("__least.f1").alias("f1"), F.col("__least.f2").alias("f2")]
-    runs = settle(runs.select(*document, "pos", "last", "g1", "g2", *fingerprint, F.col("__least.pos").alias("at")))
+    begun = _grams(grams.withColumn("__least", least), run_words).withColumn("stop", F.col("start") + F.col("words"))
+    over = _back_stretch(run_words)
+    b1, b2 = _list_hashes(over)
+    first = lambda c: F.first(c).over(over)
+    # A stretch that ends here is listed with those that begin unless it is one of them.
+    extra = (F.sum("words").over(over) >= run_words) & (first("last") != F.col("pos"))
+    both = begun.select(
+        *document, F.struct("pos", "last", "g1", "g2", F.col("__least").alias("least")).alias("__ahead"),
+        F.when(extra, F.struct(first("pos").alias("pos"), F.col("pos").alias("last"), b1.alias("g1"), b2.alias("g2"), first("__least").alias("least"))).alias("__back"),
+    )
+    runs = both.select(*document, F.explode(F.array_compact(F.array("__ahead", "__back"))).alias("__run")).select(*document, "__run.*").filter(F.col("least").isNotNull())
+    fingerprint = [F.col("least.f1").alias("f1"), F.col("least.f2").alias("f2")]
+    runs = settle(runs.select(*document, "pos", "last", "g1", "g2", *fingerprint, F.col("least.pos").alias("at")))
     prints = runs.select(*document, "f1", "f2", "at").distinct()
     again = settle(prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("f1", "f2"))
     # A run holds the fingerprint of its first window wherever it stands, so it occurs again only if that does.
@@ -85,8 +107,9 @@ def remove_repeated_lines(
 ) -> DataFrame:
     """All rows and columns of ``docs``; ``text`` without repeated runs, and ``count``: how many lines went.
 
-    A run of at least ``gram_words + window_words - 1`` words in whole lines stays where it stands first, by
-    key (nulls first) and position; equal runs later, in other documents or the same, go. A null text
+    A maximal run of at least ``gram_words + window_words - 1`` words in whole lines stays where it stands first, by
+    key (nulls first) and position; equal runs later, in other documents or the same, go whole, each from its
+    first to its last line (within one document only what lies behind the copy that stays). A null text
     stays null and an empty one empty. Rows equal in key and text are one document and get the same
     result. A column named like ``count`` is replaced.
     """

@@ -149,8 +149,10 @@ def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
     WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
     counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
     placed AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS BIGINT) AS start FROM counted WHERE words > 0),
-    runs AS (SELECT doc_id, pos, max(pos) OVER w AS last, list(line) OVER w AS run, sum(words) OVER w AS total FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-    whole AS (SELECT *, first_value(doc_id) OVER f AS held_doc, first_value(pos) OVER f AS held_pos, first_value(last) OVER f AS held_last FROM runs WHERE total >= 50 WINDOW f AS (PARTITION BY run ORDER BY doc_id, pos)),
+    ahead AS (SELECT doc_id, pos, max(pos) OVER w AS last, list(line) OVER w AS run, sum(words) OVER w AS total FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    back AS (SELECT doc_id, min(pos) OVER w AS pos, pos AS last, list(line) OVER w AS run, sum(words) OVER w AS total FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY start + words RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+    runs AS (SELECT * FROM ahead WHERE total >= 50 UNION SELECT * FROM back WHERE total >= 50),
+    whole AS (SELECT *, first_value(doc_id) OVER f AS held_doc, first_value(pos) OVER f AS held_pos, first_value(last) OVER f AS held_last FROM runs WINDOW f AS (PARTITION BY run ORDER BY doc_id, pos)),
     spans AS (SELECT doc_id, CASE WHEN doc_id = held_doc THEN greatest(pos, held_last + 1) ELSE pos END AS first, last FROM whole WHERE doc_id <> held_doc OR pos <> held_pos),
     gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(first, last + 1)) AS pos FROM spans)),
     kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL) AS text, count(gone.pos) AS removed_lines FROM lines l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
@@ -238,7 +240,10 @@ def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     damaged AS (SELECT conv_id AS conv, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE draw WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE draw <> 0),
     numbered AS (SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM damaged),
     seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 AS again, ini || lead(ini) OVER (PARTITION BY conv ORDER BY k) AS pair FROM numbered),
-    rows AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN again THEN 2 WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM seen),
+    rows AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN again THEN 2 WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM seen),
     ins(f, t, price, letters, lines) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'),
       (2, 3, 5, 'I', chr(10) || 'assistant:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
     edits(f, t, kind, ini, given) AS (VALUES (0, 0, 'D', '', ''), (1, 1, 'D', '', ''), (2, 2, 'D', '', ''), (3, 3, 'D', '', ''), (0, 1, 'K', 's', ''), (0, 2, 'K', 'u', ''), (1, 2, 'K', 'u', ''), (2, 3, 'K', 'a', ''), (3, 2, 'K', 'u', ''),

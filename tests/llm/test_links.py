@@ -157,23 +157,32 @@ def test_embeddings_missed_by_seeds_are_found_exactly(spark, monkeypatch):
 
 
 def plain_line_dedup(texts, run_words):
-    seen, gone = {}, {}
+    """Every run of lines, of whatever length, with so many words stays where it stands first and goes elsewhere."""
+    trie, seen, gone = {}, {}, {}
     for i, text in texts:
         lines = [(p, x, len(re.findall(line_dedup.WORD, x))) for p, x in enumerate(text.split("\n"))]
         lines = [x for x in lines if x[2]]
         for start in range(len(lines)):
-            total, end = 0, start
-            while end < len(lines) and total < run_words:
+            total, run = 0, 0
+            for end in range(start, len(lines)):
                 total += lines[end][2]
-                end += 1
-            if total >= run_words:
-                held = seen.setdefault(tuple(x[1] for x in lines[start:end]), (i, lines[end - 1][0], lines[start][0]))
-                if (held[0], held[2]) != (i, lines[start][0]):
-                    low = max(lines[start][0], held[1] + 1) if held[0] == i else lines[start][0]
-                    gone.setdefault(i, set()).update(range(low, lines[end - 1][0] + 1))
+                run = trie.setdefault((run, lines[end][1]), len(trie) + 1)
+                if total >= run_words:
+                    held = seen.setdefault(run, (i, lines[end][0], lines[start][0]))
+                    if (held[0], held[2]) != (i, lines[start][0]):
+                        low = max(lines[start][0], held[1] + 1) if held[0] == i else lines[start][0]
+                        gone.setdefault(i, set()).update(range(low, lines[end][0] + 1))
     return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(i, ())) for i, t in texts}
 
 
+def test_line_dedup_removes_runs_to_their_last_line(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    copies = [[line("a", 25), line("b", 25), line("c", 3)], [line("d", 60), line("e", 20), line("f", 20)], [line("g", 3), line("h", 20), line("i", 60)]]
+    texts = [(10 * i + n, "\n".join([line(f"x{i}{n}", 4), *lines, line(f"y{i}{n}", 4)])) for i, lines in enumerate(copies) for n in range(3)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {k: t if k % 10 == 0 else "\n".join([t.split("\n")[0], t.split("\n")[-1]]) for k, t in texts}
+
+
 def test_line_dedup_equals_brute_force(spark):
     random = np.random.default_rng(7)
     pool = [" ".join(f"w{x}" for x in random.integers(0, 900, n)) for n in random.integers(1, 30, 40)] + ["", " ", "long " * 60]
