@@ -1,30 +1,25 @@
 """Language identification by cross-parsing.
 
 For each language a suffix automaton holds all substrings of a bounded amount of labelled text. A
-document is cut from left to right into phrases, each the longest match at its place in that text. The
-fewer phrases per character a language needs, the closer its text is to the document.
+whole document is cut from left to right into phrases, each the longest match at its place in that text. The
+fewer phrases per character a language needs, in proportion to what text of its size would need, the closer
+its text is to the document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.llm.batches import crc_fold, map_rows
 
 #: Labelled documents of a language looked at, and characters of them learned, at most.
 TRAIN_DOCS, TRAIN_CHARS = 200, 40_000
-#: Longer documents are not used for learning (they are identified like all others).
+#: Longer documents teach only where a language has no shorter one (they are identified like all others).
 TRAIN_LENGTH = 20_000
-#: Different letters told apart; rarer ones match nothing.
-LETTERS = 61
-#: Languages with the most labelled rows that are learned at most.
-MAX_LANGUAGES = 200
-#: Texts are parsed in stretches of so many characters, all stretches of a batch side by side.
-STRETCH = 256
+#: Characters that are parsed side by side as one stretch, and cells of the grid of stretches held at a time.
+STRETCH, CELLS = 256, 8_000_000
 PARTS, HELD = 4, 2
 STOP, BLANK, OTHER = 0, 1, 2
 
@@ -38,11 +33,11 @@ def folded(text: str, codes: np.ndarray) -> np.ndarray:
 
 
 def letter_codes(texts: list[str]) -> np.ndarray:
-    """Code of every code point: blank for what is no letter, a number of its own for frequent letters."""
-    common = [c for c, _ in sorted(Counter("".join(texts).lower()).items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:LETTERS]
-    codes = np.fromiter((OTHER if chr(i).isalpha() else BLANK for i in range(0x110000)), dtype=np.uint8, count=0x110000)
-    for code, letter in enumerate(common, OTHER + 1):
-        codes[ord(letter)] = code
+    """Code of every code point: blank for what is no letter, a number of its own for each letter that is taught."""
+    taught = sorted(c for c in set("".join(texts).lower()) if c.isalpha())
+    kind = np.min_scalar_type(len(taught) + OTHER)
+    codes = np.fromiter((OTHER if chr(i).isalpha() else BLANK for i in range(0x110000)), dtype=kind, count=0x110000)
+    codes[[ord(c) for c in taught]] = np.arange(len(taught)) + OTHER + 1
     return codes
 
 
@@ -74,87 +69,155 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
-    """Automata of the languages named in rows outside the held-out fold.
+    """Automata of all languages named in rows outside the held-out fold.
 
-    At most ``TRAIN_DOCS`` rows a language are looked at, those with the smallest hashes of their key,
-    and whole texts of them are learned up to ``TRAIN_CHARS`` characters.
+    At most ``TRAIN_DOCS`` rows with text a language are looked at, those with the smallest hashes of their
+    key, and whole texts of them are learned up to ``TRAIN_CHARS`` characters. Rows without text and rows longer than
+    ``TRAIN_LENGTH`` do not count as long as there are others; of a longer one the beginning is taught.
+    The model grows by about 1 MB a language.
     """
-    usable = docs.filter((crc_fold(key, PARTS) != HELD) & F.col(lang).isNotNull()).select(F.col(key).alias("__key"), F.col(lang).cast("string").alias("__lang"))
-    counts = usable.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGUAGES).collect()
-    names = sorted(r["__lang"] for r in counts)
-    picked = None
-    for name in names:
-        rows = usable.filter(F.col("__lang") == name).orderBy(F.xxhash64("__key"), "__key").limit(TRAIN_DOCS)
-        picked = rows if picked is None else picked.unionByName(rows)
-    texts: dict[str, list[str]] = {n: [] for n in names}
-    if picked is not None:
-        # At most TRAIN_DOCS keys a language are sent to the tasks.
-        wanted = F.broadcast(picked.select(F.col("__key").alias("__id"), "__lang").distinct())
-        found = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__own")).filter(F.length("__text").between(1, TRAIN_LENGTH))
-        found = found.join(wanted, (F.col("__key") == F.col("__id")) & (F.col("__own") == F.col("__lang"))).select("__lang", "__key", "__text")
-        for row in found.orderBy(F.xxhash64("__key"), "__key", "__text").limit(TRAIN_DOCS * len(names)).collect():
-            texts[row["__lang"]].append(row["__text"])
-    codes = letter_codes([t for n in names for t in texts[n]])
-    model = {"names": [], "moves": [], "codes": codes}
-    for name in names:
+    body = F.col(text).cast("string")
+    usable = docs.filter((crc_fold(key, PARTS) != HELD) & F.col(lang).isNotNull() & (F.length(body) > 0)).select(
+        F.col(key).alias("__key"), F.col(lang).cast("string").alias("__lang"), body.substr(1, TRAIN_CHARS).alias("__text"), (F.length(body) > TRAIN_LENGTH).alias("__long"), F.xxhash64(key).alias("__hash")
+    )
+    # Spark keeps the first rows of each language in every task before it exchanges them.
+    order = Window.partitionBy("__lang").orderBy("__long", "__hash", "__key", "__text")
+    picked = usable.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= TRAIN_DOCS)
+    texts: dict[str, list[tuple[str, bool]]] = {}
+    for row in picked.orderBy("__lang", "__rank").select("__lang", "__text", "__long").collect():
+        texts.setdefault(row["__lang"], []).append((row["__text"], row["__long"]))
+    codes = letter_codes([t for own in texts.values() for t, _ in own])
+    model = {"names": [], "moves": [], "taught": [], "codes": codes}
+    for name, own in texts.items():
         taught: list[int] = []
-        for one in texts[name]:
+        for one, long in own:
             more = folded(one, codes).tolist()
-            if len(taught) + len(more) <= TRAIN_CHARS or not taught:
-                taught += [STOP + BLANK, *more]
-        if len(taught) > 1:
+            if (len(taught) + len(more) <= TRAIN_CHARS and not long) or not taught:
+                taught += [BLANK, *more]
+        if len(set(taught)) > 1:
             model["names"].append(name)
             model["moves"].append(suffix_automaton(taught))
+            model["taught"].append(len(taught))
     return model
 
 
 class Parser:
-    """All automata in one table of next states."""
+    """All automata in one hash table from (state, code) to the next state, and the first steps in a plain one."""
 
     def __init__(self, model: dict) -> None:
         self.names, self.codes = model["names"], model["codes"]
+        self.taught = np.array(model.get("taught", [2] * len(self.names)), dtype=np.float64)
+        self.width = int(self.codes.max()) + 1
         sizes = [int(m[:, [0, 2]].max()) + 1 for m in model["moves"]]
-        self.roots = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32) if sizes else np.zeros(0, dtype=np.int32)
-        self.width = LETTERS + OTHER + 1
-        self.table = np.full(sum(sizes) * self.width, -1, dtype=np.int32)
-        for root, moves in zip(self.roots, model["moves"]):
-            self.table[(moves[:, 0] + root).astype(np.int64) * self.width + moves[:, 1]] = moves[:, 2] + root
+        self.roots = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.zeros(0, dtype=np.int64)
+        moves = np.concatenate([m.astype(np.int64) + [root, 0, root] for root, m in zip(self.roots, model["moves"])]) if sizes else np.zeros((0, 3), dtype=np.int64)
+        self.first = np.full((len(sizes), self.width), -1, dtype=np.int64)
+        for n, root in enumerate(self.roots):
+            own = moves[moves[:, 0] == root]
+            self.first[n, own[:, 1]] = own[:, 2]
+        self.bits = max(4, int(2 * len(moves)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.next = np.full(1 << self.bits, -1, dtype=np.int32)
+        key, target = moves[:, 0] * self.width + moves[:, 1], moves[:, 2]
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            where, chosen = np.unique(slot[free], return_index=True)
+            self.keys[where], self.next[where] = key[free[chosen]], target[free[chosen]]
+            left = self.keys[slot] != key
+            key, target, slot = key[left], target[left], (slot[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, state: np.ndarray, code: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether a phrase begins with this letter (if only one of an unknown letter)."""
+        key = state * self.width + code
+        slot = self._slot(key)
+        found = self.keys[slot]
+        ahead = np.where(found == key, self.next[slot], -1).astype(np.int64)
+        open_ = np.nonzero((found != key) & (found >= 0))
+        while len(open_[0]):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            now, wanted = self.keys[slot[open_]], key[open_]
+            ahead[open_] = np.where(now == wanted, self.next[slot[open_]], -1)
+            more = (now != wanted) & (now >= 0)
+            open_ = tuple(x[more] for x in open_)
+        ended = ahead < 0
+        if ended.any():
+            afresh = self.first[lang, code]
+            ahead = np.where(ended, np.where(afresh < 0, self.roots[lang], afresh), ahead)
+        return ahead, ended | (state == self.roots[lang])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and characters by text. No phrase goes on across stretches."""
+        """Phrases by text and language, and characters by text.
+
+        All stretches of a slab are parsed side by side as if a phrase began at each. Then each goes on from
+        where the one before it really ended, until it is in the state it was in at that letter the first time.
+        """
         folds = [folded(t, self.codes) for t in texts]
         sizes = np.array([len(f) for f in folds])
-        lanes = np.maximum(1, -(-sizes // STRETCH))
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        grid = np.zeros((int(lanes.sum()), STRETCH), dtype=np.uint8)
-        for row, f in zip(np.concatenate([[0], np.cumsum(lanes)[:-1]]), folds):
-            grid[row : row + -(-len(f) // STRETCH)].ravel()[: len(f)] = f
-        fill = (grid != STOP).sum(axis=1)
-        order = np.argsort(-fill, kind="stable")
-        steps, live = np.ascontiguousarray(grid[order].T), fill[order]
-        state = np.repeat(self.roots[None, :], len(order), axis=0)
-        count = np.zeros(state.shape, dtype=np.int32)
-        for i in range(int(live.max()) if len(live) else 0):
-            n = int(np.searchsorted(-live, -i, side="left"))
-            code = steps[i, :n, None].astype(np.int64)
-            ahead = self.table[state[:n].astype(np.int64) * self.width + code]
-            ended = ahead < 0
-            count[:n] += ended | (state[:n] == self.roots)  # a phrase begins, if only of an unknown letter
-            if ended.any():
-                afresh = self.table[self.roots.astype(np.int64) * self.width + code]
-                ahead = np.where(ended, np.where(afresh < 0, self.roots, afresh), ahead)
-            state[:n] = ahead
         total = np.zeros((len(texts), len(self.roots)), dtype=np.int64)
-        np.add.at(total, owner[order], count)
+        cuts = [(n, at) for n, f in enumerate(folds) for at in range(0, len(f), STRETCH)]
+        slab = max(1, CELLS // (STRETCH * max(1, len(self.roots))))
+        end = None
+        for low in range(0, len(cuts), slab):
+            part = cuts[low : low + slab]
+            owner = np.array([n for n, _ in part])
+            begins = np.array([at == 0 for _, at in part])
+            grid = np.zeros((STRETCH, len(part)), dtype=self.codes.dtype)
+            for lane, (n, at) in enumerate(part):
+                piece = folds[n][at : at + STRETCH]
+                grid[: len(piece), lane] = piece
+            count, end = self._slab(grid, begins, end)
+            np.add.at(total, owner, count)
         return total, sizes
 
+    def _slab(self, grid: np.ndarray, begins: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases by stretch and language, and the states at the very end; ``before`` are those ahead of the first stretch."""
+        fill = (grid != STOP).sum(axis=0)
+        order = np.argsort(-fill, kind="stable")
+        langs = np.arange(len(self.roots))
+        shape = (grid.shape[1], len(langs))
+        state = np.repeat(self.roots[None, :], shape[0], axis=0)
+        states = np.zeros((len(grid), *shape), dtype=np.int32)
+        began = np.zeros((len(grid), *shape), dtype=bool)
+        for i in range(int(fill.max())):
+            live = order[: int(np.searchsorted(-fill[order], -i, side="left"))]
+            ahead, new = self._step(state[live], grid[i, live, None].astype(np.int64), langs[None, :])
+            state[live], states[i, live], began[i, live] = ahead, ahead, new
+        given = np.repeat(self.roots[None, :], shape[0], axis=0)
+        while True:
+            true = np.concatenate([self.roots[None, :] if before is None else before[None, :], state[:-1]])
+            true[begins] = self.roots
+            lane, lang = np.nonzero(true != given)
+            if not len(lane):
+                return began.sum(axis=0), state[-1]
+            given = true
+            now = true[lane, lang]
+            for i in range(len(grid)):
+                going = fill[lane] > i
+                lane, lang, now = lane[going], lang[going], now[going]
+                if not len(lane):
+                    break
+                now, new = self._step(now, grid[i, lane].astype(np.int64), lang)
+                began[i, lane, lang] = new
+                apart = states[i, lane, lang] != now
+                states[i, lane, lang] = now
+                lane, lang, now = lane[apart], lang[apart], now[apart]
+            state = states[fill - 1, np.arange(shape[0])].astype(np.int64)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and confidence: the runner-up's share of the phrases of the best two."""
+        """Language and confidence: the runner-up's share of the phrases of the best two.
+
+        Phrases grow with the logarithm of the text that was taught, so their number times that logarithm
+        compares languages of which much and little was taught.
+        """
         spoken = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         if spoken and self.names:
             total, sizes = self.phrases([texts[i] for i in spoken])
-            rate = total / np.maximum(1, sizes)[:, None]
+            rate = total * np.log(np.maximum(2, self.taught)) / np.maximum(1, sizes)[:, None]
             best = rate.argmin(axis=1)
             ranked = np.sort(rate, axis=1)
             for k, i in enumerate(spoken):

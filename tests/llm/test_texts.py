@@ -150,6 +150,45 @@ def test_phrases_are_longest_matches():
             assert phrases == count
 
 
+@pytest.mark.parametrize("cells", [1, 8_000_000])
+def test_phrases_go_on_across_stretches(monkeypatch, cells):
+    monkeypatch.setattr(languages, "CELLS", cells)
+    random = np.random.default_rng(3)
+    letters = "abcdefгдежз漢字"
+    draw = lambda n, size: "".join(random.choice(list(letters[:size]), n))
+    taught = {"x": draw(900, 4) + " " + draw(300, 13), "y": draw(700, 13), "z": "ab" * 400}
+    asked = [draw(2000, 4), draw(2100, 13), taught["x"] * 2, "ab" * 1500, "q" * 600, "a", "ba" * 128, draw(3000, 2) + taught["z"]]
+    codes = languages.letter_codes(list(taught.values()))
+    folds = {n: languages.folded(t, codes) for n, t in taught.items()}
+    parser = languages.Parser({"names": list(taught), "moves": [languages.suffix_automaton(f.tolist()) for f in folds.values()], "codes": codes})
+    total, sizes = parser.phrases(asked)
+    for text, counts, size in zip(asked, total, sizes):
+        f = bytes(languages.folded(text, codes))
+        assert size == len(f)
+        for own, count in zip(folds.values(), counts):
+            at, phrases = 0, 0
+            while at < len(f):
+                end = at + 1
+                while end < len(f) and f[at : end + 1] in bytes(own):
+                    end += 1
+                phrases, at = phrases + 1, end
+            assert phrases == count
+
+
+def test_languages_of_six_scripts_and_uneven_teaching(spark):
+    random = np.random.default_rng(5)
+    scripts = {"en": ("abcdefghijklmnopqrstuvwxyz", 60), "ru": ("абвгдежзийклмнопрстуфхцчшщъыьэюя", 60), "el": ("αβγδεζηθικλμνξοπρστυφχψω", 60), "ka": ("აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", 25),
+               "hy": ("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", 25), "he": ("אבגדהוזחטיכלמנסעפצקרשת", 25), "zh": ("".join(map(chr, range(0x4E00, 0x5600))), 25)}
+    rows = []
+    for name, (letters, n) in scripts.items():
+        words = ["".join(random.choice(list(letters), random.integers(2, 8))) for _ in range(150)]
+        rows += [(len(rows) + k, " ".join(random.choice(words, 40)), name) for k in range(n)]
+    rows += [(100_000 + k, text, "xx") for k, text in enumerate([None, "", *["ћђ " * 9_000] * 6])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r for r in languages.identify(docs, languages.learn(docs)).collect()}
+    assert all(found[i]["lang_pred"] == (lang if text else "und") for i, text, lang in rows)
+
+
 def test_languages_odd_rows(spark):
     docs = cases.edges(spark)
     rows = {r["doc_id"]: r for r in languages.identify(docs, languages.learn(docs)).collect()}
