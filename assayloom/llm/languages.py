@@ -8,6 +8,8 @@ its text is to the document.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ TRAIN_DOCS, TRAIN_CHARS = 200, 40_000
 TRAIN_LENGTH = 20_000
 #: Characters that are parsed side by side as one stretch, and cells of the grid of stretches held at a time.
 STRETCH, CELLS = 256, 8_000_000
+#: Cells of the plain table of next states; it holds as many of the frequent letters as fit.
+PLAIN_CELLS = 32_000_000
 PARTS, HELD = 4, 2
 STOP, BLANK, OTHER = 0, 1, 2
 
@@ -33,8 +37,8 @@ def folded(text: str, codes: np.ndarray) -> np.ndarray:
 
 
 def letter_codes(texts: list[str]) -> np.ndarray:
-    """Code of every code point: blank for what is no letter, a number of its own for each letter that is taught."""
-    taught = sorted(c for c in set("".join(texts).lower()) if c.isalpha())
+    """Code of every code point: blank for what is no letter, a number of its own for each letter that is taught, frequent ones first."""
+    taught = [c for c, _ in sorted(Counter("".join(texts).lower()).items(), key=lambda x: (-x[1], x[0])) if c.isalpha()]
     kind = np.min_scalar_type(len(taught) + OTHER)
     codes = np.fromiter((OTHER if chr(i).isalpha() else BLANK for i in range(0x110000)), dtype=kind, count=0x110000)
     codes[[ord(c) for c in taught]] = np.arange(len(taught)) + OTHER + 1
@@ -102,7 +106,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 class Parser:
-    """All automata in one hash table from (state, code) to the next state, and the first steps in a plain one."""
+    """All automata in one table from (state, code) to the next state: plain for frequent letters, hashed for the others."""
 
     def __init__(self, model: dict) -> None:
         self.names, self.codes = model["names"], model["codes"]
@@ -115,6 +119,11 @@ class Parser:
         for n, root in enumerate(self.roots):
             own = moves[moves[:, 0] == root]
             self.first[n, own[:, 1]] = own[:, 2]
+        self.plain_width = min(self.width, PLAIN_CELLS // max(1, sum(sizes)))
+        self.plain = np.full(sum(sizes) * self.plain_width, -1, dtype=np.int32)
+        often = moves[:, 1] < self.plain_width
+        self.plain[moves[often, 0] * self.plain_width + moves[often, 1]] = moves[often, 2]
+        moves = moves[~often]
         self.bits = max(4, int(2 * len(moves)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.next = np.full(1 << self.bits, -1, dtype=np.int32)
@@ -130,19 +139,29 @@ class Parser:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _step(self, state: np.ndarray, code: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states, and whether a phrase begins with this letter (if only one of an unknown letter)."""
+    def _hashed(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         key = state * self.width + code
         slot = self._slot(key)
-        found = self.keys[slot]
-        ahead = np.where(found == key, self.next[slot], -1).astype(np.int64)
-        open_ = np.nonzero((found != key) & (found >= 0))
-        while len(open_[0]):
-            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
-            now, wanted = self.keys[slot[open_]], key[open_]
-            ahead[open_] = np.where(now == wanted, self.next[slot[open_]], -1)
-            more = (now != wanted) & (now >= 0)
-            open_ = tuple(x[more] for x in open_)
+        out = np.full(len(key), -1, dtype=np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            now = self.keys[slot[left]]
+            hit = left[now == key[left]]
+            out[hit] = self.next[slot[hit]]
+            left = left[(now != key[left]) & (now >= 0)]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _step(self, state: np.ndarray, code: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and whether a phrase begins with this letter (if only one of an unknown letter)."""
+        if self.plain_width == self.width:
+            ahead = self.plain[state * self.width + code]
+        else:
+            state, code, lang = np.broadcast_arrays(state, code, lang)
+            ahead = np.empty(state.shape, dtype=np.int64)
+            often = code < self.plain_width
+            ahead[often] = self.plain[state[often] * self.plain_width + code[often]]
+            ahead[~often] = self._hashed(state[~often], code[~often])
         ended = ahead < 0
         if ended.any():
             afresh = self.first[lang, code]
@@ -182,8 +201,10 @@ class Parser:
         state = np.repeat(self.roots[None, :], shape[0], axis=0)
         states = np.zeros((len(grid), *shape), dtype=np.int32)
         began = np.zeros((len(grid), *shape), dtype=bool)
+        ranked = -fill[order]
         for i in range(int(fill.max())):
-            live = order[: int(np.searchsorted(-fill[order], -i, side="left"))]
+            live = order[: int(np.searchsorted(ranked, -i, side="left"))]
+            live = live if len(live) < len(order) else slice(None)
             ahead, new = self._step(state[live], grid[i, live, None].astype(np.int64), langs[None, :])
             state[live], states[i, live], began[i, live] = ahead, ahead, new
         given = np.repeat(self.roots[None, :], shape[0], axis=0)

@@ -150,9 +150,10 @@ def test_phrases_are_longest_matches():
             assert phrases == count
 
 
-@pytest.mark.parametrize("cells", [1, 8_000_000])
-def test_phrases_go_on_across_stretches(monkeypatch, cells):
+@pytest.mark.parametrize("cells, plain", [(1, 32_000_000), (8_000_000, 0), (8_000_000, 20_000), (8_000_000, 32_000_000)])
+def test_phrases_go_on_across_stretches(monkeypatch, cells, plain):
     monkeypatch.setattr(languages, "CELLS", cells)
+    monkeypatch.setattr(languages, "PLAIN_CELLS", plain)
     random = np.random.default_rng(3)
     letters = "abcdefгдежз漢字"
     draw = lambda n, size: "".join(random.choice(list(letters[:size]), n))
