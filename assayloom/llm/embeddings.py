@@ -74,7 +74,7 @@ def prepare(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFra
                     across[len(x)] = d / np.linalg.norm(d)
                 place = f"{name}/{len(x)}"
                 raw = (x + 0.0).tobytes()
-                out.append((place, blake2b(raw, digest_size=16, key=place.encode()[-64:]).digest(), raw, int(np.floor(x @ across[len(x)] / reach))))
+                out.append((place, blake2b(raw, digest_size=16, key=blake2b(place.encode()).digest()).digest(), raw, int(np.floor(x @ across[len(x)] / reach))))
             return [ids, *map(list, zip(*out))]
 
         return work

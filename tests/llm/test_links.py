@@ -130,6 +130,13 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, block):
     assert embeddings.near_embeddings(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_labels_with_long_equal_ends_stay_apart(spark):
+    tail = "x" * 70
+    rows = [(1, [1.0, 0.0], "a" + tail), (2, [1.0, 0.0], "b" + tail), (3, [1.0, 0.0], "b" + tail)]
+    got = {r["vec_id"]: r for r in embeddings.near_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in (1, 2, 3)] == [(0, 1, True), (1, 2, True), (1, 2, False)]
+
+
 def test_embeddings_joins_families_larger_than_a_list(spark):
     random = np.random.default_rng(8)
     first, across = np.linalg.qr(random.standard_normal((64, 2)))[0].T
