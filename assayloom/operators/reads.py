@@ -39,14 +39,33 @@ def overrepresented(reads: DataFrame) -> DataFrame:
     return counts.withColumn("percent", F.round(F.col("count") / total * 100, 2)).orderBy(F.desc("count"), "sequence")
 
 
+#: Counters of a read set and how those of two sets are put together.
+READ_COUNTERS = {
+    "reads": "sum", "bases": "sum", "shortest": "min", "longest": "max", "gc": "sum", "n": "sum", "with_n": "sum",
+    "q_sum": "sum", "q_count": "sum", "q20": "sum", "q30": "sum", "q_min": "min", "q_max": "max",
+}
+
+
+#: Metrics that need the reads themselves.
+NOT_MERGEABLE = (
+    "median_read_length", "median_read_gc_percent", "median_read_n_percent", "median_read_mean_quality",
+    "duplicate_reads", "duplicate_reads_percent", "overrepresented_sequence_count",
+)
+
+
+def read_counters() -> dict[str, Column]:
+    """Aggregates over ``read_metrics`` rows, by the names of ``READ_COUNTERS``."""
+    return {
+        "reads": F.count(F.lit(1)), "bases": F.sum("length"), "shortest": F.min("length"), "longest": F.max("length"),
+        "gc": F.sum("gc"), "n": F.sum("n"), "with_n": F.count(F.when(F.col("n") > 0, 1)), "q_sum": F.sum("q_sum"),
+        "q_count": F.sum("q_count"), "q20": F.sum("q20"), "q30": F.sum("q30"), "q_min": F.min("q_min"), "q_max": F.max("q_max"),
+    }
+
+
 def fastq_summary(reads: DataFrame) -> DataFrame:
     """``(metric, value, unit, assessment)`` rows; medians and duplicates are exact."""
     m = read_metrics(reads)
-    sums = m.agg(
-        F.count(F.lit(1)).alias("reads"), F.sum("length").alias("bases"), F.min("length").alias("shortest"), F.max("length").alias("longest"),
-        F.sum("gc").alias("gc"), F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("with_n"), F.sum("q_sum").alias("q_sum"),
-        F.sum("q_count").alias("q_count"), F.sum("q20").alias("q20"), F.sum("q30").alias("q30"), F.min("q_min").alias("q_min"), F.max("q_max").alias("q_max"),
-    )
+    sums = m.agg(*[column.alias(name) for name, column in read_counters().items()])
     values = ("length", "gc_percent", "n_percent", "mean_quality")
     long = m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("v")) for c in values])).alias("x")).select("x.*")
     medians = quantiles(long, "v", {"md": 0.5}, ["what"]).agg(*[F.max(F.when(F.col("what") == c, F.col("md"))).alias(f"md_{c}") for c in values])
@@ -56,12 +75,21 @@ def fastq_summary(reads: DataFrame) -> DataFrame:
     one = sums.select(
         "*", medians.select(F.struct(*medians.columns).alias("x")).scalar().alias("__medians"), copies.select(F.struct(*copies.columns).alias("x")).scalar().alias("__copies")
     ).select(*sums.columns, "__medians.*", "__copies.*")
+    return summary_rows(one)
+
+
+def summary_rows(one: DataFrame) -> DataFrame:
+    """The metrics of one row of counters. Those of medians and copies come only if it has them; sums of parts do not."""
     share = lambda top, bottom, digits=2: F.round(F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom) * 100).otherwise(0.0), digits)
     ratio = lambda top, bottom: F.round(F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(0.0), 6)
 
     def judged(value: Column, best: Column, middle: Column, names: tuple[str, str, str]) -> Column:
         return F.when(best, names[0]).when(middle, names[1]).otherwise(names[2])
 
+    whole = "duplicates" in one.columns
+    if not whole:
+        absent = ("md_length", "md_gc_percent", "md_n_percent", "md_mean_quality", "duplicates", "repeated")
+        one = one.select("*", *[F.lit(None).cast("double").alias(c) for c in absent])
     q, q30, dup, n = ratio("q_sum", "q_count"), share("q30", "q_count"), share("duplicates", "reads"), share("with_n", "reads")
     none = F.lit("")
     # Metric names, units, assessments and their limits.
@@ -86,6 +114,7 @@ def fastq_summary(reads: DataFrame) -> DataFrame:
     cells = [
         F.struct(F.lit(metric).alias("metric"), value.cast("string").alias("value"), F.lit(unit).alias("unit"), assessment.alias("assessment"))
         for metric, value, unit, assessment in rows
+        if whole or metric not in NOT_MERGEABLE
     ]
     return one.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 

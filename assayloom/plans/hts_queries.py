@@ -237,7 +237,7 @@ rm AS (SELECT read_id, sequence, length(sequence) AS len, length(regexp_replace(
 mt AS (SELECT *, gc / known * 100 AS gcp, n / len * 100 AS np, q_sum / q_count AS mq FROM rm JOIN qs USING (read_id))"""
 
 
-def _summary_sql() -> str:
+def summary_sql() -> str:
     rows = [
         ("read_count", "cast(nr as varchar)", "reads", "''"), ("total_bases", "cast(nb as varchar)", "bases", "''"), ("min_read_length", "cast(lo as varchar)", "bases", "''"),
         ("mean_read_length", "cast(round(nb / nr, 6) as varchar)", "bases", "''"), ("median_read_length", "cast(round(ml, 6) as varchar)", "bases", "''"), ("max_read_length", "cast(hi as varchar)", "bases", "''"),
@@ -260,7 +260,7 @@ def _summary_sql() -> str:
     )
 
 
-@query("G14_fastq_summary", _summary_sql())
+@query("G14_fastq_summary", summary_sql())
 def _g14(t: Tables) -> DataFrame:
     return rd.fastq_summary(fx.reads(t))
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from assayloom.operators import variants as va
 from assayloom.operators.cleaning import filter_rows
 from assayloom.plans import fixtures as fx
+from assayloom.plans.hts_queries import summary_sql
 from assayloom.plans.registry import Tables, query
 from assayloom.session import shared_folder
 from assayloom.sources import genomics as ge
@@ -278,6 +279,15 @@ def _r2c(t: Tables) -> DataFrame:
     return totals.select("reads", "bases", F.col("shortest").cast("bigint").alias("shortest"), F.col("longest").cast("bigint").alias("longest"), "gc_percent")
 
 
+@query("R2_stream_fastq_summary", f"SELECT * FROM ({summary_sql()}) WHERE metric NOT LIKE 'median%' AND metric NOT LIKE 'duplicate%' AND metric <> 'overrepresented_sequence_count'")
+def _r2d(t: Tables) -> DataFrame:
+    """Read counters over FASTQ files as they land, one file a batch, parts folded in every second batch."""
+    path, target = shared_folder(t.spark, "landing-fastq"), shared_folder(t.spark, "counters")
+    se.fastq_lines(fx.reads(t)).repartition(3).write.text(path)
+    inc.stream_fastq_summary(inc.stream_fastq(t.spark, path, files_per_trigger=1), target, shared_folder(t.spark, "state"), fold_every=2)
+    return inc.merged_fastq_summary(t.spark, target)
+
+
 @query("R2_stream_summary", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def _r2(t: Tables) -> DataFrame:
     stream = inc.stream_table(t.spark, _landed(t), EVENT_SCHEMA, files_per_trigger=1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +13,10 @@ from assayloom.sources.lines import read_lines
 from assayloom.sources.tables import write_with_header
 
 
-def _fields(lines: DataFrame, comment: str = "#") -> DataFrame:
+def _fields(lines: DataFrame, *keep: str, comment: str = "#") -> DataFrame:
     """Tab-separated data lines as an array ``f``."""
     data = lines.filter((F.trim("line") != "") & ~F.col("line").startswith(comment))
-    return data.select(F.split("line", "\t").alias("f"))
+    return data.select(*keep, F.split("line", "\t").alias("f"))
 
 
 def _field(i: int) -> Column:
@@ -66,7 +65,7 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def sam_rows(lines: DataFrame) -> DataFrame:
-    rows = _fields(lines, "@").filter(F.size("f") >= 11)
+    rows = _fields(lines, comment="@").filter(F.size("f") >= 11)
     return rows.select(
         _field(1).alias("qname"), F.coalesce(_field(2).try_cast("int"), F.lit(0)).alias("flag"), _field(3).alias("rname"), F.coalesce(_long(4), F.lit(0)).alias("pos"),
         F.coalesce(_field(5).try_cast("int"), F.lit(0)).alias("mapq"), _field(6).alias("cigar"), _field(7).alias("rnext"), _long(8).alias("pnext"), _long(9).alias("tlen"),
@@ -101,62 +100,62 @@ def line_format(line: Column) -> Column:
     return F.when((F.trim(line) != "") & ~line.startswith("#"), kind)
 
 
+def _of_kind(lines: DataFrame, fmt: str, kinds: Sequence[str]) -> DataFrame:
+    """Fields of data lines with their ``kind``: ``fmt``, or with ``auto`` what each line's own fields say."""
+    if fmt not in ("auto", *kinds):
+        raise ValueError(f"unknown format {fmt!r}: auto or one of {', '.join(kinds)}")
+    kind = line_format(F.col("line")) if fmt == "auto" else F.lit(fmt)
+    return _fields(compute_once(lines, kind=kind).filter(F.col("kind").isin(*kinds)), "kind")
+
+
 def read_intervals(spark: SparkSession, path: str, *, fmt: str = "auto", source_set: str = "query") -> DataFrame:
-    """BED, GFF3, GTF or VCF as 1-based inclusive intervals; ``auto`` takes each line for what its own fields say."""
-    lines = read_lines(spark, path)
-    if fmt == "auto":
-        frames = [_intervals(lines.filter(line_format(F.col("line")) == kind), kind) for kind in ("bed", "gff", "gtf", "vcf")]
-        out = reduce(lambda x, y: x.unionByName(y), frames)
-    else:
-        out = _intervals(lines, fmt)
+    """BED, GFF3, GTF or VCF as 1-based inclusive intervals, in one scan; ``auto`` takes each line for what its own fields say."""
+    kind = F.col("kind")
+    rows = compute_once(_of_kind(read_lines(spark, path), fmt, ("bed", "gff", "gtf", "vcf")), attributes=_attributes())
+    feature = _feature_columns()
+    cell = lambda record, start, end, name, strand: F.struct(record.alias("record"), start.alias("start"), end.alias("end"), name.alias("name"), strand.alias("strand"))
+    reach = F.coalesce(F.try_element_at(info_values(_field(8), "END"), F.lit(1)).try_cast("bigint"), _long(2) + F.length(_field(4)) - 1)
+    variant = F.when(_field(3) != ".", _field(3)).otherwise(F.concat_ws(":", _field(1), _field(2), _field(4), _field(5)))
+    named = F.when(_field(4) != "", _field(4)).otherwise(F.concat_ws("_", _field(1), _field(2), _field(3)))
+    place = (
+        F.when((kind == "vcf") & (F.size("f") >= 8), cell(_field(1), _long(2), reach, variant, F.lit(".")))
+        .when((kind == "bed") & (F.size("f") >= 3) & ~_field(1).rlike(r"^(track|browser)\b"), cell(_field(1), _long(2) + 1, _long(3), named, F.coalesce(_field(6), F.lit("."))))
+        .when(kind.isin("gff", "gtf") & (F.size("f") >= 9), cell(_field(1), _long(4), _long(5), feature["name"], feature["strand"]))
+    )
+    out = compute_once(rows, place=place).select("place.record", "place.start", "place.end", "place.name", "place.strand", "attributes")
     return out.filter((F.col("start") >= 1) & (F.col("end") >= F.col("start"))).withColumn("source_set", F.lit(source_set))
 
 
-def _intervals(lines: DataFrame, fmt: str) -> DataFrame:
+def _attributes() -> Column:
     empty = F.create_map().cast("map<string,string>")
-    if fmt == "vcf":
-        rows = vcf_rows(lines)
-        end = F.coalesce(F.try_element_at(info_values(F.col("info"), "END"), F.lit(1)).try_cast("bigint"), F.col("pos").try_cast("bigint") + F.length("ref") - 1)
-        named = F.when(F.col("id") != ".", F.col("id")).otherwise(F.concat_ws(":", "chrom", "pos", "ref", "alt"))
-        out = rows.select(F.col("chrom").alias("record"), F.col("pos").try_cast("bigint").alias("start"), end.alias("end"), named.alias("name"), F.lit(".").alias("strand"), empty.alias("attributes"))
-    elif fmt == "bed":
-        rows = _fields(lines.filter(~F.col("line").rlike("^(track|browser)\\b"))).filter(F.size("f") >= 3)
-        named = F.when(_field(4) != "", _field(4)).otherwise(F.concat_ws("_", _field(1), _field(2), _field(3)))
-        out = rows.filter((_long(2) >= 0) & (_long(3) > _long(2))).select(
-            _field(1).alias("record"), (_long(2) + 1).alias("start"), _long(3).alias("end"), named.alias("name"), F.coalesce(_field(6), F.lit(".")).alias("strand"), empty.alias("attributes")
-        )
-    else:
-        rows = feature_rows(lines, fmt)
-        out = rows.select("record", "start", "end", "name", "strand", "attributes")
-    return out
+    return F.when(F.col("kind") == "gff", gff_attributes(_field(9))).when(F.col("kind") == "gtf", gtf_attributes(_field(9))).otherwise(empty)
+
+
+def _feature_columns() -> dict[str, Column]:
+    """Ids, parents and names of GFF3 and GTF rows, from ``f``, ``kind`` and ``attributes``."""
+    gff, feature = F.col("kind") == "gff", _field(3)
+    get = lambda key: F.try_element_at("attributes", F.lit(key))
+    own = F.when(gff, get("ID")).when(feature == "gene", get("gene_id")).when(feature == "transcript", get("transcript_id"))
+    parent = F.when(gff, get("Parent")).when(feature == "transcript", get("gene_id")).when(feature != "gene", get("transcript_id"))
+    id_ = F.coalesce(own, F.concat_ws("_", feature, _field(1), _field(4), _field(5)))
+    return {
+        "record": _field(1), "feature": feature, "start": _long(4), "end": _long(5), "strand": F.when(_field(7).isin("+", "-"), _field(7)).otherwise("."),
+        "phase": _field(8), "id": id_, "parent": parent, "gene_id": F.coalesce(get("gene_id"), get("gene")),
+        "transcript_id": F.coalesce(get("transcript_id"), F.when(feature.isin("mRNA", "transcript"), id_)),
+        "name": F.coalesce(get("Name"), get("gene_name"), get("gene"), get("gene_id"), id_), "length": _long(5) - _long(4) + 1, "source": _field(2), "attributes": F.col("attributes"),
+    }
 
 
 def feature_rows(lines: DataFrame, fmt: str = "gff", types: Sequence[str] = ()) -> DataFrame:
-    rows = _fields(lines).filter((F.size("f") >= 9) & (_long(4) >= 1) & (_long(5) >= _long(4)))
+    rows = _of_kind(lines, fmt, ("gff", "gtf")).filter((F.size("f") >= 9) & (_long(4) >= 1) & (_long(5) >= _long(4)))
     if types:
         rows = rows.filter(F.lower(_field(3)).isin([t.lower() for t in types]))
-    rows = compute_once(rows, attributes=gff_attributes(_field(9)) if fmt == "gff" else gtf_attributes(_field(9)))
-    get = lambda key: F.try_element_at("attributes", F.lit(key))
-    feature = _field(3)
-    own = get("ID") if fmt == "gff" else F.when(feature == "gene", get("gene_id")).when(feature == "transcript", get("transcript_id"))
-    parent = get("Parent") if fmt == "gff" else F.when(feature == "transcript", get("gene_id")).when(feature != "gene", get("transcript_id"))
-    fallback = F.concat_ws("_", feature, _field(1), _field(4), _field(5))
-    id_ = F.coalesce(own, fallback)
-    return rows.select(
-        _field(1).alias("record"), feature.alias("feature"), _long(4).alias("start"), _long(5).alias("end"),
-        F.when(_field(7).isin("+", "-"), _field(7)).otherwise(".").alias("strand"), _field(8).alias("phase"), id_.alias("id"), parent.alias("parent"),
-        F.coalesce(get("gene_id"), get("gene")).alias("gene_id"), F.coalesce(get("transcript_id"), F.when(feature.isin("mRNA", "transcript"), id_)).alias("transcript_id"),
-        F.coalesce(get("Name"), get("gene_name"), get("gene"), get("gene_id"), id_).alias("name"), (_long(5) - _long(4) + 1).alias("length"), _field(2).alias("source"), "attributes",
-    )
+    return compute_once(rows, attributes=_attributes()).select(*[column.alias(name) for name, column in _feature_columns().items()])
 
 
 def read_features(spark: SparkSession, path: str, *, fmt: str = "auto", types: Sequence[str] = ()) -> DataFrame:
-    """GFF3 or GTF features with their ids, parents and names resolved; ``auto`` decides line by line."""
-    lines = read_lines(spark, path)
-    if fmt != "auto":
-        return feature_rows(lines, fmt, types)
-    gff, gtf = [feature_rows(lines.filter(line_format(F.col("line")) == kind), kind, types) for kind in ("gff", "gtf")]
-    return gff.unionByName(gtf)
+    """GFF3 or GTF features with their ids, parents and names resolved, in one scan; ``auto`` decides line by line."""
+    return feature_rows(read_lines(spark, path), fmt, types)
 
 
 def read_paf(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.operators.once import compute_once, explode_once
-from assayloom.sources.lines import numbered_lines
+from assayloom.sources.lines import line_groups, located_lines
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -64,17 +64,18 @@ def write_fasta(df: DataFrame, path: str, *, title: str | None = None, sequence:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Strict four-line reads in file order: ``(file, read, title, sequence, plus, quality, issue)``.
+    """Strict four-line reads with their place in the file: ``(file, read, title, sequence, plus, quality, issue)``.
 
     A quality line may begin with ``@``, so records are framed by line number, not by marks; empty lines do
     not count. When bases and qualities differ in number, both are cut to the shorter. A file's last record
     that has fewer than four lines stays, with what it has and the issue ``incomplete record``.
     """
-    lines = numbered_lines(spark, path, skip_empty=True)
-    slot = lambda i: F.max(F.when(F.col("n") % 4 == i, F.col("line")))
-    reads = lines.groupBy("file", F.floor(F.col("n") / 4).alias("read")).agg(
-        slot(0).alias("head"), slot(1).alias("sequence"), slot(2).alias("plus"), slot(3).alias("quality")
-    )
+    return fastq_reads(located_lines(spark.read.text(path)))
+
+
+def fastq_reads(lines: DataFrame) -> DataFrame:
+    """``read_fastq`` over ``located_lines``, such as a streaming batch of them."""
+    reads = line_groups(lines, 4, skip_empty=True).toDF("file", "read", "head", "sequence", "plus", "quality")
     whole = F.col("quality").isNotNull()
     issue = F.concat_ws(
         "; ", F.when(~whole, "incomplete record"), F.when(~F.col("head").startswith("@"), "title without @"), F.when(~F.col("plus").startswith("+"), "third line without +"),

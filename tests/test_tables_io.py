@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import random
 
 import pytest
 
@@ -92,6 +93,35 @@ def test_fastq_quality_may_begin_with_at_sign(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("block", [23, 300])
+def test_fastq_blocks_cut_anywhere(spark, tmp_path, block):
+    """Block borders inside records, lines longer than several blocks, runs of empty lines: as a plain reading by four lines."""
+    rng = random.Random(block)
+    expected = []
+    for name in ("a", "b", "empty"):
+        lines = []
+        for i in range(0 if name == "empty" else 25):
+            n = rng.choice([0, 1, 3, 20, 150])
+            record = [f"@{name}{i}", "A" * n or "N", "+", "@" * n or "!"]
+            lines += [x for line in record for x in [""] * rng.choice([0, 0, 3]) + [line]]
+        lines += {"a": [], "b": ["@last", "AC", "+"], "empty": [""]}[name]
+        end = "\r\n" if name == "b" else "\n"
+        (tmp_path / f"{name}.fastq").write_bytes(end.join(lines).encode())
+        kept = [x for x in lines if x]
+        for k in range(0, len(kept), 4):
+            four = kept[k : k + 4] + [""] * 4
+            expected.append((name, k // 4, four[0][1:], four[1], four[3], "" if len(kept) >= k + 4 else "incomplete record"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        reads = se.read_fastq(spark, str(tmp_path))
+        found = reads.select(F.regexp_extract("file", r"(\w+)\.fastq$", 1), "read", "title", "sequence", "quality", "issue").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_gzipped_fastq(spark, tmp_path):
     path = str(tmp_path / "r.fastq.gz")
     with gzip.open(path, "wt") as f:
